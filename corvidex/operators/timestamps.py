@@ -21,6 +21,7 @@ Policies:
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -120,23 +121,30 @@ def _instant(us: Column) -> Column:
     return F.timestamp_micros(us)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, evaluated once.
+
+    A bound lambda variable keeps the optimizer from copying ``value`` to every place that
+    uses it, which for a cascade like this one grows beyond any bound when a filter is
+    pushed through it.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _local_to_utc(wall_us: Column, zone: Column, not_after_us: Column) -> Column:
     """Microseconds of a wall-clock reading in ``zone``, by the policies of this module."""
-    wall = _instant(wall_us)
-    early = F.unix_micros(F.to_utc_timestamp(wall, zone))
+    early = F.unix_micros(F.to_utc_timestamp(_instant(wall_us), zone))
     # the offset in force a day later; if the reading is valid with it too, it occurs twice
-    late_offset = (wall_us + _DAY_US) - F.unix_micros(F.to_utc_timestamp(_instant(wall_us + _DAY_US), zone))
-    late = wall_us - late_offset
-    twice = (late > early) & (F.unix_micros(F.from_utc_timestamp(_instant(late), zone)) == wall_us)
-    return F.when(twice & F.coalesce(late <= not_after_us, F.lit(True)), late).otherwise(early)
+    late = F.unix_micros(F.to_utc_timestamp(_instant(wall_us + _DAY_US), zone)) - _DAY_US
 
+    def choose(e: Column) -> Column:
+        def pick(x: Column) -> Column:
+            twice = (x > e) & (F.unix_micros(F.from_utc_timestamp(_instant(x), zone)) == wall_us)
+            return F.when(twice & F.coalesce(x <= not_after_us, F.lit(True)), x).otherwise(e)
 
-@dataclass(frozen=True)
-class _Names:
-    raw: str
-    parts: str
-    us: str
-    confidence: str
+        return let(late, pick)
+
+    return let(early, choose)
 
 
 def _clean(value: Column) -> Column:
@@ -145,60 +153,52 @@ def _clean(value: Column) -> Column:
     return F.regexp_replace(text, r"^\[([^\[\]]*)\]$", "$1")
 
 
-def _parse_one(df: DataFrame, field: str, zone: Column, not_after: Column, prefix: str) -> DataFrame:
-    """Adds ``{prefix}us`` and ``{prefix}confidence`` for the text column ``field``."""
-    t, p = f"{prefix}text", f"{prefix}parts"
-    us, conf = f"{prefix}us", f"{prefix}confidence"
-    steps = df.withColumn(t, _clean(F.col(field).cast("string"))).withColumn(p, F.split(_laid_out(F.col(t)), r"\|"))
-    part = lambda i: F.coalesce(F.get(F.col(p), F.lit(i)), F.lit(""))
+def _from_parts(parts: Column, zone: Column, not_after: Column) -> Column:
+    """``us`` and ``confidence`` of a laid-out text."""
+    part = lambda i: F.coalesce(F.get(parts, F.lit(i)), F.lit(""))
     month_name = F.create_map(*[F.lit(x) for kv in _MONTH_NUMBER.items() for x in kv])[F.lower(part(1))]
     year, month, day = _number(part(0)), _number(F.coalesce(month_name, part(1))), _number(part(2))
     date = F.format_string("%04d-%02d-%02d", year, month, day).try_cast("date")
+    date = F.when(parts.isNotNull() & (year > 0), date)
     raw_hour, minute, second = _number(part(3)), _number(part(4)), F.coalesce(_number(part(5)), F.lit(0))
     half = F.lower(part(7))
-    hour = (
-        F.when(half == "", raw_hour)
-        .when((raw_hour >= 1) & (raw_hour <= 12), raw_hour % 12 + F.when(half == "p", 12).otherwise(0))
+    hour = F.when(half == "", raw_hour).when(
+        (raw_hour >= 1) & (raw_hour <= 12), raw_hour % 12 + F.when(half == "p", 12).otherwise(0)
     )
-    has_time = part(3) != ""
+    timed = part(3) != ""
     time_ok = (hour <= 23) & (minute <= 59) & (second <= 59)
-    frac = F.rpad(F.substring(part(6), 1, 6), 6, "0").try_cast("long")
-    frac = F.when(part(6) == "", F.lit(0).cast("long")).otherwise(frac)
+    frac = F.when(part(6) == "", F.lit(0).cast("long")).otherwise(F.rpad(F.substring(part(6), 1, 6), 6, "0").try_cast("long"))
     clock = (hour.cast("long") * 3600 + minute * 60 + second) * 1_000_000 + frac
-    wall = F.unix_date(date).cast("long") * _DAY_US + F.when(has_time, F.when(time_ok, clock)).otherwise(F.lit(0))
-    zone_text = F.lower(part(8))
-    offset = _offset_minutes(zone_text)
-    region = F.when(zone_text.contains("/"), part(8))
-    steps = steps.withColumns(
-        {
-            f"{prefix}wall": F.when(F.col(p).isNotNull() & (F.coalesce(year, F.lit(0)) > 0), wall),
-            f"{prefix}off": F.when(offset.between(-18 * 60, 18 * 60), offset),
-            f"{prefix}region": region,
-            f"{prefix}zoned": zone_text != "",
-            f"{prefix}timed": has_time,
-        }
-    )
-    wall, off, region = (F.col(f"{prefix}{x}") for x in ("wall", "off", "region"))
-    known = F.when(region.isin(*REGIONS), region)
-    from_parts = (
-        F.when(off.isNotNull(), wall - off.cast("long") * 60_000_000)
-        .when(known.isNotNull(), _local_to_utc(wall, known, not_after))
-        .when(~F.col(f"{prefix}zoned"), _local_to_utc(wall, zone, not_after))
-    )
-    digits = F.when(F.col(t).rlike(r"^\d{10}$|^\d{13}$|^\d{16}$|^\d{19}$"), F.col(t).try_cast("long"))
-    count = F.lit(None).cast("long")
-    for n, unit in COUNTS.items():
-        count = F.when(F.length(t) == n, digits * unit if unit else F.floor(digits / F.lit(1000)).cast("long")).otherwise(count)
-    value = F.coalesce(count, from_parts)
-    confidence = (
-        F.when(F.col(us).isNull(), "lost")
-        .when(F.col(t).rlike(r"^\d{9,}$"), "exact")
-        .when(~F.col(f"{prefix}timed"), "date_only")
-        .when(F.col(f"{prefix}zoned"), "exact")
-        .otherwise("local")
-    )
-    steps = steps.withColumn(us, value).withColumn(conf, confidence)
-    return steps.drop(t, p, *(f"{prefix}{x}" for x in ("wall", "off", "region", "zoned", "timed")))
+    wall = F.unix_date(date).cast("long") * _DAY_US + F.when(timed, F.when(time_ok, clock)).otherwise(F.lit(0))
+    region = F.when(part(8).isin(*REGIONS), part(8))
+
+    def placed(w: Column) -> Column:
+        def shifted(off: Column) -> Column:
+            fixed = F.when(off.between(-18 * 60, 18 * 60), w - off.cast("long") * 60_000_000)
+            local = _local_to_utc(w, F.when(part(8) == "", zone).otherwise(region), not_after)
+            return F.when(off.isNotNull(), fixed).when((part(8) == "") | region.isNotNull(), local)
+
+        return let(_offset_minutes(F.lower(part(8))), shifted)
+
+    confidence = F.when(~timed, "date_only").when(part(8) != "", "exact").otherwise("local")
+    return F.struct(let(wall, placed).alias("us"), confidence.alias("confidence"))
+
+
+def _read(text: Column, zone: Column, not_after: Column) -> Column:
+    """Struct of ``us`` and ``confidence`` of a timestamp text."""
+
+    def of(t: Column) -> Column:
+        digits = F.when(t.rlike(r"^\d{10}$|^\d{13}$|^\d{16}$|^\d{19}$"), t.try_cast("long"))
+        count = F.lit(None).cast("long")
+        for n, unit in COUNTS.items():
+            scaled = digits * unit if unit else F.floor(digits / F.lit(1000)).cast("long")
+            count = F.when(F.length(t) == n, scaled).otherwise(count)
+        counted = F.struct(count.alias("us"), F.lit("exact").alias("confidence"))
+        laid = let(F.split(_laid_out(t), r"\|"), lambda p: _from_parts(p, zone, not_after))
+        return F.when(digits.isNotNull(), counted).otherwise(laid)
+
+    lost = F.struct(F.lit(None).cast("long").alias("us"), F.lit("lost").alias("confidence"))
+    return let(let(_clean(text), of), lambda r: F.when(r["us"].isNotNull(), r).otherwise(lost))
 
 
 def _regions() -> tuple[str, ...]:
@@ -242,8 +242,8 @@ def normalise_timestamps(
         bound = F.lit(None).cast("long")
         if not_after is not None and f != not_after and not_after in fields:
             bound = F.col(f"{not_after}_utc_us")
-        df = _parse_one(df, f, zone, bound, "__ts_")
-        df = df.withColumnsRenamed({"__ts_us": f"{f}_utc_us", "__ts_confidence": f"{f}_confidence_found"})
+        df = df.withColumn("__ts_read", _read(F.col(f).cast("string"), zone, bound))
+        df = df.withColumns({f"{f}_utc_us": F.col("__ts_read.us"), f"{f}_confidence_found": F.col("__ts_read.confidence")}).drop("__ts_read")
     return df.drop("__ts_zone")
 
 
