@@ -1,3 +1,3 @@
 """Operators for training-data pipelines. Nothing outside this folder imports it."""
 
-QUERY_MODULES = ("corvidex.llm.q_textform",)
+QUERY_MODULES = ("corvidex.llm.q_textform", "corvidex.llm.q_conversations")
