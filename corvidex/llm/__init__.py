@@ -1,3 +1,7 @@
 """Operators for training-data pipelines. Nothing outside this folder imports it."""
 
-QUERY_MODULES = ("corvidex.llm.q_textform", "corvidex.llm.q_conversations")
+QUERY_MODULES = (
+    "corvidex.llm.q_conversations",
+    "corvidex.llm.q_survivors",
+    "corvidex.llm.q_textform",
+)
