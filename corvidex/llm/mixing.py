@@ -138,7 +138,8 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, id_column: str, source: st
 
     picked = runs.repartition("mix_name", "shard", "source").mapInPandas(slots, "mix_name string, shard int, source string, repeat_no int, block_no long, k long")
     order = F.xxhash64(F.lit(seed), "mix_name", "shard", "source", "k")
-    mixed = picked.join(spans, ["source", "block_no"]).select(
+    # the picked slots grow with the corpus, which their estimated size does not show
+    mixed = picked.hint("merge").join(spans, ["source", "block_no"]).select(
         "mix_name", "shard", order.alias("slot"), "source", "repeat_no", "block_no", id_column, "token_start", "n_tokens"
     )
     mixed = cut_lineage(mixed)
