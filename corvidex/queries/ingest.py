@@ -109,11 +109,10 @@ def chat_split_regions(s, d):
     return chatlog.parse_logs(_logs(s, d)).select("source_path").distinct()
 
 
-@q("chat_classify", "SELECT count(*) AS bad FROM journal_observations WHERE false")
+@q("chat_classify")
 def chat_classify(s, d):
-    """A payload with a user part is never an artifact."""
-    e = chatlog.parse_logs(_logs(s, d))
-    return e.where((F.col("dialect") == "Artifact") & F.col("raw_body").rlike(r"^USER:\s*\n(?!\s*ASSISTANT:)\s*\S")).agg(F.count(F.lit(1)).alias("bad"))
+    """Entries per dialect. A text line with a label of its own ("KEY-1: ...") is a field, as in the logs."""
+    return chatlog.parse_logs(_logs(s, d)).groupBy("dialect").agg(F.count(F.lit(1)).alias("n"))
 
 
 @q("chat_sections")
