@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvidex.llm.emptiness import is_empty, is_empty_list
+from corvidex.llm.emptiness import NO_CONTENT_WORDS, is_empty, is_empty_list
 from corvidex.llm.survivors import field_winners, survivors
 from corvidex.session import load_table
 
@@ -32,4 +32,25 @@ def p5_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("first_sequence", "field_name", "sequence", "votes")
 
 
+_WORDS = ", ".join("'" + w + "'" for w in NO_CONTENT_WORDS)
+
+
+def _empty_sql(c: str) -> str:
+    """The emptiness rule in SQL, for the texts of these tables."""
+    text = rf"regexp_replace(regexp_replace(regexp_replace({c}, '[\x{{200B}}\x{{FEFF}}\x{{2060}}\x{{00AD}}]', '', 'g'), '(?m)^[ \t]*(```|~~~)[\w-]*[ \t]*$', '', 'g'), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+    word = rf"lower(regexp_replace({text}, '^[\s\[\](){{}}<>*_`\"''|:-]+|[\s\[\](){{}}<>*_`\"''|:.!-]+$', '', 'g'))"
+    return rf"({c} IS NULL OR NOT regexp_matches({text}, '[\p{{L}}\p{{N}}\p{{So}}]') OR {word} IN ({_WORDS}) OR regexp_matches({text}, '^#{{1,6}}[^\n]*$'))"
+
+
+def _oracle() -> str:
+    parts = []
+    for f in FIELDS:
+        empty = _empty_sql(f) + (rf" OR regexp_matches({f}, '^\s*\[[\s,]*((\"\"|null)[\s,]*)*\]\s*$')" if f == "tickets_json" else "")
+        parts.append(f"SELECT k, '{f}' AS field_name, arg_min(sequence, (coalesce(source_fidelity_rank, 2147483648), -sequence)) AS sequence FROM j WHERE NOT ({empty}) GROUP BY 1")
+    key = r"lower(regexp_replace(replace(logical_turn_key, '\', '/'), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'))"
+    return f"""WITH j AS (SELECT *, {key} AS k FROM journal_observations WHERE {key} <> ''), g AS (SELECT k, min(sequence) AS first_sequence FROM j GROUP BY 1 HAVING count(*) > 1)
+ SELECT first_sequence, field_name, w.sequence FROM g JOIN ({" UNION ALL ".join(parts)}) w USING (k)"""
+
+
+ORACLE = {"p5_found": _oracle()}
 QUERIES = {"p5_found": p5_found, "p5_records": p5_records, "p5_votes": p5_votes}
