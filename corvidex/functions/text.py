@@ -56,7 +56,9 @@ def _fold_table() -> tuple[str, str]:
 
 def fts_fold(c: Column) -> Column:
     """Lower case without diacritics, as the index folds; letters such as ``ł`` stay."""
-    return F.translate(F.lower(c), *_fold_table())
+    low = F.lower(c)
+    # plain ASCII, the common case, needs no look at every letter
+    return F.when(F.octet_length(low) == F.char_length(low), low).otherwise(F.translate(low, *_fold_table()))
 
 
 def ascii_fold(c: Column) -> Column:

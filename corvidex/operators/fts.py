@@ -20,7 +20,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvidex.functions.text import search_body, tokens
+from corvidex.operators.timestamps import let
 from corvidex.plans.planner import Node, Phrase, parse_match
+from corvidex.session import broadcast_if_small, cut_lineage
 
 # fixed values: BM25 parameters and the floor of idf
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -62,8 +64,13 @@ def _starts(arr: Column, p: Phrase) -> Column:
     """Positions at which a phrase starts in a token array."""
     k = len(p.words)
     is_word = lambda t, j: F.startswith(t, F.lit(p.words[j])) if p.prefix and j == k - 1 else t == p.words[j]
-    places = F.when(F.size(arr) >= k, F.sequence(F.lit(0), F.size(arr) - k)).otherwise(F.array().cast("array<int>"))
-    return F.filter(places, lambda i: functools.reduce(lambda a, b: a & b, [is_word(F.get(arr, i + j), j) for j in range(k)]))
+
+    def of(a: Column) -> Column:
+        places = F.when(F.size(a) >= k, F.sequence(F.lit(0), F.size(a) - k)).otherwise(F.array().cast("array<int>"))
+        return F.filter(places, lambda i: functools.reduce(lambda x, y: x & y, [is_word(F.get(a, i + j), j) for j in range(k)]))
+
+    # bound once: inside the filter the tokens would be made anew at every position
+    return let(arr, of)
 
 
 def _count(p: Phrase) -> Column:
@@ -86,7 +93,7 @@ def _near(args: list[Node], distance: int) -> Column:
 
         def close(j: int) -> Column:
             gap = lambda x, y: F.when(y >= x, y - x - sizes[0]).otherwise(x - y - sizes[j]) <= distance
-            return F.exists(places[0], lambda x: F.exists(places[j], lambda y: gap(x, y)))
+            return let(places[j], lambda other: F.exists(places[0], lambda x: F.exists(other, lambda y: gap(x, y))))
 
         return functools.reduce(lambda a, b: a & b, [close(j) for j in range(1, len(args))], F.size(places[0]) > 0)
 
@@ -126,12 +133,12 @@ def search_scan(source: DataFrame, query: str, keep: tuple[str, ...] = ()) -> Da
     phrases = tree.phrases()
     counted = source.withColumns({f"f{i}": _count(p) for i, p in enumerate(phrases)})
     has = {id(p): F.col(f"f{i}") > 0 for i, p in enumerate(phrases)}
-    counted = counted.withColumn("hit", _matches(tree, has))
+    narrow = ["origin_db", "doc_id", *keep, "n_tokens", *[f"f{i}" for i in range(len(phrases))]]
+    # the texts are read and cut into tokens once; statistics and scores share the few numbers kept
+    counted = cut_lineage(counted.select(*narrow, _matches(tree, has).alias("hit")))
     stats = counted.groupBy("origin_db").agg(
         F.count(F.lit(1)).alias("n_docs"), F.avg("n_tokens").alias("avg_tokens"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(phrases))]
     )
-    from corvidex.session import broadcast_if_small
-
     hits = counted.where("hit").join(broadcast_if_small(stats), "origin_db")
     return hits.select("origin_db", "doc_id", *keep, _score(len(phrases)).alias("score"))
 
@@ -151,8 +158,6 @@ def search_index(postings: DataFrame, doc_stats: DataFrame, query: str, buckets:
     counted = rows.groupBy("origin_db", "doc_id").agg(*aggs)
     totals = doc_stats.groupBy("origin_db").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n_tokens").alias("avg_tokens"))
     seen = counted.groupBy("origin_db").agg(*[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(phrases))])
-    from corvidex.session import broadcast_if_small
-
     stats = broadcast_if_small(totals.join(seen, "origin_db"))
     has = {id(p): F.col(f"f{i}") > 0 for i, p in enumerate(phrases)}
     hits = counted.where(_matches(tree, has)).join(doc_stats, ["origin_db", "doc_id"]).join(stats, "origin_db")
