@@ -27,11 +27,11 @@ q("jrn_idempotency_key", f"SELECT sequence, {_IDEM} AS idempotency_key FROM jour
 q("jrn_content_hash", "SELECT sequence, sha256(coalesce(user_text, '') || chr(10) || coalesce(assistant_text, '')) AS content_sha FROM journal_observations")(
     lambda s, d: journal(s, d).select("sequence", T.content_hash(F.col("user_text"), F.col("assistant_text")).alias("content_sha"))
 )
-_NORM = r"""trim(regexp_replace(lower(regexp_replace(regexp_replace(coalesce(%s, ''), '(?im)^\s*(?:user|assistant|human|model)\s*:\s*', '', 'g'), '\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2})?(?:\.\d+)?Z?)?', '', 'g')), '\s+', ' ', 'g'))"""
+_NORM = r"""trim(regexp_replace(lower(regexp_replace(regexp_replace(coalesce(%s, ''), '(?im)^\s*(?:user|assistant|human|model)\s*:\s*', '', 'g'), '\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2})?(?:\.\d+)?Z?)?', '', 'g')), '\s+', ' ', 'g'), ' ')"""
 q("jrn_turn_hash", f"SELECT sequence, sha256({_NORM % 'user_text'} || chr(10) || {_NORM % 'assistant_text'}) AS turn_sha FROM journal_observations")(
     lambda s, d: journal(s, d).select("sequence", T.turn_hash(F.col("user_text"), F.col("assistant_text")).alias("turn_sha"))
 )
-q("jrn_normalize", "SELECT sequence, CASE WHEN trim(coalesce(source_identity, '')) = '' THEN 'no source' WHEN trim(coalesce(user_text, '')) = '' AND trim(coalesce(assistant_text, '')) = '' THEN 'no text' END AS problem, coalesce(CASE WHEN trim(coalesce(logical_turn_key, '')) <> '' THEN logical_turn_key END, CASE WHEN prompt_id <> '' THEN prompt_id WHEN coalesce(source_start_line, 0) > 0 OR coalesce(source_end_line, 0) > 0 THEN source_identity || '#' || coalesce(source_start_line, 0) || '-' || coalesce(source_end_line, 0) END) AS turn_key FROM journal_observations")(
+q("jrn_normalize", "SELECT sequence, CASE WHEN trim(coalesce(source_identity, ''), ' ') = '' THEN 'no source' WHEN trim(coalesce(user_text, ''), ' ') = '' AND trim(coalesce(assistant_text, ''), ' ') = '' THEN 'no text' END AS problem, coalesce(CASE WHEN trim(coalesce(logical_turn_key, ''), ' ') <> '' THEN logical_turn_key END, CASE WHEN prompt_id <> '' THEN prompt_id WHEN coalesce(source_start_line, 0) > 0 OR coalesce(source_end_line, 0) > 0 THEN source_identity || '#' || coalesce(source_start_line, 0) || '-' || coalesce(source_end_line, 0) END) AS turn_key FROM journal_observations")(
     lambda s, d: JR.normalize_events(journal(s, d)).select("sequence", "problem", F.col("logical_turn_key").alias("turn_key"))
 )
 q("jrn_record", f"WITH k AS (SELECT sequence, {_IDEM} AS k FROM journal_observations), old AS (SELECT k FROM k WHERE sequence <= 150 AND k IS NOT NULL) SELECT min(sequence) AS sequence FROM k WHERE sequence > 150 AND k IS NOT NULL AND k NOT IN (SELECT k FROM old) GROUP BY k UNION ALL SELECT sequence FROM k WHERE sequence > 150 AND k IS NULL")(
@@ -95,8 +95,8 @@ def _band(s: SparkSession, d: str) -> DataFrame:
     return left.join(right, ["user_id", "event_type", "b"]).where(F.abs(F.col("l") - F.col("r")) <= 3_600_000_000).agg(F.count(F.lit(1)).alias("n"))
 
 
-q("jrn_snapshot_ranges", "WITH r AS (SELECT user_id, value::BIGINT AS a, (value + 20)::BIGINT AS b, event_id FROM events), w AS (SELECT *, coalesce(max(b) OVER (PARTITION BY user_id ORDER BY a, b, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM r) SELECT user_id, c AS gap_start, a AS gap_end FROM w WHERE a > c")(
-    lambda s, d: JR.uncovered_ranges(load_table(s, d, "events").select("user_id", F.round("value").cast("long").alias("a"), F.round(F.col("value") + 20).cast("long").alias("b"), "event_id"), "user_id", "a", "b", "event_id")
+q("jrn_snapshot_ranges", "WITH r AS (SELECT user_id, floor(value)::BIGINT AS a, floor(value + 20)::BIGINT AS b, event_id FROM events), w AS (SELECT *, coalesce(max(b) OVER (PARTITION BY user_id ORDER BY a, b, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM r) SELECT user_id, c AS gap_start, a AS gap_end FROM w WHERE a > c")(
+    lambda s, d: JR.uncovered_ranges(load_table(s, d, "events").select("user_id", F.floor("value").cast("long").alias("a"), F.floor(F.col("value") + 20).cast("long").alias("b"), "event_id"), "user_id", "a", "b", "event_id")
 )
 _BODY = "'## User' || chr(10) || chr(10) || coalesce(user_text, '') || chr(10) || chr(10) || '## Assistant' || chr(10) || chr(10) || coalesce(assistant_text, '')"
 q("jrn_project", f"WITH c AS (SELECT sequence, {_BODY} AS body FROM journal_observations WHERE sequence > 100 AND coalesce(tier, 'turns') <> 'dross' AND NOT contains(lower({_BODY}), 'ai-vault')) SELECT sequence, 'turns' AS tier, 'turn-' || lpad(sequence::VARCHAR, 6, '0') || '.md' AS file_name FROM c UNION ALL SELECT sequence, 'artifacts', 'artifact-' || lpad(sequence::VARCHAR, 6, '0') || '.md' FROM c WHERE strlen(body) > 700")(

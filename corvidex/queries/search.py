@@ -121,9 +121,9 @@ def fts_body_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 @q(
     "fts_snippet",
     r"""WITH x AS (SELECT doc_id, text, instr(lower(text), 'ledger') AS p FROM documents WHERE text IS NOT NULL),
- w AS (SELECT *, greatest(0, p - 129) AS s, least(length(text), p + 255) AS e, trim(regexp_replace(substring(text, 1, 256), '\s+', ' ', 'g')) AS head FROM x)
+ w AS (SELECT *, greatest(0, p - 129) AS s, least(length(text), p + 255) AS e, trim(regexp_replace(substring(text, 1, 256), '\s+', ' ', 'g'), ' ') AS head FROM x)
  SELECT doc_id, CASE WHEN p = 0 THEN head || CASE WHEN length(text) > length(head) THEN '...' ELSE '' END ELSE
-  regexp_replace(CASE WHEN s > 0 THEN '...' ELSE '' END || trim(regexp_replace(substring(text, (s + 1)::BIGINT, (e - s)::BIGINT), '\s+', ' ', 'g')) || CASE WHEN e < length(text) THEN '...' ELSE '' END, '(?i)(ledger)', '>>>\1<<<', 'g') END AS snippet FROM w""",
+  regexp_replace(CASE WHEN s > 0 THEN '...' ELSE '' END || trim(regexp_replace(substring(text, (s + 1)::BIGINT, (e - s)::BIGINT), '\s+', ' ', 'g'), ' ') || CASE WHEN e < length(text) THEN '...' ELSE '' END, '(?i)(ledger)', '>>>\1<<<', 'g') END AS snippet FROM w""",
 )
 def fts_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).where("text is not null").select("doc_id", T.snippet(F.col("text"), ["ledger"]).alias("snippet"))
@@ -131,7 +131,7 @@ def fts_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @q(
     "fts_preview",
-    r"""WITH x AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t FROM documents), p AS (SELECT *, instr(lower(t), 'cursor') AS i FROM x),
+    r"""WITH x AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'), ' ') AS t FROM documents), p AS (SELECT *, instr(lower(t), 'cursor') AS i FROM x),
  w AS (SELECT doc_id, t, greatest(0, CASE WHEN i > 0 THEN i ELSE 1 END - 1 - 106) AS s FROM p), e AS (SELECT *, least(length(t), s + 320) AS e FROM w)
  SELECT doc_id, CASE WHEN s > 0 THEN '…' ELSE '' END || substring(t, (s + 1)::BIGINT, (e - s)::BIGINT) || CASE WHEN e < length(t) THEN '…' ELSE '' END AS preview FROM e""",
 )
