@@ -65,9 +65,11 @@ def percentile_nearest(df: DataFrame, group: list[str], value: str, share: float
     """
     from pyspark.sql import Window
 
+    if not group:
+        one = percentile_nearest(df.withColumn("__all", F.lit(0)), ["__all"], value, share, rule)
+        return one.drop("__all")
     counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("__c"))
     ranks = df.groupBy(*group).agg(nearest_rank(value, share, rule).alias("__rank"))
     up_to = F.sum("__c").over(Window.partitionBy(*group).orderBy(value))
     run = counts.withColumn("__up", up_to)
-    joined = run.join(ranks, group) if group else run.crossJoin(F.broadcast(ranks))
-    return joined.where(F.col("__up") >= F.col("__rank")).groupBy(*group).agg(F.min(value).alias("percentile"))
+    return run.join(ranks, group).where(F.col("__up") >= F.col("__rank")).groupBy(*group).agg(F.min(value).alias("percentile"))

@@ -129,13 +129,12 @@ def ticket_result(docs: DataFrame, ticket: str, limit: int = 30) -> DataFrame:
     facet = "".join(c for c in ticket.lower() if c.isalnum())
     own = docs.where(F.contains(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]", ""), F.lit(facet)) | F.contains(F.lower("file_path"), F.lit(facet)))
     own = own.select("doc_id", "source", "indexed_at")
-    through = own.agg(F.max(F.when(F.col("source") == "worklog:state", F.col("indexed_at"))).alias("through"))
-    rows = own.join(F.broadcast(through), F.lit(True))
-    newer = F.col("indexed_at") > F.col("through")
+    through = own.agg(F.max(F.when(F.col("source") == "worklog:state", F.col("indexed_at")))).scalar()
+    latest = own.agg(F.max("indexed_at")).scalar()
+    newer = F.col("indexed_at") > through
     pool = F.when(F.col("source") == "worklog:state", 0).when(newer & F.col("source").isin("worklog:evidence", "chat:turns"), 1).when(F.col("source") == "worklog:chunks", 2).when(F.col("source") == "chat:turns", 3).otherwise(4)
-    latest = own.agg(F.max("indexed_at").alias("latest"))
-    rows = rows.withColumn("pool", pool).join(F.broadcast(latest), F.lit(True))
-    fresh = F.when(F.col("indexed_at").isNull(), "undetermined").when((F.col("pool") == 0) & (F.col("indexed_at") < F.col("latest")), "stale").when(F.col("pool") == 1, "newer-evidence").otherwise("fresh")
+    rows = own.withColumn("pool", pool)
+    fresh = F.when(F.col("indexed_at").isNull(), "undetermined").when((F.col("pool") == 0) & (F.col("indexed_at") < latest), "stale").when(F.col("pool") == 1, "newer-evidence").otherwise("fresh")
     return rows.orderBy("pool", F.col("doc_id").desc()).limit(limit).select("doc_id", "pool", fresh.alias("freshness"))
 
 

@@ -58,7 +58,7 @@ def jrn_event_hash(s, d):
     rows = journal(s, d).select("sequence", "user_text", F.lit("").alias("prior_event_hash"))
     rows = rows.withColumn("event_hash", JR.event_hash(F.col("prior_event_hash"), ["sequence", "user_text"]))
     bad = JR.verify_chain(rows, ["sequence", "user_text"]).where("bad_hash")
-    return rows.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(bad.agg(F.count(F.lit(1)).alias("bad"))), F.col("n") >= 0)
+    return rows.agg(F.count(F.lit(1)).alias("n")).withColumn("bad", bad.agg(F.count(F.lit(1))).scalar())
 
 
 _RECON = """t AS (SELECT 't' || user_id || '-' || event_id AS id, CASE WHEN event_id % 5 = 0 THEN 'p' || user_id || '-' || (event_id % 40) END AS prompt_id, 's' || user_id AS session_id, md5(event_type) AS content_hash, event_type AS user_text, epoch_us(ts) AS at_us FROM events WHERE event_id % 10 = 0),

@@ -326,17 +326,16 @@ def win_hash_chain(s, d):
     """Each row meets its predecessor by number: an equality join instead of one global window."""
     rows = journal(s, d).select("sequence", "prior_event_hash", "event_hash")
     before = rows.select((F.col("sequence") + 1).alias("sequence"), F.col("event_hash").alias("expected"), F.lit(True).alias("has"))
-    first = F.broadcast(rows.agg(F.min("sequence").alias("first_seq")))
-    j = rows.join(before, "sequence", "left").join(first, F.col("sequence") >= F.col("first_seq"), "left")
-    gap = F.col("has").isNull() & (F.col("sequence") > F.col("first_seq"))
+    first = rows.agg(F.min("sequence")).scalar()
+    j = rows.join(before, "sequence", "left")
+    gap = F.col("has").isNull() & (F.col("sequence") > first)
     broken = F.coalesce("expected", F.lit("")) != F.col("prior_event_hash")
     return j.agg(F.count(F.lit(1)).alias("n"), F.count_if(broken).alias("broken"), F.count_if(gap).alias("gaps"))
 
 
 q("win_sequence_alloc", "SELECT observation_id, (SELECT max(sequence) FROM journal_observations) + row_number() OVER (ORDER BY observation_id) AS new_sequence FROM journal_observations WHERE sequence % 5 = 0")(
     lambda s, d: blocked_row_number(journal(s, d).where("sequence % 5 = 0").select("observation_id"), [], [F.col("observation_id")], "k")
-    .join(F.broadcast(journal(s, d).agg(F.max("sequence").alias("m"))), F.col("m") >= 0)
-    .select("observation_id", (F.col("m") + F.col("k")).alias("new_sequence"))
+    .select("observation_id", (journal(s, d).agg(F.max("sequence")).scalar() + F.col("k")).alias("new_sequence"))
 )
 
 
