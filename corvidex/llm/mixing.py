@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from corvidex.operators.ordering import blocked_running_sum
 from corvidex.session import cut_lineage
 
-#: Tokens of a block, slots of an output shard.
-BLOCK_TOKENS, SHARD_SLOTS = 256, 4096
+#: Tokens of a block, least slots of an output shard, most shards of a mix (the plan of
+#: counts per shard is made on the driver, so very large mixes get larger shards).
+BLOCK_TOKENS, SHARD_SLOTS, MAX_SHARDS = 256, 4096, 10_000
 
 
 def permute_index(x: np.ndarray, n: int, seed: str) -> np.ndarray:
@@ -93,6 +94,7 @@ def draw_shards(slots: dict[str, int], seed: int, shard_slots: int = SHARD_SLOTS
     """(shard, source, first slot, number of slots) of a mix, drawn shard by shard."""
     names = sorted(s for s in slots if slots[s])
     left = np.array([slots[s] for s in names], dtype=np.int64)
+    shard_slots = max(shard_slots, -(-int(left.sum()) // MAX_SHARDS))
     rng, used, out, shard = np.random.default_rng(seed), np.zeros(len(names), dtype=np.int64), [], 0
     while left.sum():
         n = min(shard_slots, int(left.sum()))
