@@ -148,7 +148,7 @@ def _marked(c: Column, terms: list[str]) -> Column:
     import re
 
     for t in terms:
-        c = F.regexp_replace(c, "(?i)(" + "".join(re.escape(x) if not x.isalnum() else x for x in t) + ")", ">>>$1<<<")
+        c = F.regexp_replace(c, f"(?i)({re.escape(t)})", ">>>$1<<<")
     return c
 
 

@@ -6,7 +6,6 @@ import math
 import random
 from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -231,7 +230,3 @@ def covered_share(texts: DataFrame, words: list[str], text: str) -> DataFrame:
     low = F.lower(F.coalesce(text, F.lit("")))
     flags = [F.coalesce(F.max(F.contains(low, F.lit(w)).cast("int")), F.lit(0)) for w in words]
     return texts.agg((sum(flags, F.lit(0)) / F.lit(float(len(words)))).alias("covered"))
-
-
-def numpy_mean(xs: list[float]) -> float | None:
-    return float(np.mean(xs)) if xs else None
