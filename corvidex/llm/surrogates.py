@@ -23,6 +23,15 @@ from corvidex.llm.pii import Detector, Mention, fold
 
 _ONSETS = "b c d f g h j k l m n p r s t v w z br dr".split()
 _VOWELS = "a e i o".split()
+# fixed values: words of an address that are not a name
+_PLAIN_WORDS = frozenset(
+    (
+        "street road lane avenue close hill way drive court square terrace crescent row gardens place walk mews boulevard rd ave flat apt apartment unit suite "
+        "lok wohnung appt rue chemin impasse allee quai route cours de du des la le les au aux d l ul ulica al aleja os pl plac m am an der den auf dem im in "
+        "zum zur"
+    ).split()
+)
+_STREET_ENDS = re.compile(r"(straße|strasse|str|gasse|weg|platz|allee|ring|damm|ufer|steig|markt)$", re.I)
 _CYRILLIC = dict(zip("abcdefghijklmnoprstvwz", "абцдефгхийклмнопрстввз", strict=True))
 
 
@@ -101,13 +110,23 @@ def entities_of(m: Mention) -> list[tuple[str, str]]:
         t = re.sub(r"\s*[\[(]\s*at\s*[\])]\s*", "@", m.text, flags=re.I)
         return [("email", re.sub(r"\s*[\[(]\s*dot\s*[\])]\s*", ".", t, flags=re.I).lower())]
     if m.kind == "address":
-        return [("address", re.sub(r"\W+", " ", fold(m.text)))]
+        return [("place", fold(w)) for w in _place_words(m.text)]
     if m.kind == "person":
         given, family = _name_parts(m.text)
         return [("given", g) for g in given if len(g) > 1] + [("family", f) for f in family]
     return []
 
 
+def _stem(word: str) -> str:
+    """The name in a word of an address: without a street ending, '' for plain words."""
+    stem = _STREET_ENDS.sub("", word) if len(word) > 6 else word
+    return "" if fold(word) in _PLAIN_WORDS or not stem else stem
+
+
+def _place_words(text: str) -> list[str]:
+    return [s for w in re.findall(r"[^\W\d_]+", text) if len(w) > 1 and (s := _stem(w))]
+
+
 def _name_parts(text: str) -> tuple[list[str], list[str]]:
     t = fold(text)
     if "," in t:
@@ -140,11 +159,17 @@ def surrogate(key: bytes, m: Mention, attempts: dict[tuple[str, str], int] | Non
         new = iter(prefix + permute_digits(key, number, m.kind))
         return re.sub(r"\d", lambda _: next(new), body) + ext
     if m.kind == "address":
-        e = entities_of(m)[0]
-        h = _hash(key, *e, tries.get(e, 0))
-        street, town = _syllables(h, 4), _syllables(h >> 40, 3)
-        number = 1 + (h >> 80) % 199
-        return f"{street.title()} {number}, {town.title()}"
+
+        def other(w: re.Match) -> str:
+            if w[0].isdigit():
+                return permute_digits(key, w[0], "address")
+            stem = _stem(w[0]) if len(w[0]) > 1 else ""
+            if not stem:
+                return w[0]
+            drawn = draw(key, "place", fold(stem), tries.get(("place", fold(stem)), 0))
+            return _like(stem, drawn) + w[0][len(stem) :]
+
+        return re.sub(r"\d+|[^\W\d_]+", other, m.text)
     given, family = _name_parts(m.text)
     swap: list[str] = []
     for word in re.findall(r"[^\W\d_]+", m.text):
@@ -162,8 +187,7 @@ def draw(key: bytes, kind: str, name: str, attempt: int) -> str:
     """What an entity is replaced by, in the form in which two replacements must differ."""
     if kind in ("given", "family"):
         return _part(key, kind, name, attempt)
-    h = _hash(key, kind, name, attempt)
-    return _syllables(h, 6) if kind == "email" else f"{_syllables(h, 4)} {1 + (h >> 80) % 199} {_syllables(h >> 40, 3)}"
+    return _syllables(_hash(key, kind, name, attempt), 6 if kind == "email" else 4 + min(attempt, 6))
 
 
 def render(key: bytes, text: str, mentions: list[Mention], attempts=None, typed: bool = True) -> str:

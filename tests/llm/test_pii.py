@@ -43,6 +43,19 @@ def test_surrogates_are_consistent():
     assert one("a@b.example") == one("A@B.EXAMPLE").lower() != one("a@c.example")
 
 
+def test_addresses_keep_their_shape():
+    one = lambda t: surrogate(KEY, DET.find(t)[0])
+    import re
+
+    assert re.fullmatch(r"Flat \d, \d\d [A-Z]\w+ [A-Z]\w+ Street, [A-Z]\w+", one("Flat 5, 57 Old Ferry Street, Grauenried"))
+    assert re.fullmatch(r"ul\. [A-Z]\w+ \d\d/\d\d, \d\d-\d{3} [A-Z]\w+", one("ul. Lipowa 16/17, 00-016 Westmarch"))
+    assert re.fullmatch(r"[A-Z]\w+straße \d\d, \d{5} [A-Z]\w+ [A-Z]\w+", one("Lindenstraße 70, 09070 Nether Wick"))
+    assert re.fullmatch(r"\d{3} rue des [A-Z]\w+, \d{5} [A-Z]\w+", one("149 rue des Tilleuls, 00149 Westmarch"))
+    towns = {one(f"Lindenstraße {i}, 09070 Westmarch").rsplit(" ", 1)[1] for i in (70, 71, 72)}
+    assert len(towns) == 1 and towns != {"Westmarch"}
+    assert len({one(f"Lindenstraße {i}, 09070 Westmarch") for i in range(10, 100)}) == 90
+
+
 def test_digits_are_permuted():
     for n in (1, 2, 3, 4):
         assert len({permute_digits(KEY, f"{i:0{n}d}") for i in range(10**n)}) == 10**n
