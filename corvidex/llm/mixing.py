@@ -10,6 +10,11 @@ most ``max_repeats`` times. Slots meet their blocks in a join on (source, block)
 The size of a mix is the largest at which every source that has any text reaches its share
 within its repeats; the share of sources without text is spread over the others in
 proportion. Shares are met up to the rounding of one block per source.
+
+With ``all_reach=False`` only the large sources (those with at least the mean tokens of the
+mix's sources) decide on the size; a smaller one stops at its repeats and falls short, and
+the others keep their proportions to each other. The queries run so, as a tiny source would
+otherwise leave out nearly all text of the others.
 """
 
 from __future__ import annotations
@@ -67,7 +72,7 @@ def source_spans(sizes: DataFrame, id_column: str, source: str, block_tokens: in
     return cut.select("source", "block_no", F.col("id").alias(id_column), (start - F.col("at")).alias("token_start"), (end - start).alias("n_tokens"))
 
 
-def plan_mix(targets: list[tuple[str, float, int]], tokens: dict[str, int], block_tokens: int = BLOCK_TOKENS) -> dict[str, dict]:
+def plan_mix(targets: list[tuple[str, float, int]], tokens: dict[str, int], block_tokens: int = BLOCK_TOKENS, all_reach: bool = True) -> dict[str, dict]:
     """Slots per source of one mix: ``{source: {share, blocks, slots}}``; see the module text.
 
     A source that is listed twice has its shares added and the smaller cap; negative or
@@ -80,7 +85,9 @@ def plan_mix(targets: list[tuple[str, float, int]], tokens: dict[str, int], bloc
         cap[s] = min(cap.get(s, 1 << 62), max(0, r or 0))
     usable = {s for s in share if share[s] > 0 and cap[s] > 0 and tokens.get(s, 0) > 0}
     scale = sum(share[s] for s in usable)
-    size = min((cap[s] * tokens[s] / (share[s] / scale) for s in usable), default=0.0)
+    mean = sum(tokens[s] for s in usable) / max(1, len(usable))
+    deciding = usable if all_reach else {s for s in usable if tokens[s] >= mean}
+    size = min((cap[s] * tokens[s] / (share[s] / scale) for s in deciding), default=0.0)
     out = {}
     for s in share:
         n = tokens.get(s, 0)
@@ -104,7 +111,7 @@ def draw_shards(slots: dict[str, int], seed: int, shard_slots: int = SHARD_SLOTS
     return out
 
 
-def mix_sources(sizes: DataFrame, targets: DataFrame, id_column: str, source: str, seed: int = 7, block_tokens: int = BLOCK_TOKENS, shard_slots: int = SHARD_SLOTS) -> tuple[DataFrame, DataFrame]:
+def mix_sources(sizes: DataFrame, targets: DataFrame, id_column: str, source: str, seed: int = 7, block_tokens: int = BLOCK_TOKENS, shard_slots: int = SHARD_SLOTS, all_reach: bool = True) -> tuple[DataFrame, DataFrame]:
     """The mixes and the shares they reach.
 
     ``targets``: ``mix_name, source, target_share, max_repeats``, a table of settings that
@@ -121,7 +128,7 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, id_column: str, source: st
     tokens = {r.source: r.tokens or 0 for r in rows}
     plans, draws = {}, []
     for i, mix in enumerate(sorted({r.mix_name for r in rows})):
-        plans[mix] = plan_mix([(r.source, r.target_share, r.max_repeats) for r in rows if r.mix_name == mix], tokens, block_tokens)
+        plans[mix] = plan_mix([(r.source, r.target_share, r.max_repeats) for r in rows if r.mix_name == mix], tokens, block_tokens, all_reach)
         drawn = draw_shards({s: p["slots"] for s, p in plans[mix].items()}, seed + i, shard_slots)
         draws += [(mix, shard, s, at, n, plans[mix][s]["blocks"]) for shard, s, at, n in drawn]
     spark = sizes.sparkSession

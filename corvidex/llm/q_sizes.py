@@ -39,12 +39,12 @@ def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_mixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixes, block by block."""
-    return mix_sources(_sizes(spark, sf_dir), load_table(spark, sf_dir, "mix_targets"), "doc_id", "source")[0]
+    return mix_sources(_sizes(spark, sf_dir), load_table(spark, sf_dir, "mix_targets"), "doc_id", "source", all_reach=False)[0]
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual shares of every source of every mix."""
-    return mix_sources(_sizes(spark, sf_dir), load_table(spark, sf_dir, "mix_targets"), "doc_id", "source")[1]
+    return mix_sources(_sizes(spark, sf_dir), load_table(spark, sf_dir, "mix_targets"), "doc_id", "source", all_reach=False)[1]
 
 
 QUERIES = {"p6_containers": p6_containers, "p6_fill": p6_fill, "p7_mixes": p7_mixes, "p7_shares": p7_shares}

@@ -104,3 +104,27 @@ def test_mix(spark):
     assert abs(rep["m", "hot"].actual_share - 0.5) < 0.01 and abs(rep["m", "rare"].actual_share - 0.5) < 0.01
     assert rep["m", "gone"].actual_share == 0 and rep["n", "gone"].mixed_tokens == 0
     assert rep["m", "rare"].repeats == 3 and len(rep) == 4
+
+
+def test_tiny_source_does_not_set_the_size(spark):
+    targets, tokens = [("big", 0.5, 1), ("wide", 0.3, 2), ("tiny", 0.2, 3)], {"big": 512_000, "wide": 512_000, "tiny": 2560}
+    plan = plan_mix(targets, tokens, 256, all_reach=False)
+    assert (plan["big"]["slots"], plan["wide"]["slots"], plan["tiny"]["slots"]) == (2000, 1200, 30)
+    rows = [(i, "big", 500) for i in range(200)] + [(1000 + i, "wide", 500) for i in range(200)] + [(5000, "tiny", 640)]
+    sizes = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")
+    wanted = spark.createDataFrame([("m", *t) for t in targets], "mix_name string, source string, target_share double, max_repeats int")
+    mixed, report = mix_sources(sizes, wanted, "doc_id", "source", block_tokens=64, all_reach=False)
+    assert mixed.where("source = 'big'").select("doc_id").distinct().count() == 200
+    rep = {r.source: r for r in report.collect()}
+    assert rep["tiny"].mixed_tokens == 3 * 640 and rep["tiny"].repeats == 3 and rep["tiny"].actual_share < 0.02
+    assert abs(rep["wide"].mixed_tokens / rep["big"].mixed_tokens - 0.6) < 0.01
+
+
+def test_registered_mixes_use_the_large_sources(spark, tmp_path):
+    from corvidex.llm.q_sizes import p7_shares
+
+    texts = [(i, "big", "plain words here " * 40) for i in range(60)] + [(99, "tiny", "word")]
+    spark.createDataFrame(texts, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("m", "big", 0.5, 1), ("m", "tiny", 0.5, 2)], "mix_name string, source string, target_share double, max_repeats int").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    got = {r.source: r for r in p7_shares(spark, str(tmp_path)).collect()}
+    assert got["big"].mixed_tokens == got["big"].available_tokens and got["tiny"].mixed_tokens == 2 * got["tiny"].available_tokens
