@@ -447,7 +447,7 @@ q("snk_append_doc", "SELECT source, md5(string_agg(file_name, chr(10) ORDER BY d
     lambda s, d: docs(s, d).where("source like 'worklog:%'").groupBy("source").agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "file_name"))), lambda x: x["file_name"]), "\n")).alias("body_md5"))
 )
 q("snk_turn_emit", "WITH f AS (SELECT turn_hash, min(sequence) AS sequence, count(*) AS n, string_agg(sequence::VARCHAR, ',' ORDER BY sequence) AS also_seen_in FROM journal_observations WHERE turn_hash IS NOT NULL GROUP BY 1) SELECT sequence, n, also_seen_in FROM f WHERE n <= 20")(
-    lambda s, d: journal(s, d).where("turn_hash is not null").groupBy("turn_hash").agg(F.min("sequence").alias("sequence"), F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list("sequence")).cast("array<string>"), ",").alias("also_seen_in")).where("n <= 20").drop("turn_hash")
+    lambda s, d: journal(s, d).where("turn_hash is not null").groupBy("turn_hash").agg(F.min("sequence").alias("sequence"), F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list("sequence")).cast("array<string>"), ",").alias("also_seen_in")).drop("turn_hash")
 )
 
 QUERIES, ORACLE = R.queries, R.oracle
