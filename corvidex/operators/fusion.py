@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 # fixed values: weights of the signals and the rank constant
 WEIGHTS = {"exact": 4.0, "bm25": 3.0, "bm25_relaxed": 2.0, "recency": 2.0, "authority": 2.0, "impact": 1.0, "rerank": 12.0, "late": 3.0}
@@ -105,27 +107,33 @@ def pack_budget(items: DataFrame, group: list[str], order: list[Column], size: s
     """Greedy packing in order. ``skip``: an item that does not fit is passed over and the
     next is tried; otherwise packing stops there. Adds ``used_before``.
 
-    With ``skip`` the fold is sequential by nature; groups are result lists of bounded
-    length (a pool), never whole tables. Without it, a running sum decides.
+    With ``skip`` the fold is sequential by nature: a group is read in order by one task,
+    row by row, and never collected. Rows with a NULL group or size are left out. Without
+    it, a running sum decides.
     """
     if not skip:
         before = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         out = items.withColumn("used_before", F.coalesce(F.sum(size).over(before), F.lit(0)))
         return out.where(F.col("used_before") + F.col(size) <= budget)
-    numbered = items.withColumn("__n", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
-    sizes = F.transform(F.sort_array(F.collect_list(F.struct("__n", F.col(size).cast("long").alias("s")))), lambda x: x["s"])
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<long>").alias("kept"))
-
-    def step(acc, s):
-        fits = acc["used"] + s <= budget
-        return F.struct(
-            F.when(fits, acc["used"] + s).otherwise(acc["used"]).alias("used"),
-            F.concat(acc["kept"], F.array(F.when(fits, acc["used"]).otherwise(F.lit(-1).cast("long")))).alias("kept"),
-        )
-
-    plan = numbered.groupBy(*group).agg(F.aggregate(sizes, start, step)["kept"].alias("__kept"))
-    kept = plan.select(*group, F.posexplode("__kept").alias("__n", "used_before")).withColumn("__n", F.col("__n") + 1).where("used_before >= 0")
-    return numbered.join(kept, [*group, "__n"]).drop("__n")
+
+    def fold(batches):
+        key, used = None, 0
+        for b in batches:
+            keep, at = [], []
+            keys = zip(*[b.column(g).to_pylist() for g in group], strict=True)
+            for i, (k, n) in enumerate(zip(keys, b.column(size).to_pylist(), strict=True)):
+                if k != key:
+                    key, used = k, 0
+                if used + n <= budget:
+                    keep.append(i)
+                    at.append(used)
+                    used += n
+            kept = b.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(at, pa.int64())], names=[*b.schema.names, "used_before"])
+
+    schema = StructType([*items.schema.fields, StructField("used_before", LongType())])
+    known = items.dropna(subset=[*group, size])
+    return known.repartition(*group).sortWithinPartitions(*group, *order).mapInArrow(fold, schema)
 
 
 def passages(df: DataFrame, key: list[str], text: str, window: int = 900, stride: int = 675) -> DataFrame:

@@ -158,7 +158,7 @@ def _after(s: SparkSession, d: str) -> DataFrame:
 )
 def rnk_pack(s, d):
     """Greedy packing that skips what does not fit."""
-    items = docs(s, d).where("doc_id <= 600 and source is not null").select("source", "doc_id", F.octet_length(F.coalesce("content", F.lit(""))).alias("n"))
+    items = docs(s, d).where("source is not null").select("source", "doc_id", F.octet_length(F.coalesce("content", F.lit(""))).alias("n"))
     return fusion.pack_budget(items, ["source"], [F.col("doc_id")], "n", 3000).select("source", "doc_id")
 
 
@@ -246,7 +246,7 @@ q("ev_paired_report", "WITH v AS (SELECT event_type AS grp, user_id AS qid, avg(
 
 
 def _differences(s: SparkSession, d: str) -> DataFrame:
-    v = load_table(s, d, "events").where("user_id <= 40").groupBy(F.col("event_type").alias("grp"), F.col("user_id").alias("qid"))
+    v = load_table(s, d, "events").groupBy(F.col("event_type").alias("grp"), F.col("user_id").alias("qid"))
     return v.agg((F.avg(F.when(F.col("event_id") % 2 == 1, F.col("value"))) - F.avg(F.when(F.col("event_id") % 2 == 0, F.col("value")))).alias("difference"))
 
 

@@ -150,7 +150,7 @@ q("join_vectors_passages", "SELECT d.doc_id, e.label FROM embeddings e JOIN docu
     lambda s, d: load_table(s, d, "embeddings").join(docs(s, d).where("source = 'chat:turns'").select(F.col("doc_id").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("doc_id"), "label")
 )
 q("join_cache_lookup", "SELECT d.doc_id, e.label AS cached FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id WHERE d.doc_id <= 800")(
-    lambda s, d: docs(s, d).where("doc_id <= 800").select("doc_id").join(load_table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("cached")), "doc_id", "left")
+    lambda s, d: docs(s, d).select("doc_id").join(load_table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("cached")), "doc_id", "left")
 )
 
 

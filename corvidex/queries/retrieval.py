@@ -130,7 +130,7 @@ def rnk_ticket_semantic(s, d):
 @q("rnk_digest_assemble")
 def rnk_digest_assemble(s, d):
     j = journal(s, d).select((F.col("source_fidelity_rank") % 3).alias("tier"), F.col("sequence").alias("position"), "turn_hash", F.octet_length(F.coalesce("assistant_text", F.lit(""))).alias("bytes"))
-    return RT.digest(j.orderBy(F.col("position").desc()).limit(200))
+    return RT.digest(j)
 
 
 @q("wl_capsule", r"SELECT source_identity, mode AS category, max(sequence) AS sequence FROM journal_observations WHERE mode IN ('plan', 'execute') GROUP BY 1, 2")
