@@ -65,8 +65,10 @@ _ANNOUNCED = re.compile(
 
 
 def fold(text: str) -> str:
-    """Lower case without marks, of the same length as ``text`` wherever that is possible."""
+    """Lower case without marks, one character for each of ``text``."""
     low = text.lower()
+    if len(low) != len(text):
+        low = "".join(c.lower()[0] for c in text)
     if low.isascii():
         return low
     out = []
@@ -187,7 +189,7 @@ class Detector:
         if digits and ("address" in hits or re.search(r"\b(?:A[mnu]|Im|In|Z[u][mr]|[HVANUOGK]\w+e[rs]?)\b.{1,30}\d", masked)):
             take("address", (m.span() for m in _ADDRESS.finditer(masked)))
             folded = fold(masked)
-        if "person" in hits and len(folded) == len(masked):
+        if "person" in hits:
             take("person", (m.span() for m in ready["person"].finditer(folded)))
         take("person", (m.span(1) for m in _ANNOUNCED.finditer(masked) if "\0" not in m[1]))
         return sorted(out, key=lambda m: m.start)

@@ -1,7 +1,7 @@
 import re
 from collections import Counter
 
-from corvidex.llm.pii import Detector, valid_pesel
+from corvidex.llm.pii import Detector, fold, valid_pesel
 from corvidex.llm.surrogates import draw, find_mentions, permute_digits, redact, render, surrogate, text_rows
 
 DET = Detector(["Anna", "Sævar", "Élodine", "Jorund"], ["Brask", "Mørkved", "Okonjewska"])
@@ -31,6 +31,12 @@ def test_not_found():
     assert valid_pesel("44051401359") and not valid_pesel("44051401358")
 
 
+def test_a_letter_that_grows_in_lower_case_hides_no_name():
+    t = "From \u0130zmir: İİ, see Anna Brask and J. Mørkved, ok"
+    assert [(m.kind, m.text, t[m.start : m.end]) for m in DET.find(t)] == [("person", p, p) for p in ("Anna Brask", "J. Mørkved")]
+    assert all(len(fold(chr(i))) == 1 for i in range(0x110000) if not 0xD800 <= i < 0xE000)
+
+
 def test_surrogates_are_consistent():
     one = lambda t: surrogate(KEY, DET.find(t)[0])
     a, b = one("see Anna Brask"), one("see Brask, Anna")
