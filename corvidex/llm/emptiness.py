@@ -21,8 +21,19 @@ def is_blank(c: Column) -> Column:
     return ~F.coalesce(c.rlike(r"[^\s\p{Z}\p{C}]"), F.lit(False))
 
 
+#: A text that begins like a word and holds this many letters before any fence says something.
+_PLAIN_TEXT = r"^[\p{L}\p{N}](?:[^`~\p{L}\p{N}]*[\p{L}\p{N}]){40}"
+
+
 def is_empty(c: Column) -> Column:
-    """NULL, blank, or only a mark or heading that stands for no content."""
+    """NULL, blank, or only a mark or heading that stands for no content.
+
+    Plain texts are told by their first letters; the full rule is for the others.
+    """
+    return F.when(c.rlike(_PLAIN_TEXT), F.lit(False)).otherwise(_stands_for_nothing(c))
+
+
+def _stands_for_nothing(c: Column) -> Column:
     text = F.regexp_replace(c, r"[\p{Cf}\p{Cc}&&[^\n\r\t]]", "")
     text = F.regexp_replace(text, r"(?m)^[ \t]*(```|~~~)[\w-]*[ \t]*$", "")
     text = F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")

@@ -47,9 +47,33 @@ def test_against_brute_force(spark):
     assert field_winners(df.limit(0), "key", FIELDS, "rank", "sequence").count() == 0
 
 
-def test_summed_votes(spark):
-    rows = [(1, "k", 1, "old"), (2, "k", 2, "New"), (3, "k", 2, "new"), (4, "k", 2, "new ")]
+def test_many_lesser_votes_do_not_outweigh_a_better_one(spark):
+    rows = [(1, "k", 1, "old"), *[(i, "k", 2 + i % 3, "new " if i % 2 else "New") for i in range(2, 3000)], (3000, "k", None, "old")]
     df = spark.createDataFrame(rows, "sequence long, key string, rank int, a string")
-    pick = lambda m: field_winners(df, "key", {"a": is_empty}, "rank", "sequence", m).first()
-    assert pick("order").sequence == 1
-    assert (pick("sum").sequence, pick("sum").votes) == (4, 3)
+    won = field_winners(df, "key", {"a": is_empty}, "rank", "sequence").first()
+    assert (won.sequence, won.votes) == (1, 2)
+    without = field_winners(df.where("sequence > 1"), "key", {"a": is_empty}, "rank", "sequence").first()
+    assert (without.sequence, without.votes) == (2997, 2998)  # the newest of rank 2
+
+
+def test_any_ranks_large_sequences_and_one_hot_key(spark):
+    """Ranks far apart (more levels than one number holds) and sequences near each other at the far end."""
+    rng = random.Random(5)
+    rows = [(2**50 + i, "hot" if i % 3 else f"k{i % 40}", rng.choice([-7, 0, 3, *range(100, 260)]), f"v{rng.randrange(30)}") for i in range(4000)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "sequence long, key string, rank int, a string").withColumn("field_name", F.lit("clash"))
+    best = {}
+    for s, k, r, _ in rows:
+        best[k] = min(best.get(k, (r, -s)), (r, -s))
+    got = {(r.first_sequence, r.sequence) for r in field_winners(df, "key", {"a": is_empty}, "rank", "sequence").collect()}
+    assert got == {(min(s for s, k2, *_ in rows if k2 == k), -b[1]) for k, b in best.items()}
+    nulls = df.withColumn("rank", F.lit(None).cast("int"))
+    assert {r.sequence for r in field_winners(nulls, "key", {"a": is_empty}, "rank", "sequence").collect()} == {max(s for s, k2, *_ in rows if k2 == k) for k in best}
+
+
+def test_plain_texts_skip_the_full_rule_only_when_it_agrees(spark):
+    from corvidex.llm.emptiness import _stands_for_nothing
+
+    odd = ["none" + " " * 100, "n/a" + "." * 100, "# " + "a" * 100, "none\n```" + "b" * 60 + "\n", "x\n~~~" + "b" * 60, "brak" + "​" * 90, "a" * 41, "a" * 40, "7 " * 45, "é" * 50, "tbd " * 30, "none`" + "c" * 60]
+    df = spark.createDataFrame([(t,) for t in odd], "t string")
+    assert df.where(is_empty(F.col("t")) != _stands_for_nothing(F.col("t"))).count() == 0
