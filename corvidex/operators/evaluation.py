@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 import random
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -150,18 +153,33 @@ def fact_dcg(present: DataFrame, facts: DataFrame, k: int = 10) -> DataFrame:
     return first.where(F.col("rank") <= k).groupBy("task").agg(F.sum(F.col("weight") / F.log2(F.col("rank") + 1.0)).alias("dcg"))
 
 
+def lazy_greedy(sets: list[dict[str, float]], boost: list[float] | None = None) -> Iterator[tuple[int, float]]:
+    """Indexes of ``sets`` in greedy order of the weight they add, with that weight.
+
+    A heap holds what each set was last known to add, which can only have shrunk since, so
+    only the set on top is weighed again. Ends when nothing is added; ties go to the earlier.
+    """
+    boosts = boost or [1.0] * len(sets)
+    heap = [(-sum(s.values()) * b, i) for i, (s, b) in enumerate(zip(sets, boosts, strict=True))]
+    heapq.heapify(heap)
+    covered: set[str] = set()
+    while heap:
+        known, i = heap[0]
+        now = sum(w for x, w in sets[i].items() if x not in covered) * boosts[i]
+        if now != -known:
+            heapq.heapreplace(heap, (-now, i))
+            continue
+        heapq.heappop(heap)
+        if now <= 0:
+            return
+        covered.update(sets[i])
+        yield i, now
+
+
 def ideal_dcg(text_facts: list[set[str]], weights: dict[str, float], k: int = 10) -> float:
-    """Greedy ideal: at each place the text that adds most weight of facts not seen yet."""
-    seen: set[str] = set()
-    total = 0.0
-    for place in range(1, k + 1):
-        best = max(text_facts, key=lambda t: sum(weights.get(f, 0.0) for f in t - seen), default=set())
-        gain = sum(weights.get(f, 0.0) for f in best - seen)
-        if gain <= 0:
-            break
-        seen |= best
-        total += gain / math.log2(place + 1)
-    return total
+    """Discounted gain of the best greedy order of the texts."""
+    order = lazy_greedy([{f: weights.get(f, 0.0) for f in sorted(t)} for t in text_facts])
+    return sum(gain / math.log2(place) for place, (_, gain) in zip(range(2, k + 2), order, strict=False))
 
 
 def hash_sample(df: DataFrame, key: str, n: int, salt: str = "") -> DataFrame:
@@ -195,25 +213,13 @@ def greedy_coverage(candidates: DataFrame, group: list[str], df_table: DataFrame
     rows = rows.join(df_table, "token", "left").select(*group, "id", "sequence", "token", weight.alias("idf"))
 
     def choose(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["id", "token"])
-        own = {i: dict(zip(g["token"], g["idf"], strict=True)) for i, g in f.groupby("id", sort=True)}
-        seq = f.groupby("id")["sequence"].first()
-        low, span = seq.min(), max(1, seq.max() - seq.min())
-        seen: set[str] = set()
-        picked: list = []
-        while len(picked) < count:
-            best, score = None, 0.0
-            for i, toks in own.items():
-                if i not in picked:
-                    g = sum(w for t, w in toks.items() if t not in seen) * (1 + recency * (seq[i] - low) / span)
-                    if g > score:
-                        best, score = i, g
-            if best is None:
-                break
-            picked.append(best)
-            seen |= own[best].keys()
-        keys = [[f[g].iloc[0]] * len(picked) for g in group]
-        return pd.DataFrame({**dict(zip(group, keys, strict=True)), "id": picked, "pick": range(1, len(picked) + 1)})
+        texts = [(i, g["sequence"].iloc[0], dict(zip(g["token"], g["idf"], strict=True))) for i, g in f.sort_values(["id", "token"]).groupby("id")]
+        ids, sequences, tokens = (list(x) for x in zip(*texts, strict=True))
+        age = np.array(sequences, dtype=float) - min(sequences)
+        order = lazy_greedy(tokens, list(1 + recency * age / max(1.0, age.max())))
+        picked = [ids[i] for i, _ in islice(order, count)]
+        own = {g: [f[g].iloc[0]] * len(picked) for g in group}
+        return pd.DataFrame({**own, "id": picked, "pick": np.arange(1, len(picked) + 1)})
 
     return rows.groupBy(*group).applyInPandas(choose, f"{kinds}id {kind}, pick int")
 

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate, count, groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +13,8 @@ from pyspark.sql import functions as F
 
 RULE = "=" * 80
 TARGET_BYTES = 12_288
+#: In the kinds of lines (rule, text, blank): a line between two rules.
+_HEADING = re.compile("(?==[x=]=)")
 _BOUNDARY = re.compile(r"(?:\d+\.|F\d+\s+-|FINDING\s+\d+|OPTION\s+[A-Z0-9]+|20\d{2}-\d{2}-\d{2})")
 # fixed values: categories of headings, in order of precedence
 CATEGORIES = (
@@ -31,40 +36,46 @@ def category(heading: Column) -> Column:
 
 
 def split_sections(text: str) -> list[tuple[str, int, int, list[str]]]:
-    """(heading, first line, last line, body lines); text before the first heading is a summary."""
-    lines = text.split("\n")
-    if lines and lines[-1] == "":
-        lines.pop()
-    heads = [i for i in range(len(lines) - 2) if lines[i] == lines[i + 2] == RULE and lines[i + 1].strip()]
-    ends = [h - 1 for h in heads[1:]] + [len(lines) - 1]
-    plain = lambda xs: [x for x in xs if x != RULE]
+    """(heading, first line, last line, body lines) of each section.
+
+    Every line gets the number of headings begun so far; lines of one number are a section.
+    Number 0 is what stands before the first heading: a summary, or all there is (evidence).
+    """
+    lines = text.removesuffix("\n").split("\n")
+    kinds = "".join("=" if x == RULE else "x" if x.strip() else "." for x in lines)
+    begins = {m.start() for m in _HEADING.finditer(kinds)}
+    number = accumulate(i in begins for i in range(len(lines)))
     out = []
-    before = plain(lines[: heads[0] if heads else 0])
-    if any(x.strip() for x in before):
-        out.append(("TICKET SUMMARY", 1, max(1, heads[0]), before))
-    for h, end in zip(heads, ends, strict=False):
-        body = lines[h + 3 : end + 1]
-        while body and body[-1] == RULE:
-            body.pop()
-        out.append((lines[h + 1].strip(), h + 1, end + 1, body))
-    if not out and any(x.strip() for x in lines):
-        out.append(("EVIDENCE", 1, len(lines), plain(lines)))
+    for n, run in groupby(zip(number, count(1), lines, kinds, strict=False), key=itemgetter(0)):
+        _, at, own, kind = zip(*run, strict=True)
+        if n:
+            heading, rest = lines[at[0]].strip(), len("".join(kind[3:]).rstrip("="))
+            out.append((heading, at[0], at[-1], list(own[3 : 3 + rest])))
+        elif "x" in kind or (not begins and "=" in kind):
+            out.append(("TICKET SUMMARY" if begins else "EVIDENCE", at[0], at[-1], [x for x in own if x != RULE]))
     return out
 
 
 def split_large(section: tuple[str, int, int, list[str]], target: int = TARGET_BYTES) -> list[tuple[str, int, int, list[str]]]:
-    """Parts of a section, cut before numbered or dated lines once ``target`` bytes are exceeded."""
+    """Parts of a section, cut before the first numbered or dated line with which ``target`` bytes are exceeded.
+
+    Works on running sums of bytes: the line that exceeds is found by bisection, the cut is the
+    next line that may be cut at.
+    """
     heading, first, last, lines = section
-    size = lambda x: len(x.encode()) + 1
-    if sum(map(size, lines)) - 1 <= target:
+    upto = [0, *accumulate(len(x.encode()) + 1 for x in lines)]
+    if upto[-1] - 1 <= target:
         return [section]
-    parts, start, used = [], 0, 0
-    for i, line in enumerate(lines):
-        if i > start and _BOUNDARY.match(line) and used + size(line) - 1 > target:
-            parts.append((heading, first + start, first + i - 1, lines[start:i]))
-            start, used = i, 0
-        used += size(line)
-    return [*parts, (heading, first + start, last, lines[start:])]
+    may_cut = [i for i, x in enumerate(lines) if _BOUNDARY.match(x)]
+    cuts = [0]
+    while True:
+        full = bisect_right(upto, upto[cuts[-1]] + target + 1) - 1
+        k = bisect_left(may_cut, max(full, cuts[-1] + 1))
+        if k == len(may_cut):
+            break
+        cuts.append(may_cut[k])
+    ends = [first + c - 1 for c in cuts[1:]] + [last]
+    return [(heading, first + a, end, lines[a:b]) for a, b, end in zip(cuts, [*cuts[1:], len(lines)], ends, strict=True)]
 
 
 def parse_worklogs(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
