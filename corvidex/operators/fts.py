@@ -2,10 +2,11 @@
 
 Two ways to search, with the same results:
 
-* ``search_scan`` reads the documents: each phrase is counted inside the row, so the only
-  shuffle is one tiny aggregate of statistics per database;
-* ``search_index`` reads a postings table made by ``build_postings``; only the rows of the
-  query's terms are touched, which is what a large corpus needs.
+* ``Index.search`` reads a postings table with positions, written once by ``write_index``:
+  partitions are buckets of the first two characters of a term and files are sorted by
+  term, so a query (words, prefixes, phrases, NEAR) reads the pages of its terms only;
+* ``search_scan`` reads the documents: each phrase is counted inside the row. It needs no
+  index and is what the index is tested against.
 
 BM25 is ``-sum idf * f*(k1+1) / (f + k1*(1 - b + b*len/avglen))`` over the phrases of the
 query, ``idf = ln((N-n+0.5)/(n+0.5))`` with a floor, smaller is better. N, n and the mean
@@ -15,14 +16,19 @@ length are those of a document's database; lengths count all columns.
 from __future__ import annotations
 
 import functools
+import zlib
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvidex.functions.text import search_body, tokens
 from corvidex.operators.timestamps import let
 from corvidex.plans.planner import Node, Phrase, parse_match
-from corvidex.session import broadcast_if_small, cut_lineage
+from corvidex.session import BROADCAST_ROWS, broadcast_if_small, cut_lineage
 
 # fixed values: BM25 parameters and the floor of idf
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -37,23 +43,162 @@ def index_source(docs: DataFrame, body: str = "content", extract: bool = True) -
     return out.withColumn("n_tokens", sum((F.size(f"t_{c}") for c in COLUMNS), F.lit(0)))
 
 
+#: Positions of a column are shifted by its number times this, so one list serves all columns
+#: and tokens of different columns are never near each other.
+COLUMN_STEP = 1 << 40
+
+
+def _grouped(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Postings of the documents of one batch: sorted by document and term, without a loop over rows."""
+    parts = []
+    for c, name in enumerate(COLUMNS):
+        lists = batch.column(f"t_{name}")
+        size = np.asarray(pc.list_value_length(lists).fill_null(0), dtype=np.int64)
+        terms = pc.list_flatten(lists).dictionary_encode()
+        code = np.asarray(terms.indices, dtype=np.int64)
+        row = np.repeat(np.arange(len(size)), size)
+        place = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
+        order = np.lexsort((place, code, row))
+        row, code = row[order], code[order]
+        begins = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (code[1:] != code[:-1])]) if len(code) else np.zeros(0, np.int64)
+        ends = np.r_[begins[1:], len(code)] if len(code) else begins
+        positions = pa.LargeListArray.from_arrays(pa.array(np.r_[begins, len(code)], pa.int64()), pa.array(place[order] + c * COLUMN_STEP, pa.int64()))
+        at = pa.array(row[begins])
+        parts.append(
+            pa.RecordBatch.from_arrays(
+                [batch.column("origin_db").take(at), terms.dictionary.take(pa.array(code[begins])), batch.column("doc_id").take(at), pa.array([name] * len(begins), pa.string()), batch.column("n_tokens").take(at), pa.array((ends - begins).astype(np.int32)), positions.cast(pa.list_(pa.int64()))],
+                names=["origin_db", "term", "doc_id", "col", "n_tokens", "tf", "positions"],
+            )
+        )
+    return pa.concat_batches(parts)
+
+
 def build_postings(source: DataFrame) -> DataFrame:
-    """``origin_db, term, doc_id, col, tf, positions`` of ``index_source``."""
-    def located(c: str) -> Column:
-        return F.transform(F.col(f"t_{c}"), lambda t, i: F.struct(F.lit(c).alias("col"), t.alias("term"), i.alias("pos")))
+    """``origin_db, term, doc_id, col, n_tokens, tf, positions`` of ``index_source``.
+
+    A document (a row; its identity is database and id) is grouped where it lies, so nothing
+    is shuffled. Documents without tokens have no postings; NULL columns count as empty.
+    """
+
+    def run(batches):
+        for b in batches:
+            yield _grouped(b)
+
+    kind = {c: source.schema[c].dataType.simpleString() for c in ("origin_db", "doc_id")}
+    rows = source.select("origin_db", "doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), *[f"t_{c}" for c in COLUMNS])
+    return rows.mapInArrow(run, f"origin_db {kind['origin_db']}, term string, doc_id {kind['doc_id']}, col string, n_tokens long, tf int, positions array<long>")
+
+
+#: Characters of a term that name its bucket: prefixes of at least so many read one bucket.
+HEAD = 2
+#: Documents whose postings of one bucket go into one file before the bucket is split.
+DOCS_PER_FILE = 5_000_000
 
-    each = [located(c) for c in COLUMNS]
-    rows = source.select("origin_db", "doc_id", F.explode(F.concat(*each)).alias("x")).select("origin_db", "doc_id", "x.*")
-    grouped = rows.groupBy("origin_db", "doc_id", "col", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-    return grouped.select("origin_db", "term", "doc_id", "col", F.size("positions").alias("tf"), "positions")
+
+def bucket_of(term: str, buckets: int) -> int:
+    return zlib.crc32(term[:HEAD].encode("utf-8")) % buckets
 
 
 def write_index(source: DataFrame, path: str, buckets: int = 64) -> None:
-    """Postings partitioned by a hash of the term, so that a query reads only its terms' files."""
-    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-    rows = build_postings(source).withColumn("bucket", bucket)
-    rows.repartition(buckets, "bucket").sortWithinPartitions("term", "origin_db", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    source.select("origin_db", "doc_id", "n_tokens").write.mode("overwrite").parquet(f"{path}/doc_stats")
+    """Writes ``postings`` (partitioned by bucket, sorted by term) and ``totals`` per database.
+
+    Frequent terms are spread over files by document, so no task gets a whole bucket of a
+    large corpus. The folder must be one that all executors share.
+    """
+    spread = max(1, -(-source.count() // DOCS_PER_FILE))
+    rows = build_postings(source).withColumn("bucket", (F.crc32(F.encode(F.substring("term", 1, HEAD), "UTF-8")) % buckets).cast("int"))
+    placed = rows.repartition(F.col("bucket"), F.pmod(F.xxhash64("doc_id"), F.lit(spread)))
+    placed.sortWithinPartitions("bucket", "term", "origin_db", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    totals = source.groupBy("origin_db").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n_tokens").alias("avg_tokens"))
+    kind = source.schema["doc_id"].dataType.simpleString()
+    totals.withColumns({"buckets": F.lit(buckets), "doc_type": F.lit(kind)}).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    totals = spark.read.parquet(f"{path}/totals")
+    n, buckets, kind = totals.agg(F.count(F.lit(1)), F.max("buckets"), F.max("doc_type")).first()
+    schema = f"origin_db string, term string, doc_id {kind or 'bigint'}, col string, n_tokens long, tf int, positions array<long>, bucket int"
+    return Index(spark.read.schema(schema).parquet(f"{path}/postings"), totals, n, buckets or 1)
+
+
+@dataclass
+class Index:
+    """A written index. ``n_databases`` was counted when it was opened and bounds what is broadcast."""
+
+    postings: DataFrame
+    totals: DataFrame
+    n_databases: int
+    buckets: int
+
+    def rows_of(self, phrases: list[Phrase]) -> DataFrame:
+        """Postings of the terms of some phrases; only their buckets are listed in the scan."""
+        words = {(w, p.prefix and j == len(p.words) - 1) for p in phrases for j, w in enumerate(p.words)}
+        rows = self.postings
+        if not any(prefix and len(w) < HEAD for w, prefix in words):
+            rows = rows.where(F.col("bucket").isin(sorted({bucket_of(w, self.buckets) for w, _ in words})))
+        exact = sorted(w for w, prefix in words if not prefix)
+        tests = [F.col("term").isin(exact)] if exact else []
+        tests += [F.startswith(F.col("term"), F.lit(w)) for w, prefix in sorted(words) if prefix]
+        return rows.where(functools.reduce(lambda a, b: a | b, tests))
+
+    def search(self, query: str) -> DataFrame:
+        """``origin_db, doc_id, score`` of the matching documents, as ``search_scan`` gives.
+
+        The postings of the query's terms meet per document in one aggregate; document
+        counts per phrase come from the same rows.
+        """
+        tree = parse_match(query)
+        phrases = tree.phrases()
+        near = {id(p) for n in _walk(tree) if n.op == "near" for p in n.phrases()}
+        aggs, counts, starts = [F.max("n_tokens").alias("n_tokens")], [], {}
+        for i, p in enumerate(phrases):
+            if len(p.words) == 1 and id(p) not in near:
+                aggs.append(F.sum(F.when(_is_word(p, 0), F.col("tf")).otherwise(0)).alias(f"f{i}"))
+                counts.append(F.col(f"f{i}"))
+                continue
+            for j in range(len(p.words)):
+                aggs.append(F.flatten(F.collect_list(F.when(_is_word(p, j), F.col("positions")))).alias(f"p{i}_{j}"))
+            starts[id(p)] = functools.reduce(F.array_intersect, [_moved(F.col(f"p{i}_{j}"), -j) for j in range(len(p.words))])
+            counts.append(F.size(starts[id(p)]))
+        grouped = self.rows_of(phrases).groupBy("origin_db", "doc_id").agg(*aggs)
+        numbers = [c.cast("long").alias(f"f{i}") for i, c in enumerate(counts)]
+        has = {id(p): F.col(f"f{i}") > 0 for i, p in enumerate(phrases)}
+        if near:  # the test needs positions, which are then dropped
+            found = {id(p): c > 0 for p, c in zip(phrases, counts, strict=True)}
+            hit = _matches(tree, found, lambda args, distance: _near_starts(args, distance, starts))
+            counted = grouped.select("origin_db", "doc_id", "n_tokens", *numbers, hit.alias("hit"))
+        else:
+            counted = grouped.select("origin_db", "doc_id", "n_tokens", *numbers).withColumn("hit", _matches(tree, has))
+        seen = counted.groupBy("origin_db").agg(*[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(phrases))])
+        stats = self.totals.select("origin_db", "n_docs", "avg_tokens").join(seen, "origin_db")
+        if self.n_databases <= BROADCAST_ROWS:
+            stats = F.broadcast(stats)
+        hits = counted.where("hit").join(stats, "origin_db")
+        return hits.select("origin_db", "doc_id", _score(len(phrases)).alias("score"))
+
+
+def _is_word(p: Phrase, j: int) -> Column:
+    w = F.lit(p.words[j])
+    same = F.startswith(F.col("term"), w) if p.prefix and j == len(p.words) - 1 else F.col("term") == w
+    return same & (F.col("col") == p.column) if p.column else same
+
+
+def _moved(positions: Column, by: int) -> Column:
+    return F.transform(positions, lambda x: x + by) if by else F.array_distinct(positions)
+
+
+def _around(places: Column, before: int, after: int) -> Column:
+    return F.flatten(F.transform(places, lambda x: F.sequence(x - before, x + after)))
+
+
+def _near_starts(args: list[Node], distance: int, starts: dict[int, Column]) -> Column:
+    """Whether each further phrase starts within reach of some start of the first one."""
+    first = args[0].phrase
+    tests = [F.size(starts[id(first)]) > 0]
+    for a in args[1:]:
+        reach = _around(starts[id(first)], len(a.phrase.words) + distance, len(first.words) + distance)
+        tests.append(F.arrays_overlap(reach, starts[id(a.phrase)]))
+    return functools.reduce(lambda x, y: x & y, tests)
 
 
 def _columns(p: Phrase) -> tuple[str, ...]:
@@ -101,12 +246,12 @@ def _near(args: list[Node], distance: int) -> Column:
     return functools.reduce(lambda a, b: a | b, [in_column(c) for c in shared], F.lit(False))
 
 
-def _matches(tree: Node, has: dict[int, Column]) -> Column:
+def _matches(tree: Node, has: dict[int, Column], near=_near) -> Column:
     if tree.op == "phrase":
         return has[id(tree.phrase)]
-    parts = [_matches(a, has) for a in tree.args]
     if tree.op == "near":
-        return _near(tree.args, tree.distance)
+        return near(tree.args, tree.distance)
+    parts = [_matches(a, has, near) for a in tree.args]
     if tree.op == "not":
         return parts[0] & ~parts[1]
     return functools.reduce(lambda a, b: a & b if tree.op == "and" else a | b, parts)
@@ -143,27 +288,6 @@ def search_scan(source: DataFrame, query: str, keep: tuple[str, ...] = ()) -> Da
     return hits.select("origin_db", "doc_id", *keep, _score(len(phrases)).alias("score"))
 
 
-def search_index(postings: DataFrame, doc_stats: DataFrame, query: str, buckets: int | None = None) -> DataFrame:
-    """As ``search_scan``, from postings; single-token phrases, prefixes, AND, OR, NOT and columns."""
-    tree = parse_match(query)
-    phrases = tree.phrases()
-    if any(len(p.words) > 1 for p in phrases) or "near" in {a.op for a in _walk(tree)}:
-        raise ValueError("phrases and NEAR need token positions: use search_scan on the matching documents")
-    wanted = [F.startswith(F.col("term"), F.lit(p.words[0])) if p.prefix else F.col("term") == p.words[0] for p in phrases]
-    rows = postings.where(functools.reduce(lambda a, b: a | b, wanted))
-    if buckets and not any(p.prefix for p in phrases):
-        spots = postings.sparkSession.range(1).select(*[F.pmod(F.xxhash64(F.lit(p.words[0])), F.lit(buckets)).cast("int") for p in phrases]).first()
-        rows = rows.where(F.col("bucket").isin(*{int(x) for x in spots}))
-    aggs = [F.sum(F.when(w & F.col("col").isin(*_columns(p)), F.col("tf")).otherwise(0)).alias(f"f{i}") for i, (p, w) in enumerate(zip(phrases, wanted, strict=True))]
-    counted = rows.groupBy("origin_db", "doc_id").agg(*aggs)
-    totals = doc_stats.groupBy("origin_db").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n_tokens").alias("avg_tokens"))
-    seen = counted.groupBy("origin_db").agg(*[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(phrases))])
-    stats = broadcast_if_small(totals.join(seen, "origin_db"))
-    has = {id(p): F.col(f"f{i}") > 0 for i, p in enumerate(phrases)}
-    hits = counted.where(_matches(tree, has)).join(doc_stats, ["origin_db", "doc_id"]).join(stats, "origin_db")
-    return hits.select("origin_db", "doc_id", _score(len(phrases)).alias("score"))
-
-
 def _walk(n: Node):
     yield n
     for a in n.args:
@@ -175,15 +299,15 @@ def best(hits: DataFrame, limit: int) -> DataFrame:
     return hits.orderBy("score", "origin_db", "doc_id").limit(limit)
 
 
-def relaxed_search(source: DataFrame, raw: str, limit: int = 50) -> DataFrame:
+def relaxed_search(index: Index, raw: str, limit: int = 50) -> DataFrame:
     """Strict hits first, then those of the relaxed form if there are fewer than ten strict ones."""
     from corvidex.plans.planner import RELAX_BELOW, normalize_query, plan_query
 
     plan = plan_query(raw)
-    strict = best(search_scan(source, normalize_query(plan.strict)), limit).withColumn("form", F.lit(0))
+    strict = best(index.search(normalize_query(plan.strict)), limit).withColumn("form", F.lit(0))
     if plan.explicit or plan.relaxed is None or strict.limit(RELAX_BELOW).count() >= RELAX_BELOW:
         return strict
-    loose = best(search_scan(source, plan.relaxed), limit).withColumn("form", F.lit(1))
+    loose = best(index.search(plan.relaxed), limit).withColumn("form", F.lit(1))
     first = Window.partitionBy("origin_db", "doc_id").orderBy("form")
     merged = strict.unionByName(loose).withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
     return merged.orderBy("form", "score", "origin_db", "doc_id").limit(limit)

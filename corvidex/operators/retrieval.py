@@ -68,9 +68,9 @@ def pool_artifact(docs: DataFrame, n: int = fusion.POOL_LIMIT) -> DataFrame:
     return fusion.ranked_pool(docs.where("source = 'chat:artifacts'"), "artifact", [F.col("doc_id").desc()], n, "doc_id")
 
 
-def pool_bm25(source: DataFrame, query: str, signal: str = "bm25", n: int = fusion.POOL_LIMIT) -> DataFrame:
+def pool_bm25(index: fts.Index, query: str, signal: str = "bm25", n: int = fusion.POOL_LIMIT) -> DataFrame:
     """Body hits of all databases by raw score; statistics are those of each database."""
-    return fusion.ranked_pool(fts.search_scan(source, query), signal, [F.col("score"), F.col("origin_db"), F.col("doc_id")], n, "doc_id")
+    return fusion.ranked_pool(index.search(query), signal, [F.col("score"), F.col("origin_db"), F.col("doc_id")], n, "doc_id")
 
 
 def pool_late(vecs: DataFrame, query: list[list[float]], n: int = fusion.POOL_LIMIT) -> DataFrame:
@@ -86,7 +86,7 @@ def overlap_scores(docs: DataFrame, ids: DataFrame, words: list[str], body: str)
     return scored.groupBy("stable_id").agg(F.max("score").alias("score"))
 
 
-def topic_search(docs: DataFrame, raw: str, options: Options | None = None, body: str = "text") -> DataFrame:
+def topic_search(docs: DataFrame, index: fts.Index, raw: str, options: Options | None = None, body: str = "text") -> DataFrame:
     """The whole path: plan, pools, fusion, re-ranking, context packing.
 
     ``position, doc_id, fused_score, used_before``: what fits the byte budget, in order.
@@ -95,13 +95,12 @@ def topic_search(docs: DataFrame, raw: str, options: Options | None = None, body
     o = options or Options()
     ticket, rest = P.split_ticket(raw)
     plan = P.plan_query(rest or raw)
-    source = fts.index_source(docs, body, extract=False)
-    strict = pool_bm25(source, P.normalize_query(plan.strict), n=o.pool)
+    strict = pool_bm25(index, P.normalize_query(plan.strict), n=o.pool)
     pools = strict.unionByName(pool_recency(docs, o.pool)).unionByName(pool_authority(docs, o.pool)).unionByName(pool_impact(docs, o.pool))
     if ticket:
         pools = pools.unionByName(pool_exact(docs, ticket, o.pool))
     if plan.relaxed and not plan.explicit and strict.limit(P.RELAX_BELOW).count() < P.RELAX_BELOW:
-        pools = pools.unionByName(pool_bm25(source, plan.relaxed, "bm25_relaxed", o.pool))
+        pools = pools.unionByName(pool_bm25(index, plan.relaxed, "bm25_relaxed", o.pool))
     fused = fusion.rrf(pools)
     if o.rerank != "off" and not P.is_generic(plan.terms):
         words = [P.fts_fold(w) for w in plan.terms]

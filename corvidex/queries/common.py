@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corvidex.operators import fts
+from corvidex.session import ensure_checkpoint_dir, load_table
+
 
 class Registry:
     def __init__(self) -> None:
@@ -26,3 +30,28 @@ class Registry:
 
 def sql_tokens(expr: str) -> str:
     return rf"list_filter(regexp_split_to_array(lower(strip_accents(coalesce({expr}, ''))), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
+
+
+_OPEN: dict[tuple[str, str], fts.Index] = {}
+
+
+def text_index(spark: SparkSession, sf_dir: str, rebuild: bool = False) -> fts.Index:
+    """The full-text index of ``documents``, written once per state of the table (or anew).
+
+    It lies in the shared folder under a digest of the table's files, their lengths and
+    times, so a changed table gets a new index and every later search reads the written one.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    stamp = hashlib.sha256()
+    while found.hasNext():
+        f = found.next()
+        stamp.update(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}\n".encode())
+    key = (spark.sparkContext.applicationId, stamp.hexdigest())
+    if rebuild or key not in _OPEN:
+        folder = f"{ensure_checkpoint_dir(spark)}/corvidex-index-{key[1][:32]}"
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/totals/_SUCCESS")  # written last
+        if rebuild or not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+            fts.write_index(fts.index_source(load_table(spark, sf_dir, "documents"), "text", extract=False), folder)
+        _OPEN[key] = fts.open_index(spark, folder)
+    return _OPEN[key]

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from corvidex.functions import text as T
 from corvidex.operators import evaluation as E
-from corvidex.operators import fts, fusion
+from corvidex.operators import fusion
 from corvidex.operators import retrieval as RT
 from corvidex.operators import vectors as V
-from corvidex.queries.common import Registry, sql_tokens
+from corvidex.queries.common import Registry, sql_tokens, text_index
 from corvidex.queries.relational import docs, journal
 from corvidex.session import load_table
 from corvidex.sources import worklog
@@ -90,21 +90,21 @@ def rnk_rerank_late(s, d):
 @q("join_fts_docs", f"SELECT doc_id, file_path FROM documents WHERE list_contains({sql_tokens('text')}, 'lease')")
 def join_fts_docs(s, d):
     """Hits of the index joined to their documents."""
-    hits = fts.search_scan(fts.index_source(docs(s, d), "text", extract=False), "content:lease")
+    hits = text_index(s, d).search("content:lease")
     return docs(s, d).select("doc_id", "file_path").join(hits.select("doc_id"), "doc_id", "left_semi")
 
 
 @q("fts_relax_trigger")
 def fts_relax_trigger(s, d):
     """Whether the relaxed form runs: few strict hits and no explicit syntax."""
-    source = fts.index_source(docs(s, d), "text", extract=False)
-    rows = [(w, fts.search_scan(source, w).limit(10).count() < 10) for w in ("cursor", "quaggaphobia")]
+    index = text_index(s, d)
+    rows = [(w, index.search(w).limit(10).count() < 10) for w in ("cursor", "quaggaphobia")]
     return s.createDataFrame(rows, "query string, relaxed boolean")
 
 
 @q("rnk_topic_search")
 def rnk_topic_search(s, d):
-    return RT.topic_search(docs(s, d), "where does the cursor lease stall")
+    return RT.topic_search(docs(s, d), text_index(s, d), "where does the cursor lease stall")
 
 
 @q("rnk_resume")
@@ -124,7 +124,7 @@ q("rnk_freshness_label", "SELECT source, count(*) AS n, CASE WHEN max(indexed_at
 
 @q("rnk_ticket_semantic", f"SELECT doc_id FROM documents WHERE list_contains({sql_tokens('file_path')}, 'turns') AND list_contains({sql_tokens('text')}, 'lease')")
 def rnk_ticket_semantic(s, d):
-    return fts.search_scan(fts.index_source(docs(s, d), "text", extract=False), "file_path:turns AND content:lease").select("doc_id")
+    return text_index(s, d).search("file_path:turns AND content:lease").select("doc_id")
 
 
 @q("rnk_digest_assemble")

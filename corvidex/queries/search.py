@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corvidex.functions import text as T
 from corvidex.operators import fts, fusion
 from corvidex.plans.planner import plan_query
-from corvidex.queries.common import Registry, sql_tokens
+from corvidex.queries.common import Registry, sql_tokens, text_index
 from corvidex.session import load_table
 
 R = Registry()
@@ -50,7 +50,7 @@ def _ranked(fs: list[str], hit: str, tail: str = "") -> str:
 
 def _search(query: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        hits = fts.search_scan(_source(spark, sf_dir), query)
+        hits = text_index(spark, sf_dir).search(query)
         return hits.withColumn("score", F.round("score", 6))
 
     return run
@@ -75,21 +75,24 @@ q("fts_relaxed_or", _ranked([_f1("decide"), _f1("deci", True), _f1("retry"), _f1
  SELECT * FROM h""",
 )
 def fts_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fts.search_scan(_source(spark, sf_dir), "NEAR(content:cursor content:gap, 5)").select("origin_db", "doc_id")
+    return text_index(spark, sf_dir).search("NEAR(content:cursor content:gap, 5)").select("origin_db", "doc_id")
 
 
 @q("top_bm25", _ranked([_f1("cursor"), _f1("gap")], "f0 > 0 AND f1 > 0", "ORDER BY score, origin_db, doc_id LIMIT 20"))
 def top_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = fts.search_scan(_source(spark, sf_dir), "cursor gap").withColumn("score", F.round("score", 6))
-    return fts.best(hits, 20)
+    return fts.best(_search("cursor gap")(spark, sf_dir), 20)
 
 
 @q("fts_index_search", _ranked([_f1("cursor"), _f1("snap", True)], "f0 > 0 AND f1 > 0"))
 def fts_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same ranking from a postings table."""
-    source = _source(spark, sf_dir)
-    hits = fts.search_index(fts.build_postings(source), source.select("origin_db", "doc_id", "n_tokens"), "cursor AND snap*")
-    return hits.withColumn("score", F.round("score", 6))
+    """A word and a prefix from the index."""
+    return _search("cursor AND snap*")(spark, sf_dir)
+
+
+@q("fts_scan", _ranked([_f1("cursor"), _f2("without", "a")], "f0 > 0 AND f1 > 0"))
+def fts_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ranking without an index, from the texts."""
+    return fts.search_scan(_source(spark, sf_dir), 'cursor "without a"').withColumn("score", F.round("score", 6))
 
 
 @q("fts_tokenize", f"SELECT token, count(*) AS cf, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({sql_tokens('text')}) AS token FROM documents) GROUP BY 1")
@@ -102,7 +105,9 @@ def fts_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
 @q("fts_index_rebuild", f"""{_BASE}, p AS (SELECT origin_db, doc_id, 'content' AS col, unnest(tc) AS term FROM t UNION ALL SELECT origin_db, doc_id, 'file_name', unnest(tn) FROM t UNION ALL SELECT origin_db, doc_id, 'file_path', unnest(tp) FROM t)
  SELECT origin_db, col, count(*) AS n_postings, sum(tf)::BIGINT AS n_tokens FROM (SELECT origin_db, doc_id, col, term, count(*) AS tf FROM p GROUP BY ALL) GROUP BY 1, 2""")
 def fts_index_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fts.build_postings(_source(spark, sf_dir)).groupBy("origin_db", "col").agg(F.count(F.lit(1)).alias("n_postings"), F.sum("tf").cast("long").alias("n_tokens"))
+    """Writes the index anew and counts what it holds."""
+    rows = text_index(spark, sf_dir, rebuild=True).postings
+    return rows.groupBy("origin_db", "col").agg(F.count(F.lit(1)).alias("n_postings"), F.sum("tf").cast("long").alias("n_tokens"))
 
 
 @q(
@@ -154,7 +159,7 @@ def fts_stopwords(spark: SparkSession, sf_dir: str) -> DataFrame:
 @q("fts_search_relaxed")
 def fts_search_relaxed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strict hits, completed by the relaxed form when they are few (a decision on the driver)."""
-    return fts.relaxed_search(_source(spark, sf_dir), "where does the ZoneTable ledger stall").withColumn("score", F.round("score", 6))
+    return fts.relaxed_search(text_index(spark, sf_dir), "where does the ZoneTable ledger stall").withColumn("score", F.round("score", 6))
 
 
 _TOP50 = "row_number() OVER (PARTITION BY origin_db ORDER BY score, doc_id)"

@@ -92,6 +92,29 @@ def test_search_against_brute_force(spark):
     assert fts.search_scan(source.limit(0), "alpha").count() == 0
 
 
+def test_index_equals_scan(spark, tmp_path):
+    """Words, prefixes, phrases with prefixes, columns, NEAR: the index gives what reading the texts gives."""
+    rng = random.Random(4)
+    words = ["alpha", "alphabet", "al", "beta", "gamma", "delta", "ż", "zażółć", "x"]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    docs = [(i, rng.choice(["a.db", "b.db", None]), text(2), None if i == 7 else text(rng.randrange(0, 12)), text(1)) for i in range(90)]
+    docs += [(200, "a.db", "beta", " ".join(["beta"] * 3000), "beta"), (201, "c.db", None, "", None), (202, "a.db", "alpha", "alpha beta", "again")]
+    df = spark.createDataFrame(docs, "doc_id int, origin_db string, file_path string, content string, file_name string").withColumn("tf", F.lit("clash"))
+    source = fts.index_source(df, "content", extract=False)
+    fts.write_index(source, f"{tmp_path}/index", buckets=8)
+    index = fts.open_index(spark, f"{tmp_path}/index")
+    queries = ["alpha", "alpha OR gamma", "alpha NOT beta", '"alpha beta"', "alph*", "a*", "z*", "content:beta", "(alpha OR beta) gamma", '"beta al"*', '"beta beta"',
+               "NEAR(alpha beta, 2)", "NEAR(content:gamma alph*, 3)", 'NEAR("alpha beta" gamma, 1) OR delta', "file_name:x AND content:ż", "nowhere", "beta NOT nowhere", "NEAR(beta beta, 0)"]
+    for q in queries:
+        rows = lambda x: sorted((str(r.origin_db), r.doc_id, round(r.score, 6)) for r in x.collect())
+        assert rows(index.search(q)) == rows(fts.search_scan(source, q)), q
+    plan = index.search("content:beta")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan, plan
+    assert "PushedFilters" in plan and "EqualTo(term,beta)" in plan and "positions" not in plan.split("ReadSchema")[1].split("\n")[0]
+    fts.write_index(source.limit(0), f"{tmp_path}/none")
+    assert fts.open_index(spark, f"{tmp_path}/none").search("alpha NOT beta*").count() == 0
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("---\nmode: \"plan\"\na: x: y\n---\nbody ABC-1 SCTASK12 ABC-1",), (None,), ("",), ("ŻÓŁW ø É",)], "t string")
     rows = df.select(T.front_matter_map(F.col("t")).alias("m"), T.tickets(F.col("t")).alias("k"), T.fts_fold(F.col("t")).alias("f"), T.ascii_fold(F.col("t")).alias("a"), T.search_body(F.col("t")).alias("b"), T.tokens(F.col("t")).alias("w")).collect()
