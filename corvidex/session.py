@@ -50,6 +50,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget(*checkpointed: DataFrame) -> None:
+    """Deletes the files of checkpointed tables that nothing reads any more.
+
+    Loops that replace their state step by step call this on the old state once the new one
+    is written, so the folder holds one state, not all of them. Other plans are left alone.
+    """
+    for df in checkpointed:
+        plan = df._jdf.queryExecution().analyzed()
+        if plan.getClass().getSimpleName() != "LogicalRDD":
+            continue
+        file = plan.rdd().getCheckpointFile()
+        if file.isDefined():
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Rows up to which a lookup side may be broadcast; beyond it the join is left to a shuffle.
 BROADCAST_ROWS = 50_000
 
