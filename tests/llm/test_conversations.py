@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from corvidex.llm.conversations import connected_components, rank_lines, rebuild_conversations
 
@@ -153,8 +154,37 @@ def test_components(spark):
         if b is not None:
             a, b = sorted((find(a), find(b)))
             root[b] = a
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u string, v string")).collect()}
-    assert got == {x: find(x) for x in root}
+    for hub_links in (10**6, 2):  # with nearly every node a hub the result is the same
+        got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u string, v string"), hub_links).collect()}
+        assert got == {x: find(x) for x in root}
+    star = [(0, i) for i in range(1, 3000)] + [(10_000 + i, 10_001 + i) for i in range(40)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(star, "u long, v long"), 500).collect()}
+    assert len(got) == 3041 and all(c == (0 if x < 3000 else 10_000) for x, c in got.items())
+
+
+def test_quotes_tie_a_message_to_its_session(spark):
+    base = dict(timestamp=None, issidechain=None, content="x", quote=None)
+    rows = [
+        dict(base, record_no=1, type="user", uuid="a", parentuuid=None, sessionid=None, quote="b"),
+        dict(base, record_no=2, type="assistant", uuid="b", parentuuid="a", sessionid="S"),
+        dict(base, record_no=3, type="user", uuid="c", parentuuid="b", sessionid="S", quote="nothing"),
+        dict(base, record_no=4, type="assistant", uuid="d", parentuuid="c", sessionid="S"),
+    ]
+    df = frame(spark, rows).withColumn("quoted", F.when(F.col("uuid") == "a", "b").when(F.col("uuid") == "c", "nothing"))
+    assert rebuild_conversations(df).count() == 0  # the first message is in no session
+    assert [(r.sessionid, r.turn_no, r.uuid) for r in rebuild_conversations(df, "quoted").orderBy("turn_no").collect()] == [("S", i, u) for i, u in enumerate("abcd", 1)]
+
+
+def test_replaced_state_is_deleted(spark):
+    import glob
+
+    from corvidex.session import ensure_checkpoint_dir
+
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    chain = spark.range(300).selectExpr("id as u", "id + 1 as v")
+    before = set(glob.glob(f"{folder}/rdd-*"))
+    assert {r.component for r in connected_components(chain).collect()} == {0}
+    assert len(set(glob.glob(f"{folder}/rdd-*")) - before) == 1
 
 
 def test_long_line_in_blocks(spark, monkeypatch):
