@@ -4,14 +4,15 @@ Rules per type, tried in the order e-mail, identity number, phone, address, pers
 one rule took is hidden from the next. Names come from a directory of people: its given
 and family names are combined freely, so people who are not listed are found as long as
 their names are made of known parts; after words that announce a person any capitalised
-full name counts. An Aho-Corasick pass over the folded text tells which rules can match at
-all, so most texts cost one pass.
+full name counts. One Aho-Corasick pass over the folded text finds the name parts, from
+which full names are put together, and tells whether the rules of addresses can match.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 TYPES = ("email", "id_number", "phone", "address", "person")
@@ -38,7 +39,11 @@ _PHONE = re.compile(
     re.I,
 )
 _PHONE_BARE = re.compile(r"(?<![\w./+-])1?[2-9]\d{2}[2-9]\d{6}(?![\w/-]|\.\d)")
-_PHONE_CUE = re.compile(r"(?:phone|tel|call|mobile|fax|numer kontaktowy|kontaktowy|erreichbar|rufnummer|telefon|téléphone|numéro|joindre)\W[^.\n]{0,25}$", re.I)
+_PHONE_CUE = re.compile(
+    r"\b(?:phone|tel|call|dial|ring|reach|mobile|cell|fax|extension|hotline|contact number|numer(?:em)? (?:kontaktowy|telefonu|tel)|kontaktowy|dzwoń|zadzwoń|telefonicznie|komórka"
+    r"|erreichbar|rückruf|rufnummer|rufen|anrufen|handy|durchwahl|joignable|joindre|appel|appelez|portable|numéro)\w*\W[^.\n]{0,25}$|\b(?:tele[fp]|télép)\w*\W[^.\n]{0,25}$",
+    re.I,
+)
 
 _UP = "[A-ZÀ-ÖØ-ÞĄĆĘŁŃŚŹŻČŠŽŘĚŐŰ]"
 _CAP = rf"{_UP}[\w'’-]*"
@@ -54,6 +59,10 @@ _ADDRESS = re.compile(
     rf"|(?:{_UP}\w*(?:straße|strasse|str\.|gasse|weg|platz|allee|ring|damm|ufer|steig|markt)|(?:Am|An der|An den|Auf dem|Auf der|Im|In der|Zum|Zur|Hintere[rs]?|Vordere[rs]?|Alte[rs]?|Neue[rs]?|Untere[rs]?|Obere[rs]?|Große[rs]?|Kleine[rs]?)\s{_CAP})\s{_NUMBER}{_TOWN}"
     r")"
 )
+#: What makes a bare run of digits a number to call: brackets after a name, or a mail address just before.
+_AFTER_NAME = re.compile(r"([^\W\d_][\w'’-]*),?\s?\($")
+_COUNTED = frozenset("job byte bytes bajt row rows wiersz zeile ligne offset port build page run id line item ticket sequence record version serial".split())
+_AFTER_MAIL = re.compile(r"\0[>)\]]?[,;:]?\s?\(?$")
 _ADDRESS_WORDS = (
     "street road lane avenue close hill way drive court square terrace crescent row gardens place walk mews boulevard rue chemin impasse allée quai route cours "
     "ul. ulica al. aleja os. pl. plac straße strasse str. gasse weg platz allee ring damm ufer steig markt"
@@ -115,9 +124,59 @@ class Mention:
     text: str
 
 
+_MIDDLE, _GAP, _COMMA, _INITIAL = re.compile(r"\s+\w\.\s+"), re.compile(r"\s+"), re.compile(r",\s+"), re.compile(r"\s+\w\.")
+
+
+def people(folded: str, given: dict[int, list[int]], family: dict[int, list[int]]) -> Iterator[tuple[int, int]]:
+    """Spans of full names in a folded text, left to right, from the name parts found in it.
+
+    ``given`` and ``family`` map where a part starts to where it may end, longest first.
+    Forms: given (middle initial) family; family, given (initial); initial family. Both parts
+    may be double-barrelled.
+    """
+
+    def parts(table: dict[int, list[int]], at: int) -> Iterator[int]:
+        for e in table.get(at, ()):
+            if folded[e : e + 1] == "-":
+                yield from table.get(e + 1, ())
+            yield e
+
+    def free(at: int) -> bool:
+        c = folded[at : at + 1]
+        return not c or not (c.isalnum() or c in "_@-")
+
+    def whole(at: int) -> int | None:
+        for e in parts(given, at):
+            for rx in (_MIDDLE, _GAP):
+                if m := rx.match(folded, e):
+                    for end in parts(family, m.end()):
+                        if free(end):
+                            return end
+        for e in family.get(at, ()):
+            if m := _COMMA.match(folded, e):
+                for end in parts(given, m.end()):
+                    # an initial belongs here unless a family name follows it, which is then another person
+                    if (i := _INITIAL.match(folded, end)) and not ((g := _GAP.match(folded, i.end())) and g.end() in family) and free(i.end()):
+                        return i.end()
+                    if free(end):
+                        return end
+        if folded[at + 1 : at + 2] == ".":
+            for end in parts(family, at + 3 if folded[at + 2 : at + 3].isspace() else at + 2):
+                if free(end):
+                    return end
+        return None
+
+    initials = {f - k for f in family for k in (2, 3) if f >= k and folded[f - k].isalnum()}
+    done = 0
+    for at in sorted({*given, *family, *initials}):
+        if at >= done and (at == 0 or free(at - 1)) and (end := whole(at)):
+            yield at, end
+            done = end
+
+
 @dataclass
 class Detector:
-    """Finds mentions; ``given`` and ``family`` are names of the directory (a fixed table)."""
+    """Finds mentions; ``given`` and ``family`` are names of the directory (see ``MAX_DIRECTORY``)."""
 
     given: list[str]
     family: list[str]
@@ -130,23 +189,23 @@ class Detector:
         if not self._ready:
             import ahocorasick
 
+            words: dict[str, set[str]] = {}
+            for kind, names in (("address", _ADDRESS_WORDS), ("given", self.given), ("family", self.family)):
+                for w in names:
+                    for v in {fold(w)} if kind == "address" else spellings(w) if w and len(w) > 1 else ():
+                        words.setdefault(v, set()).add(kind)
             auto = ahocorasick.Automaton()
-            for w in _ADDRESS_WORDS:
-                auto.add_word(fold(w), "address")
-            names = lambda xs: "|".join(sorted({re.escape(v) for x in xs if x for v in spellings(x)}, key=len, reverse=True)) or r"(?!)"
-            for w in self.family:
-                if w and len(w) > 1:
-                    for v in spellings(w):
-                        auto.add_word(v, "person")
+            for v, kinds in words.items():
+                auto.add_word(v, (len(v), tuple(kinds)))
             auto.make_automaton()
-            g, f = names(self.given), names(self.family)
-            two = rf"(?:{g})(?:-(?:{g}))?"
-            self._ready.update(
-                auto=auto,
-                person=re.compile(rf"(?<![\w@-])(?:{two}(?:\s+\w\.)?\s+(?:{f})(?:-(?:{f}))?|(?:{f}),\s+{two}(?:\s+\w\.(?!\s+(?:{f})))?|\w\.\s?(?:{f}))(?![\w@-])"),
-            )
+            self._ready.update(auto=auto)
         return self._ready
 
+    def name_kinds(self, word: str) -> tuple[str, ...]:
+        """Whether a folded word is a given or a family name of the directory."""
+        hit = self._setup()["auto"].get(word, (0, ()))
+        return tuple(k for k in ("given", "family") if k in hit[1])
+
     def find(self, text: str | None) -> list[Mention]:
         """Mentions in order of their start; NULL and empty texts have none."""
         if not text:
@@ -182,14 +241,33 @@ class Detector:
             take("phone", spans)
             take(
                 "phone",
-                (m.span() for m in _PHONE_BARE.finditer(masked) if m[0][-7:-2] == "55501" or _PHONE_CUE.search(masked[max(0, m.start() - 40) : m.start()])),
+                (m.span() for m in _PHONE_BARE.finditer(masked) if self.is_called(masked[max(0, m.start() - 40) : m.start()], masked[m.end() : m.end() + 1])),
             )
         folded = fold(masked)
-        hits = {k for _, k in ready["auto"].iter(folded)}
-        if digits and ("address" in hits or re.search(r"\b(?:A[mnu]|Im|In|Z[u][mr]|[HVANUOGK]\w+e[rs]?)\b.{1,30}\d", masked)):
-            take("address", (m.span() for m in _ADDRESS.finditer(masked)))
-            folded = fold(masked)
-        if "person" in hits:
-            take("person", (m.span() for m in ready["person"].finditer(folded)))
+        found: dict[str, dict[int, list[int]]] = {"address": {}, "given": {}, "family": {}}
+        for last, (n, kinds) in ready["auto"].iter(folded):
+            for k in kinds:
+                found[k].setdefault(last - n + 1, []).insert(0, last + 1)
+        if digits and (found["address"] or re.search(r"\b(?:A[mnu]|Im|In|Z[u][mr]|[HVANUOGK]\w+e[rs]?)\b.{1,30}\d", masked)):
+            taken = [m.span() for m in _ADDRESS.finditer(masked)]
+            take("address", taken)
+            if taken and found["family"]:
+                hidden = lambda a, b: any(x < b and a < y for x, y in taken)
+                for k in ("given", "family"):
+                    found[k] = {a: keep for a, ends in found[k].items() if (keep := [b for b in ends if not hidden(a, b)])}
+                folded = fold(masked)
+        if found["family"]:
+            take("person", people(folded, found["given"], found["family"]))
         take("person", (m.span(1) for m in _ANNOUNCED.finditer(masked) if "\0" not in m[1]))
         return sorted(out, key=lambda m: m.start)
+
+    def is_called(self, before: str, after: str) -> bool:
+        """Whether the text around a bare run of digits says that it is a number to call.
+
+        A cue word before it, a mail address just before it, or brackets after a name (a
+        capitalised word or a part of a known name).
+        """
+        if _PHONE_CUE.search(before) or _AFTER_MAIL.search(before):
+            return True
+        name = _AFTER_NAME.search(before) if after == ")" else None
+        return bool(name) and fold(name[1]) not in _COUNTED and (name[1][0].isupper() or any(self.name_kinds(w) for w in re.findall(r"[^\W\d_]+", fold(name[1]))))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corvidex.llm.pii import Detector
 from corvidex.llm.surrogates import find_mentions, redact, text_rows
@@ -28,7 +29,16 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_mentions(_texts(spark, sf_dir), directory(load_table(spark, sf_dir, "contacts")))
+    """The mentions that get a surrogate; each row comes with the one it gets, which is left out here."""
+    found = find_mentions(_texts(spark, sf_dir), directory(load_table(spark, sf_dir, "contacts")), QUERY_KEY)
+    return found.drop("surrogate")
+
+
+def p2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many mentions and how many different surrogates each type has."""
+    found = find_mentions(_texts(spark, sf_dir), directory(load_table(spark, sf_dir, "contacts")), QUERY_KEY)
+    per = found.groupBy("pii_type", "surrogate").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("pii_type").agg(F.sum("n").alias("n_mentions"), F.count(F.lit(1)).alias("n_surrogates"))
 
 
 def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,4 +46,4 @@ def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact(_texts(spark, sf_dir), directory(load_table(spark, sf_dir, "contacts")), QUERY_KEY)
 
 
-QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted}
+QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p2_surrogates": p2_surrogates}

@@ -2,24 +2,33 @@
 
 Every entity gets a replacement made from a keyed hash of its normal form, so the same
 entity has the same replacement everywhere, whatever its spelling. Replacements keep type,
-order of name parts, gender (by the name's ending), script, case, separators and length.
+order of name parts, gender, script, case, separators and length.
 
-* numbers: the significant digits go through a keyed permutation of all digit strings of
-  that length, so two numbers can never share a replacement;
+* numbers: letters and digits go through a keyed permutation of all strings of that shape,
+  walked on until the result is valid (check digit, date, area), so two numbers can never
+  share a replacement and valid ones stay valid;
 * names, mail addresses and streets are drawn from large spaces, and a distributed check
-  finds entities that meet; all but one of them are drawn again until none meet.
+  finds entities that meet; all but one of them are drawn again until none meet. Drawn
+  words are written in Latin letters and put into the script of the original by a map that
+  gives every letter its own sign, so what differs when drawn differs when written;
+* a mail address that holds the names of its owner gets the names of the owner's surrogate.
+
+Texts are searched once: the mentions found are written, and everything after reads those.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvidex.llm.pii import Detector, Mention, fold
+from corvidex.llm.genders import gender_of
+from corvidex.llm.pii import Detector, Mention, fold, valid_pesel
 
 _ONSETS = "b c d f g h j k l m n p r s t v w z br dr".split()
 _VOWELS = "a e i o".split()
@@ -32,7 +41,12 @@ _PLAIN_WORDS = frozenset(
     ).split()
 )
 _STREET_ENDS = re.compile(r"(straße|strasse|str|gasse|weg|platz|allee|ring|damm|ufer|steig|markt)$", re.I)
-_CYRILLIC = dict(zip("abcdefghijklmnoprstvwz", "абцдефгхийклмнопрстввз", strict=True))
+_LATIN = "abcdefghijklmnopqrstuvwxyz"
+# fixed values: one sign of the script for each Latin letter, none twice
+SCRIPTS = {"cyrillic": dict(zip(_LATIN, "абцдефгхийклмнопќрстувўњыз", strict=True)), "greek": dict(zip(_LATIN, "αβψδεφγηιϳκλμνοπϙρστυϝωξϋζ", strict=True))}
+_SCRIPT_OF = (("cyrillic", re.compile("[Ѐ-ӿ]")), ("greek", re.compile("[Ͱ-Ͽἀ-῿]")))
+#: Endings of drawn names; no two kinds share one, so a given name never meets another word.
+ENDINGS = {"f": "a", "m": "n", "?": "y", "family": "er", "word": "u"}
 
 
 def _hash(key: bytes, *parts: object) -> int:
@@ -49,45 +63,92 @@ def _syllables(h: int, n: int) -> str:
     return "".join(out)
 
 
+def permute(key: bytes, text: str, tweak: str = "", valid: Callable[[str], bool] | None = None) -> str:
+    """A keyed permutation of all strings of capitals and digits of one shape.
+
+    The string is a number in mixed base; a Feistel network over the next even number of
+    bits is applied until the result is such a number again and, where ``text`` is valid,
+    until it is ``valid`` (the walk ends: the permutation returns to ``text`` at last).
+    """
+    bases = [26 if c.isalpha() else 10 for c in text]
+    size, number = 1, 0
+    for c, base in zip(text, bases, strict=True):
+        number, size = number * base + (ord(c) - 65 if base == 26 else int(c)), size * base
+    if size < 2:
+        return text
+    half = max(1, ((size - 1).bit_length() + 1) // 2)
+    mask = (1 << half) - 1
+    shape = "".join("A" if b == 26 else "0" for b in bases)
+    wanted = valid if valid and valid(text) else None
+    while True:
+        left, right = number >> half, number & mask
+        for r in range(6):
+            left, right = right, left ^ (_hash(key, "f", tweak, shape, r, right) & mask)
+        number = left << half | right
+        if number < size:
+            out, rest = [], number
+            for base in reversed(bases):
+                rest, d = divmod(rest, base)
+                out.append(chr(65 + d) if base == 26 else str(d))
+            made = "".join(reversed(out))
+            if wanted is None or wanted(made):
+                return made
+
+
 def permute_digits(key: bytes, digits: str, tweak: str = "") -> str:
-    """A keyed permutation of the digit strings of one length (a balanced Feistel network)."""
-    n = len(digits)
-    if n < 2:
-        return str((int(digits) + _hash(key, "one", tweak) % 10) % 10) if digits else ""
-    cut = n // 2
-    left, right = digits[:cut], digits[cut:]
-    for r in range(8):
-        size = len(left)
-        mixed = (int(left) + _hash(key, "f", tweak, n, r, right)) % 10**size
-        left, right = right, f"{mixed:0{size}d}"
-    return left + right
+    return permute(key, digits, tweak) if digits else ""
+
+
+def valid_number(original: str) -> Callable[[str], bool] | None:
+    """What a replacement of a national number must satisfy beyond its shape."""
+    if re.fullmatch(r"\d{11}", original):
+        return lambda t: valid_pesel(t) and int(t[9]) % 2 == int(original[9]) % 2  # the tenth digit tells the sex
+    if re.fullmatch(r"\d{9}", original):
+        return lambda t: t[:3] not in ("000", "666") and t[0] != "9" and t[3:5] != "00" and t[5:] != "0000"
+    return None
+
+
+def script_of(word: str) -> str | None:
+    return next((name for name, rx in _SCRIPT_OF if rx.search(word)), None)
 
 
 def _like(shape: str, word: str) -> str:
     """``word`` in the case and script of ``shape``."""
-    if re.search(r"[Ѐ-ӿ]", shape):
-        word = "".join(_CYRILLIC.get(c, c) for c in word)
+    signs = SCRIPTS.get(script_of(shape) or "")
+    if signs:
+        word = "".join(signs.get(c, c) for c in word)
     letters = [c for c in shape if c.isalpha()]
     if len(letters) > 1 and all(c.isupper() for c in letters):
         return word.upper()
     return word if letters and letters[0].islower() else word[:1].upper() + word[1:]
 
 
+@functools.lru_cache(maxsize=200_000)
 def _part(key: bytes, kind: str, name: str, attempt: int) -> str:
     """Surrogate of one folded name part; initials of a name keep belonging to it."""
     first = _initial(key, name[0])
-    body = _syllables(_hash(key, kind, name, attempt), 3 + min(attempt, 6))
+    body = _syllables(_hash(key, kind, name, attempt), 3 + attempt)
     if kind == "given":
-        body = body[:-1] + "a" if name.endswith("a") else body + "n"
+        end = ENDINGS[gender_of(name)]
+        body = body[:-1] + end if end in "ay" else body + end
     else:
-        body += "ska" if name.endswith("ska") else "er"
+        polish = re.search(r"(?:sk|ck|dzk)([aiy])$", name)
+        body += f"sk{polish[1]}" if polish else "ova" if name.endswith("ova") else ENDINGS["family"]
     return first + (body if first in "aeiouy" else "aeio"[_hash(key, kind, name, "v") % 4] + body)
 
 
+@functools.lru_cache(maxsize=4096)
+def _order(key: bytes) -> str:
+    return "".join(sorted(_LATIN, key=lambda c: _hash(key, "initial", c)))
+
+
 def _initial(key: bytes, letter: str) -> str:
-    alphabet = "abcdefghijklmnopqrstuvwxyz"
-    order = sorted(alphabet, key=lambda c: _hash(key, "initial", c))
-    return order[alphabet.index(letter)] if letter in alphabet else letter
+    """The letter that stands for ``letter`` at the start of names, in Latin."""
+    at = _LATIN.find(letter)
+    if at < 0:
+        back = {c: k for signs in SCRIPTS.values() for k, c in signs.items()}
+        at = _LATIN.index(back.get(letter) or _LATIN[_hash(key, "sign", letter) % 26])
+    return _order(key)[at]
 
 
 def _national(digits: str) -> tuple[str, str]:
@@ -104,11 +165,32 @@ def _national(digits: str) -> tuple[str, str]:
     return "", digits
 
 
-def entities_of(m: Mention) -> list[tuple[str, str]]:
-    """Normal forms (kind, key) of what a mention names; numbers are permuted, not drawn."""
+_AT = re.compile(r"@|\s*[\[(]\s*at\s*[\])]\s*", re.I)
+_DOT = re.compile(r"\.|\s*[\[(]\s*dot\s*[\])]\s*", re.I)
+
+
+def _mail_parts(text: str, detector: Detector | None) -> tuple[str, str, str, list[tuple[str, str]]]:
+    """Local part, sign, domain of an address, and what each word of the local part is."""
+    sign = _AT.search(text)
+    local, at, domain = (text[: sign.start()], sign[0], text[sign.end() :]) if sign else (text, "", "")
+    words = []
+    for w in re.findall(r"[^\W\d_]+|\d+", local):
+        kinds = detector.name_kinds(fold(w)) if detector and w.isalpha() else ()
+        words.append((kinds[0] if kinds else "digits" if w.isdigit() else "word", fold(w)))
+    return local, at, domain, words
+
+
+def entities_of(m: Mention, detector: Detector | None = None) -> list[tuple[str, str]]:
+    """Normal forms (kind, key) of what a mention names; numbers are permuted, not drawn.
+
+    The words of a mail address that are no names are one entity: the names around them are
+    part of its key, as two addresses meet only if all of their words do.
+    """
     if m.kind == "email":
-        t = re.sub(r"\s*[\[(]\s*at\s*[\])]\s*", "@", m.text, flags=re.I)
-        return [("email", re.sub(r"\s*[\[(]\s*dot\s*[\])]\s*", ".", t, flags=re.I).lower())]
+        local, _, domain, words = _mail_parts(m.text, detector)
+        out = [("domain", _DOT.sub(".", domain).lower())]
+        own = [(k, w) for k, w in words if k in ("given", "family")]
+        return [*own, ("mailbox", mail_key(local, words)), *out]
     if m.kind == "address":
         return [("place", fold(w)) for w in _place_words(m.text)]
     if m.kind == "person":
@@ -117,6 +199,12 @@ def entities_of(m: Mention) -> list[tuple[str, str]]:
     return []
 
 
+def mail_key(local: str, words: list[tuple[str, str]]) -> str:
+    """A local part with its names marked, in lower case."""
+    it = iter(words)
+    return re.sub(r"[^\W\d_]+|\d+", lambda _: (lambda k, w: f"<{k}:{w}>" if k in ("given", "family") else w)(*next(it)), local.lower())
+
+
 def _stem(word: str) -> str:
     """The name in a word of an address: without a street ending, '' for plain words."""
     stem = _STREET_ENDS.sub("", word) if len(word) > 6 else word
@@ -137,27 +225,22 @@ def _name_parts(text: str) -> tuple[list[str], list[str]]:
     return words(giv), words(fam)
 
 
-def surrogate(key: bytes, m: Mention, attempts: dict[tuple[str, str], int] | None = None) -> str:
+def surrogate(key: bytes, m: Mention, attempts: dict[tuple[str, str], int] | None = None, detector: Detector | None = None) -> str:
     """Replacement text of a mention."""
     tries = attempts or {}
     if m.kind == "email":
-        e = entities_of(m)[0]
-        name = _syllables(_hash(key, *e, tries.get(e, 0)), 6)
-        local, at, domain = m.text, "@", ""
-        sign = re.search(r"@|\s*[\[(]\s*at\s*[\])]\s*", m.text, re.I)
-        if sign:
-            local, at, domain = m.text[: sign.start()], sign[0], m.text[sign.end() :]
-        dot = re.search(r"\s*[\[(]\s*dot\s*[\])]\s*", domain, re.I)
-        out = f"{name[: len(name) // 2]}.{name[len(name) // 2 :]}", f"{at}mask{dot[0] if dot else '.'}invalid"
-        return (out[0].upper() + out[1].upper()) if local.isupper() else "".join(out)
-    if m.kind in ("phone", "id_number"):
+        return _mail(key, m.text, tries, detector)
+    if m.kind == "phone":
         body, ext = m.text, ""
-        if m.kind == "phone" and (x := re.search(r"\s?(?:ext|x|wewn|durchwahl|poste)\.?\s?\d+$", body, re.I)):
+        if x := re.search(r"\s?(?:ext|x|wewn|durchwahl|poste)\.?\s?\d+$", body, re.I):
             body, ext = body[: x.start()], re.sub(r"\d+", lambda d: permute_digits(key, d[0], "ext"), x[0])
-        digits = re.sub(r"\D", "", body)
-        prefix, number = _national(digits) if m.kind == "phone" else ("", digits)
-        new = iter(prefix + permute_digits(key, number, m.kind))
+        prefix, number = _national(re.sub(r"\D", "", body))
+        new = iter(prefix + permute_digits(key, number, "phone"))
         return re.sub(r"\d", lambda _: next(new), body) + ext
+    if m.kind == "id_number":
+        plain = re.sub(r"[^A-Z0-9]", "", m.text)
+        new = iter(permute(key, plain, "id_number", valid_number(plain)))
+        return re.sub(r"[A-Z0-9]", lambda _: next(new), m.text)
     if m.kind == "address":
 
         def other(w: re.Match) -> str:
@@ -183,20 +266,62 @@ def surrogate(key: bytes, m: Mention, attempts: dict[tuple[str, str], int] | Non
     return re.sub(r"[^\W\d_]+", lambda _: next(it), m.text)
 
 
+def _mail(key: bytes, text: str, tries: dict, detector: Detector | None) -> str:
+    local, at, domain, words = _mail_parts(text, detector)
+    box = mail_key(local, words)
+    drawn = iter(draw(key, "mailbox", box, tries.get(("mailbox", box), 0)).split("|"))
+    it = iter(words)
+
+    def other(w: re.Match) -> str:
+        kind, name = next(it)
+        if kind in ("given", "family"):
+            made = _part(key, kind, name, tries.get((kind, name), 0))
+        else:
+            made = next(drawn)
+        return made.upper() if w[0].isupper() else made
+
+    new = re.sub(r"[^\W\d_]+|\d+", other, local)
+    d = _DOT.sub(".", domain).lower()
+    host = draw(key, "domain", d, tries.get(("domain", d), 0))
+    dot = _DOT.search(domain)
+    out = f"{host}{dot[0] if dot else '.'}invalid"
+    return f"{new}{at}{out.upper() if domain.isupper() else out}"
+
+
 def draw(key: bytes, kind: str, name: str, attempt: int) -> str:
     """What an entity is replaced by, in the form in which two replacements must differ."""
     if kind in ("given", "family"):
         return _part(key, kind, name, attempt)
-    return _syllables(_hash(key, kind, name, attempt), 6 if kind == "email" else 4 + min(attempt, 6))
+    if kind == "mailbox":
+        words = re.findall(r"<\w+:[^>]*>|[^\W\d_]+|\d+", name)
+        loose = [w for w in words if w[0] != "<"]
+        return "|".join(_loose(key, w, name, i, attempt) for i, w in enumerate(loose))
+    return _syllables(_hash(key, kind, name, attempt), 4 + attempt)
+
+
+def _loose(key: bytes, word: str, box: str, place: int, attempt: int) -> str:
+    """Surrogate of a word of a mail address that is no name: digits stay digits."""
+    if word.isdigit():
+        return permute(key, word, f"mail|{attempt}")
+    return _syllables(_hash(key, "mailbox", box, place, attempt), 3 + attempt)[:-1] + ENDINGS["word"]
 
 
-def render(key: bytes, text: str, mentions: list[Mention], attempts=None, typed: bool = True) -> str:
+def meeting_form(key: bytes, kind: str, name: str, attempt: int, draw_with=draw) -> str:
+    """Two entities of a kind meet if these are equal: for mail addresses with the names and signs around the drawn words."""
+    drawn = draw_with(key, kind, name, attempt)
+    return re.sub(r"(?<![<:\w])[^\W\d_]+(?![\w:>])|(?<![<:\w])\d+(?![\w:>])", "*", name) + "\x1f" + drawn if kind == "mailbox" else drawn
+
+
+def render(key: bytes, text: str, mentions: list[Mention], attempts=None, typed: bool = True, detector: Detector | None = None) -> str:
     """``text`` with each mention replaced, typed as ``<PERSON:...>`` if ``typed``."""
+    return splice(text, [(m.start, m.end, m.kind, surrogate(key, m, attempts, detector)) for m in mentions], typed)
+
+
+def splice(text: str, spans: list[tuple[int, int, str, str]], typed: bool = True) -> str:
     out, at = [], 0
-    for m in mentions:
-        s = surrogate(key, m, attempts)
-        out += [text[at : m.start], f"<{m.kind.upper()}:{s}>" if typed else s]
-        at = m.end
+    for start, end, kind, made in spans:
+        out += [text[at:start], f"<{kind.upper()}:{made}>" if typed else made]
+        at = end
     return "".join([*out, text[at:]])
 
 
@@ -206,88 +331,118 @@ def text_rows(df: DataFrame, table: str, id_column: str, fields: tuple[str, ...]
     return df.select(F.lit(table).alias("tbl"), F.col(id_column).cast("long").alias("row_id"), F.inline(items))
 
 
-def find_mentions(texts: DataFrame, detector: Detector) -> DataFrame:
-    """One row per mention: ``tbl, row_id, field_name, pii_type, item_no``.
+ROW = ["tbl", "row_id", "field_name", "stamp"]
+_ROW_SCHEMA = "tbl string, row_id long, field_name string, stamp long"
+_SPANS = "array<struct<start:int,end:int,kind:string,item_no:int,text:string>>"
+_ENTITIES = "array<struct<kind:string,name:string>>"
 
-    ``item_no`` counts the mentions of a type in a field from its start. NULL and empty
-    texts have none; whole texts are read, of any length; repeated rows each count.
-    """
 
-    def run(frames):
-        for f in frames:
-            out = []
-            for tbl, row, name, text in zip(f["tbl"], f["row_id"], f["field_name"], f["text"], strict=True):
-                n: dict[str, int] = {}
-                for m in detector.find(text):
-                    n[m.kind] = n.get(m.kind, 0) + 1
-                    out.append((tbl, row, name, m.kind, n[m.kind]))
-            yield pd.DataFrame(out, columns=["tbl", "row_id", "field_name", "pii_type", "item_no"])
+def _stamped(texts: DataFrame) -> DataFrame:
+    """``stamp`` tells texts apart that stand under one id."""
+    return texts.withColumn("stamp", F.xxhash64("text"))
 
-    return texts.where("length(text) > 0").mapInPandas(run, "tbl string, row_id long, field_name string, pii_type string, item_no int")
 
+def detect(texts: DataFrame, detector: Detector) -> DataFrame:
+    """``tbl, row_id, field_name, stamp, spans, entities`` of the texts that mention anything.
 
-def find_entities(texts: DataFrame, detector: Detector) -> DataFrame:
-    """Distinct drawn entities per text: ``tbl, row_id, field_name, kind, name``."""
+    The one pass over the texts. ``item_no`` of a span counts the mentions of a type in a
+    field from its start. NULL and empty texts have none; whole texts are read, of any
+    length; repeated rows each come out.
+    """
 
     def run(frames):
         for f in frames:
             out = []
-            for tbl, row, name, text in zip(f["tbl"], f["row_id"], f["field_name"], f["text"], strict=True):
-                out += [(tbl, row, name, *e) for e in {e for m in detector.find(text) for e in entities_of(m)}]
-            yield pd.DataFrame(out, columns=["tbl", "row_id", "field_name", "kind", "name"])
+            for *row, text in zip(*(f[c] for c in (*ROW, "text")), strict=True):
+                if found := detector.find(text):
+                    n: dict[str, int] = {}
+                    spans = []
+                    for m in found:
+                        n[m.kind] = n.get(m.kind, 0) + 1
+                        spans.append({"start": m.start, "end": m.end, "kind": m.kind, "item_no": n[m.kind], "text": m.text})
+                    named = dict.fromkeys(e for m in found for e in entities_of(m, detector))
+                    out.append((*row, spans, [{"kind": k, "name": x} for k, x in named]))
+            yield pd.DataFrame(out, columns=[*ROW, "spans", "entities"])
 
-    return texts.where("length(text) > 0").mapInPandas(run, "tbl string, row_id long, field_name string, kind string, name string")
+    rows = _stamped(texts.where("length(text) > 0")).select(*ROW, "text")
+    return rows.mapInPandas(run, f"{_ROW_SCHEMA}, spans {_SPANS}, entities {_ENTITIES}")
 
 
-def redraw_until_distinct(entities: DataFrame, key: bytes, rounds: int = 20, draw_with=draw) -> DataFrame:
-    """``kind, name, attempt`` of the entities that must be drawn again (attempt > 0)."""
-    from corvidex.session import cut_lineage
+def redraw_until_distinct(entities: DataFrame, key: bytes, draw_with=draw) -> DataFrame:
+    """``kind, name, attempt`` of the entities that must be drawn again (attempt > 0).
+
+    ``entities``: ``kind, name``. Every attempt draws from a larger space, so the rounds end.
+    """
+    from corvidex.session import cut_lineage, forget
 
     def drawn(df: DataFrame) -> DataFrame:
         def run(frames):
             for f in frames:
-                f["drawn"] = [draw_with(key, k, n, a) for k, n, a in zip(f["kind"], f["name"], f["attempt"], strict=True)]
+                f["drawn"] = [meeting_form(key, k, n, a, draw_with) for k, n, a in zip(f["kind"], f["name"], f["attempt"], strict=True)]
                 yield f
 
         return df.mapInPandas(run, "kind string, name string, attempt int, drawn string")
 
     now = cut_lineage(drawn(entities.select("kind", "name", F.lit(0).alias("attempt")).distinct()))
-    for _ in range(rounds):
+    while True:
         met = now.groupBy("kind", "drawn").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("keeps")).where("n > 1")
-        again = now.join(met, ["kind", "drawn"]).where("name <> keeps")
+        again = now.join(met, ["kind", "drawn"]).where("name <> keeps").select("kind", "name", "attempt")
         if not again.limit(1).count():
             return now.where("attempt > 0").select("kind", "name", "attempt")
-        redrawn = drawn(again.select("kind", "name", (F.col("attempt") + 1).alias("attempt")))
+        redrawn = drawn(again.withColumn("attempt", F.col("attempt") + 1))
         kept = now.join(again.select("kind", "name"), ["kind", "name"], "left_anti")
-        now = cut_lineage(kept.unionByName(redrawn))
-    raise RuntimeError(f"surrogates still meet after {rounds} draws")
+        old, now = now, cut_lineage(kept.unionByName(redrawn))
+        forget(old)
 
 
-def redact(texts: DataFrame, detector: Detector, key: bytes, typed: bool = True, draw_with=draw) -> DataFrame:
-    """``tbl, row_id, field_name, text`` with every mention replaced.
+def replacements(texts: DataFrame, detector: Detector, key: bytes, draw_with=draw) -> DataFrame:
+    """``tbl, row_id, field_name, stamp, spans`` with a ``surrogate`` in each span.
 
-    NULL stays NULL, texts without mentions come out as they are. Texts are judged in the
-    scan; only entities (and, for the rare ones drawn again, the ids of their texts) move.
+    One detection pass; only mentions and entities move. Entities that meet are drawn again
+    over all data, so distinct entities have distinct surrogates everywhere.
     """
     from corvidex.session import cut_lineage
 
-    found = cut_lineage(find_entities(texts, detector))
-    again = cut_lineage(redraw_until_distinct(found, key, draw_with=draw_with))
-    rows = texts
+    found = cut_lineage(detect(texts, detector))
+    entities = found.select(F.explode("entities").alias("e")).select("e.*")
+    again = redraw_until_distinct(entities, key, draw_with)
     if again.limit(1).count():
-        row = ["tbl", "row_id", "field_name"]
-        marks = found.join(again, ["kind", "name"]).groupBy(*row).agg(F.collect_list(F.struct("kind", "name", "attempt")).alias("marks"))
-        rows = texts.join(marks, row, "left")
+        named = found.select(*ROW, F.explode("entities").alias("e")).select(*ROW, "e.*").distinct()
+        marks = named.join(again, ["kind", "name"]).groupBy(*ROW).agg(F.collect_list(F.struct("kind", "name", "attempt")).alias("marks"))
+        found = found.join(marks, ROW, "left")
     else:
-        rows = texts.withColumn("marks", F.lit(None).cast("array<struct<kind:string,name:string,attempt:int>>"))
+        found = found.withColumn("marks", F.lit(None).cast("array<struct<kind:string,name:string,attempt:int>>"))
 
     def run(frames):
         for f in frames:
-            done = []
-            for text, marks in zip(f["text"], f["marks"], strict=True):
+            made = []
+            for spans, marks in zip(f["spans"], f["marks"], strict=True):
                 tries = {(m["kind"], m["name"]): m["attempt"] for m in marks} if marks is not None else None
-                done.append(render(key, text, detector.find(text), tries, typed) if text else text)
-            f["text"] = done
+                made.append([{"start": s["start"], "end": s["end"], "kind": s["kind"], "item_no": s["item_no"], "surrogate": surrogate(key, Mention(s["start"], s["end"], s["kind"], s["text"]), tries, detector)} for s in spans])
+            f["spans"] = made
+            yield f[[*ROW, "spans"]]
+
+    return found.select(*ROW, "spans", "marks").mapInPandas(run, f"{_ROW_SCHEMA}, spans array<struct<start:int,end:int,kind:string,item_no:int,surrogate:string>>")
+
+
+def find_mentions(texts: DataFrame, detector: Detector, key: bytes) -> DataFrame:
+    """One row per mention with its surrogate: ``tbl, row_id, field_name, pii_type, item_no, surrogate``."""
+    rows = replacements(texts, detector, key).select("tbl", "row_id", "field_name", F.explode("spans").alias("s"))
+    return rows.select("tbl", "row_id", "field_name", F.col("s.kind").alias("pii_type"), "s.item_no", "s.surrogate")
+
+
+def redact(texts: DataFrame, detector: Detector, key: bytes, typed: bool = True, draw_with=draw) -> DataFrame:
+    """``tbl, row_id, field_name, text`` with every mention replaced.
+
+    NULL stays NULL, texts without mentions come out as they are. Each text meets its own
+    mentions in a join on its id; repeated rows each come out.
+    """
+    spans = replacements(texts, detector, key, draw_with).dropDuplicates(ROW)
+    rows = _stamped(texts).join(spans, ROW, "left")
+
+    def run(frames):
+        for f in frames:
+            f["text"] = [t if s is None else splice(t, [(x["start"], x["end"], x["kind"], x["surrogate"]) for x in s], typed) for t, s in zip(f["text"], f["spans"], strict=True)]
             yield f[["tbl", "row_id", "field_name", "text"]]
 
-    return rows.mapInPandas(run, "tbl string, row_id long, field_name string, text string")
+    return rows.select("tbl", "row_id", "field_name", "text", "spans").mapInPandas(run, "tbl string, row_id long, field_name string, text string")

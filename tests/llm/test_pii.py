@@ -1,8 +1,10 @@
+import itertools
 import re
 from collections import Counter
 
+from corvidex.llm.genders import gender_of
 from corvidex.llm.pii import Detector, fold, valid_pesel
-from corvidex.llm.surrogates import draw, find_mentions, permute_digits, redact, render, surrogate, text_rows
+from corvidex.llm.surrogates import SCRIPTS, _like, _part, detect, draw, find_mentions, permute, permute_digits, redact, redraw_until_distinct, render, surrogate, text_rows
 
 DET = Detector(["Anna", "Sævar", "Élodine", "Jorund"], ["Brask", "Mørkved", "Okonjewska"])
 KEY = b"k"
@@ -71,25 +73,100 @@ def test_tables(spark):
     rows = [(1, "Ping a@b.example and Anna Brask. Anna Brask again.", None), (2, None, "x"), (3, "", "none"), (4, "plain " * 50_000 + "J. Brask", "Anna Brask"), (1, "Ping a@b.example", "")]
     df = spark.createDataFrame(rows, "sequence long, u string, a string")
     texts = text_rows(df, "t", "sequence", ("u", "a"))
-    got = sorted((r.row_id, r.field_name, r.pii_type, r.item_no) for r in find_mentions(texts, DET).collect())
+    got = sorted((r.row_id, r.field_name, r.pii_type, r.item_no) for r in find_mentions(texts, DET, KEY).collect())
     assert got == sorted([(1, "u", "email", 1), (1, "u", "person", 1), (1, "u", "person", 2), (4, "u", "person", 1), (4, "a", "person", 1), (1, "u", "email", 1)])
     out = redact(texts, DET, KEY).collect()
     assert len(out) == 10 and all("Brask" not in (r.text or "") for r in out)
     by = {(r.row_id, r.field_name, (r.text or "")[:4]): r.text for r in out}
     assert by[(2, "u", "")] is None and by[(2, "a", "x")] == "x"
     assert by[(4, "u", "plai")].startswith("plain " * 50_000 + "<PERSON:")
-    assert find_mentions(texts.limit(0), DET).count() == 0
+    assert find_mentions(texts.limit(0), DET, KEY).count() == 0
 
 
 def test_meeting_surrogates_are_drawn_again(spark):
-    crowded = lambda key, kind, name, attempt: f"{hash((kind, len(name))) if attempt == 0 else draw(key, kind, name, attempt)}"
+    crowded = lambda key, kind, name, attempt: f"{kind}-all-alike" if attempt == 0 else draw(key, kind, name, attempt)
     df = spark.createDataFrame([(1, "a@b.example a@c.example"), (2, "d@b.example")], "sequence long, u string")
     texts = text_rows(df, "t", "sequence", ("u",))
-    from corvidex.llm.surrogates import find_entities, redraw_until_distinct
-
-    again = redraw_until_distinct(find_entities(texts, DET), KEY, draw_with=crowded).collect()
-    assert len(again) == 2 and all(r.attempt == 1 for r in again)
+    entities = detect(texts, DET).selectExpr("inline(entities)")
+    again = redraw_until_distinct(entities, KEY, draw_with=crowded).collect()
+    assert sorted((r.kind, r.attempt) for r in again) == [("domain", 1), ("mailbox", 1)]  # two of each, one of them keeps its draw
     out = [r.text for r in redact(texts, DET, KEY, draw_with=crowded).collect()]
     found = re.findall(r"<EMAIL:([^>]*)>", " ".join(out))
     assert len(set(found)) == 3
     assert render(KEY, "a@b.example", DET.find("a@b.example"), typed=False) == surrogate(KEY, DET.find("a@b.example")[0])
+
+
+def test_bare_numbers_need_a_context():
+    for t in ("You can ring 12128675309 after six", "Anna Brask (12128675309), backup", "anna brask (2128675309) is on call", "write to a@b.example, 12128675309.", "dzwoń: 12128675309", "Rückruf unter 12128675309", "Joignable au 12128675309"):
+        assert "phone" in kinds(t), t
+    for t in ("Job (12128675309) ended", "sample row 12128675309 holds", "Byte 12128675309 wurde", "the value (12128675309) is odd", "12128675309"):
+        assert "phone" not in kinds(t), t
+
+
+def test_numbers_stay_valid_and_letters_move():
+    one = lambda t: surrogate(KEY, DET.find(t)[0])
+    pesel = [f"{p}{c}" for p in ("4405140135", "0227190881", "9012310477") for c in range(10) if valid_pesel(f"{p}{c}")]
+    made = [one(f"id {p}") for p in pesel]
+    assert len(set(made)) == len(pesel) == 3 and all(valid_pesel(m) and m[9] != p[9] or int(m[9]) % 2 == int(p[9]) % 2 for m, p in zip(made, pesel))
+    assert all(valid_pesel(m) and int(m[9]) % 2 == int(p[9]) % 2 and m != p for m, p in zip(made, pesel))
+    assert one("id 440514 01359").replace(" ", "") == one("id 44051401359")
+    passports = {one(f"pass ABC {i:06d}") for i in range(300)}
+    assert len(passports) == 300 and all(re.fullmatch(r"[A-Z]{3} \d{6}", x) for x in passports) and len({x[:3] for x in passports}) > 250
+    for t in ("914-11-0017", "ZZ8181712", "QQ 90 14 45 E"):
+        s = one(f"id {t} ")
+        assert re.sub("[A-Z]", "A", re.sub(r"\d", "0", s)) == re.sub("[A-Z]", "A", re.sub(r"\d", "0", t)) and s != t
+    small = ["".join(x) for x in itertools.product("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789")]
+    assert sorted(permute(KEY, x) for x in small) == small
+    even = lambda x: int(x[1]) % 2 == 0
+    assert sorted(permute(KEY, x, "t", even) for x in small if even(x)) == [x for x in small if even(x)]
+
+
+def test_gender_and_script():
+    assert [gender_of(x) for x in ("Nicole", "Carmen", "Luca", "Anna", "Jorund", "Magdalena", "Sabine", "Marek")] == ["f", "f", "m", "f", "m", "f", "f", "m"]
+    assert gender_of("Xq") == "?"
+    for name, end in (("Carmen", "a"), ("Luca", "n"), ("Xq", "y")):
+        assert _part(KEY, "given", fold(name), 0).endswith(end)
+    assert _part(KEY, "family", "kowalska", 0).endswith("ska") and _part(KEY, "family", "kowalski", 0).endswith("ski")
+    for signs in SCRIPTS.values():
+        assert len(set(signs.values())) == 26
+    cyr = Detector(["Анна", "Вера", "Wera"], ["Петрова"])
+    (m,) = cyr.find("см. Анна Петрова, да")
+    s = surrogate(KEY, m)
+    assert re.fullmatch(r"[Ѐ-ӿ]+ [Ѐ-ӿ]+", s) and s.istitle() and not s.startswith("А")
+    words = [draw(KEY, "place", f"w{i}", 0) for i in range(3000)] + ["vava", "wawa"]
+    assert len({_like("Жж", w) for w in words}) == len(set(words))
+
+
+def test_mail_addresses_follow_their_owner():
+    find = lambda t: [surrogate(KEY, m, detector=DET) for m in DET.find(t)]
+    person, mail, shout, other = find("Anna Brask <anna.brask+memo49@x.example>, ANNA.BRASK+MEMO49@X.EXAMPLE and a.brask@x.example")
+    given, family = person.lower().split()
+    assert mail.startswith(f"{given}.{family}+") and re.search(r"\+[a-z]+\d\d@[a-z]+\.invalid$", mail) and "memo" not in mail
+    assert shout.lower() == mail and shout.isupper()
+    assert f".{family}@" in other and other.split("@")[1] == mail.split("@")[1]
+    assert find("brask_anna at x: anna@y.example")[0].split("@")[1] != mail.split("@")[1]
+
+
+def test_distinct_and_consistent_over_a_table(spark):
+    names = [(g, f) for g in DET.given for f in DET.family]
+    rows = [(i, f"{g} {f} <{fold(g)}.{fold(f)}@x{i % 3}.example>, passport ZZ{i:07d}, call +1 212 867 {i:04d}") for i, (g, f) in enumerate(names)]
+    df = spark.createDataFrame(rows, "sequence long, u string")
+    texts = text_rows(df.union(df), "t", "sequence", ("u",))
+    got = find_mentions(texts, DET, KEY).collect()
+    for kind in ("person", "email", "id_number", "phone"):
+        made = {}
+        for r in got:
+            if r.pii_type == kind:
+                made.setdefault(r.row_id, set()).add(r.surrogate)
+        assert all(len(x) == 1 for x in made.values()) and len({min(x) for x in made.values()}) == len(made) == len(rows), kind
+    for r in redact(texts, DET, KEY, typed=False).collect():
+        assert not re.search("Brask|Anna|example|ZZ0|867 0", r.text), r.text
+        g, f = r.text.lower().split()[:2]
+        assert f"<{g}.{f}@" in r.text.lower()
+
+
+def test_many_names_in_one_directory():
+    """Full names are put together from the parts found, so the size of the directory does not matter."""
+    big = Detector([f"Gname{i}x" for i in range(3000)], [f"Fname{i}y" for i in range(3000)])
+    t = "By Gname17x-Gname18x K. Fname2999y-Fname5y, Fname8y, Gname0x; g. Fname1y and Gname2x alone, Fname1y Gname2x, XGname1x Fname1y; Gname1x Fname1y@"
+    assert [m.text for m in big.find(t)] == ["Gname17x-Gname18x K. Fname2999y-Fname5y", "Fname8y, Gname0x", "g. Fname1y"]
