@@ -337,6 +337,10 @@ _SPANS = "array<struct<start:int,end:int,kind:string,item_no:int,text:string>>"
 _ENTITIES = "array<struct<kind:string,name:string>>"
 
 
+#: Entities drawn again up to which all tasks get the whole list; more of them meet their texts in a join.
+MOST_REDRAWN = 50_000
+
+
 def _stamped(texts: DataFrame) -> DataFrame:
     """``stamp`` tells texts apart that stand under one id."""
     return texts.withColumn("stamp", F.xxhash64("text"))
@@ -406,18 +410,22 @@ def replacements(texts: DataFrame, detector: Detector, key: bytes, draw_with=dra
     found = cut_lineage(detect(texts, detector))
     entities = found.select(F.explode("entities").alias("e")).select("e.*")
     again = redraw_until_distinct(entities, key, draw_with)
-    if again.limit(1).count():
+    few = again.limit(MOST_REDRAWN + 1).collect()
+    everywhere = {(r.kind, r.name): r.attempt for r in few}
+    no_marks = F.lit(None).cast("array<struct<kind:string,name:string,attempt:int>>")
+    if len(few) <= MOST_REDRAWN:  # they travel with the function; nothing is moved
+        found = found.withColumn("marks", no_marks)
+    else:
+        everywhere = {}
         named = found.select(*ROW, F.explode("entities").alias("e")).select(*ROW, "e.*").distinct()
         marks = named.join(again, ["kind", "name"]).groupBy(*ROW).agg(F.collect_list(F.struct("kind", "name", "attempt")).alias("marks"))
         found = found.join(marks, ROW, "left")
-    else:
-        found = found.withColumn("marks", F.lit(None).cast("array<struct<kind:string,name:string,attempt:int>>"))
 
     def run(frames):
         for f in frames:
             made = []
             for spans, marks in zip(f["spans"], f["marks"], strict=True):
-                tries = {(m["kind"], m["name"]): m["attempt"] for m in marks} if marks is not None else None
+                tries = {(m["kind"], m["name"]): m["attempt"] for m in marks} if marks is not None else everywhere
                 made.append([{"start": s["start"], "end": s["end"], "kind": s["kind"], "item_no": s["item_no"], "surrogate": surrogate(key, Mention(s["start"], s["end"], s["kind"], s["text"]), tries, detector)} for s in spans])
             f["spans"] = made
             yield f[[*ROW, "spans"]]
