@@ -1,11 +1,13 @@
 """Mixing sources to target weights (problem 7).
 
-The token stream of each source is cut into blocks of a fixed length. Each output shard
-draws how many of its slots each source fills: a multinomial draw, conditioned on the
-totals of the whole mix, so the totals come out exactly. A source's slots are numbered
-through; slot ``k`` is block ``k mod n`` of pass ``k div n`` under a keyed pseudorandom
-permutation of that pass, so a block (and with it a text) is used once per pass and at
-most ``max_repeats`` times. Slots meet their blocks in a join on (source, block).
+The token stream of each source is cut into blocks of a fixed length. The slots of a mix
+are numbered through, output shard by output shard; a keyed pseudorandom permutation of all
+slots says which source fills a slot and with which of its own slots. So the counts of a
+shard are a multinomial draw conditioned on the totals of the mix: totals come out exactly,
+every shard is drawn by itself from (seed, shard) on the executors, and it is one method at
+all sizes. A source's slot ``k`` is block ``k mod n`` of pass ``k div n`` under a keyed
+permutation of that pass, so a block (and with it a text) is used once per pass and at most
+``max_repeats`` times. Slots meet their blocks in a join on (source, block).
 
 The size of a mix is the largest at which every source that has any text reaches its share
 within its repeats; the share of sources without text is spread over the others in
@@ -30,9 +32,8 @@ from pyspark.sql import functions as F
 from corvidex.operators.ordering import blocked_running_sum
 from corvidex.session import cut_lineage
 
-#: Tokens of a block, least slots of an output shard, most shards of a mix (the plan of
-#: counts per shard is made on the driver, so very large mixes get larger shards).
-BLOCK_TOKENS, SHARD_SLOTS, MAX_SHARDS = 256, 4096, 10_000
+#: Tokens of a block, slots of an output shard, most tasks that fill shards.
+BLOCK_TOKENS, SHARD_SLOTS, MAX_TASKS = 256, 4096, 20_000
 
 
 def permute_index(x: np.ndarray, n: int, seed: str) -> np.ndarray:
@@ -97,18 +98,31 @@ def plan_mix(targets: list[tuple[str, float, int]], tokens: dict[str, int], bloc
     return out
 
 
-def draw_shards(slots: dict[str, int], seed: int, shard_slots: int = SHARD_SLOTS) -> list[tuple[int, str, int, int]]:
-    """(shard, source, first slot, number of slots) of a mix, drawn shard by shard."""
+def draw_shard(slots: dict[str, int], seed: str, shard: int, shard_slots: int = SHARD_SLOTS) -> dict[str, np.ndarray]:
+    """What fills one output shard: for each source the numbers of its own slots.
+
+    ``slots`` is the number of slots of each source in the whole mix. Over all shards every
+    slot number of every source comes exactly once.
+    """
     names = sorted(s for s in slots if slots[s])
-    left = np.array([slots[s] for s in names], dtype=np.int64)
-    shard_slots = max(shard_slots, -(-int(left.sum()) // MAX_SHARDS))
-    rng, used, out, shard = np.random.default_rng(seed), np.zeros(len(names), dtype=np.int64), [], 0
-    while left.sum():
-        n = min(shard_slots, int(left.sum()))
-        got = rng.multivariate_hypergeometric(left, n, method="marginals") if left.sum() < 10**9 else np.minimum(rng.multinomial(n, left / left.sum()), left)
-        out += [(shard, s, int(u), int(c)) for s, u, c in zip(names, used, got, strict=True) if c]
-        used, left, shard = used + got, left - got, shard + 1
-    return out
+    ends = np.cumsum([slots[s] for s in names], dtype=np.int64)
+    total = int(ends[-1]) if names else 0
+    place = np.arange(shard * shard_slots, min((shard + 1) * shard_slots, total), dtype=np.int64)
+    if not len(place):
+        return {}
+    at = permute_index(place, total, seed)
+    of = np.searchsorted(ends, at, side="right")
+    return {names[i]: at[of == i] - (ends[i] - slots[names[i]]) for i in np.unique(of)}
+
+
+def blocks_of(k: np.ndarray, blocks: int, seed: str) -> tuple[np.ndarray, np.ndarray]:
+    """Pass and block of the slots ``k`` of a source."""
+    turn = k // blocks
+    block = np.empty(len(k), dtype=np.int64)
+    for t in np.unique(turn):
+        own = turn == t
+        block[own] = permute_index(k[own] % blocks, blocks, f"{seed}|{t}")
+    return turn, block
 
 
 def mix_sources(sizes: DataFrame, targets: DataFrame, id_column: str, source: str, seed: int = 7, block_tokens: int = BLOCK_TOKENS, shard_slots: int = SHARD_SLOTS, all_reach: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -126,26 +140,27 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, id_column: str, source: st
     size_of = spans.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
     rows = wanted.join(size_of, "source", "left").collect()
     tokens = {r.source: r.tokens or 0 for r in rows}
-    plans, draws = {}, []
-    for i, mix in enumerate(sorted({r.mix_name for r in rows})):
+    plans = {}
+    for mix in sorted({r.mix_name for r in rows}):
         plans[mix] = plan_mix([(r.source, r.target_share, r.max_repeats) for r in rows if r.mix_name == mix], tokens, block_tokens, all_reach)
-        drawn = draw_shards({s: p["slots"] for s, p in plans[mix].items()}, seed + i, shard_slots)
-        draws += [(mix, shard, s, at, n, plans[mix][s]["blocks"]) for shard, s, at, n in drawn]
+    slots = {mix: {s: p["slots"] for s, p in plan.items()} for mix, plan in plans.items()}
+    shards = {mix: -(-sum(x.values()) // shard_slots) for mix, x in slots.items()}
     spark = sizes.sparkSession
-    runs = spark.createDataFrame(draws, "mix_name string, shard int, source string, first long, n long, blocks long")
+    schema = "mix_name string, shard long, source string, repeat_no int, block_no long, k long"
 
-    def slots(frames):
+    def fill(frames):
         for f in frames:
-            for r in f.itertuples(index=False):
-                k = np.arange(r.first, r.first + r.n, dtype=np.int64)
-                block = np.empty(len(k), dtype=np.int64)
-                turn = k // r.blocks
-                for t in np.unique(turn):
-                    at = turn == t
-                    block[at] = permute_index(k[at] % r.blocks, r.blocks, f"{seed}|{r.mix_name}|{r.source}|{t}")
-                yield pd.DataFrame({"mix_name": r.mix_name, "shard": r.shard, "source": r.source, "repeat_no": turn.astype("int32") + 1, "block_no": block, "k": k})
-
-    picked = runs.repartition("mix_name", "shard", "source").mapInPandas(slots, "mix_name string, shard int, source string, repeat_no int, block_no long, k long")
+            for i in f["id"].tolist():
+                for mix, n in shards.items():
+                    if i < n:
+                        break
+                    i -= n
+                for source, k in draw_shard(slots[mix], f"{seed}|{mix}", i, shard_slots).items():
+                    turn, block = blocks_of(k, plans[mix][source]["blocks"], f"{seed}|{mix}|{source}")
+                    yield pd.DataFrame({"mix_name": mix, "shard": i, "source": source, "repeat_no": turn.astype("int32") + 1, "block_no": block, "k": k})
+
+    n_shards = sum(shards.values())
+    picked = spark.range(0, n_shards, 1, max(1, min(n_shards, MAX_TASKS))).mapInPandas(fill, schema)
     order = F.xxhash64(F.lit(seed), "mix_name", "shard", "source", "k")
     # the picked slots grow with the corpus, which their estimated size does not show
     mixed = picked.hint("merge").join(spans, ["source", "block_no"]).select(

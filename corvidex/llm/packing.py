@@ -6,8 +6,10 @@ above the item's size, and the fullest bin, which closes when too many are open,
 lowest set bit of all. Texts over the capacity are cut into full containers and a rest.
 
 Texts are spread over shards by a hash of their id, each shard packed in one task; a shard
-is bounded in tokens, so the number of shards follows the corpus. What is left open at
-the end of the shards is packed once more, shards together in groups.
+is bounded in tokens, so the number of shards follows the corpus. So many bins are open that
+they hold at most an eighth of a shard. What is left open at the end of a shard goes on to
+the next level, where eight shards' rests make one shard, packed in the same way, up to the
+level with a single shard, whose open bins close as they are.
 """
 
 from __future__ import annotations
@@ -18,8 +20,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Open bins, tokens of a shard, and shards whose open bins are packed together.
-OPEN_BINS, SHARD_TOKENS, GROUP_SHARDS = 256, 4_000_000, 64
+#: Most open bins, tokens of a shard, shards of a level that make one of the next, most tasks of a level.
+OPEN_BINS, SHARD_TOKENS, FAN_IN, MAX_TASKS = 256, 1_000_000, 8, 20_000
+#: Fewest open bins, whatever the capacity.
+LEAST_BINS = 8
 
 
 class BestFit:
@@ -89,40 +93,51 @@ def pack(sizes: DataFrame, id_column: str, containers: list[tuple[str, int]], op
     items = cut_lineage(sizes.select(F.col(id_column).alias("id"), "n_tokens").where("n_tokens > 0"))
     total = items.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     shards = max(1, math.ceil(total / shard_tokens))
-    spread = items.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    schema = f"container_name string, shard int, bin long, open boolean, id {kind}, piece_no int, token_start long, n_tokens long"
-    names = ["container_name", "shard", "bin", "open", "id", "piece_no", "token_start", "n_tokens"]
+    schema = f"container_name string, level int, shard int, bin long, open boolean, id {kind}, piece_no int, token_start long, n_tokens long"
+    names = ["container_name", "level", "shard", "bin", "open", "id", "piece_no", "token_start", "n_tokens"]
+    bins = {name: max(min(LEAST_BINS, open_bins), min(open_bins, shard_tokens // (FAN_IN * cap))) for name, cap in containers}
 
     def first(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("id", kind="stable")
         ids, sizes, shard, out = f["id"].tolist(), f["n_tokens"].tolist(), int(f["shard"].iloc[0]), []
         for name, cap in containers:
-            fit = BestFit(cap, open_bins)
-            rows = [(name, shard, fit.add(n), i, k, at, n) for i, k, at, n in _pieces(ids, sizes, cap)]
+            fit = BestFit(cap, bins[name])
+            rows = [(name, 0, shard, fit.add(n), i, k, at, n) for i, k, at, n in _pieces(ids, sizes, cap)]
             left = fit.still_open()
-            out += [(r[0], r[1], r[2], r[2] in left, *r[3:]) for r in rows]
+            out += [(*r[:4], r[3] in left, *r[4:]) for r in rows]
         return pd.DataFrame(out, columns=names)
 
-    placed = spread.groupBy("shard").applyInPandas(first, schema)
-    if shards == 1:
-        return _named(placed, id_column)
-    placed = cut_lineage(placed)
-    caps = dict(containers)
+    def tasks(n: int) -> int:
+        return max(1, min(n, MAX_TASKS))
+
+    spread = items.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    placed = spread.repartition(tasks(shards), "shard").groupBy("shard").applyInPandas(first, schema)
+    done, level = None, 0
+    while shards > 1:
+        placed = cut_lineage(placed)
+        closed = placed.where("not open")
+        done = closed if done is None else done.unionByName(closed)
+        shards, level = math.ceil(shards / FAN_IN), level + 1
+        rest = placed.where("open").withColumn("shard", F.floor(F.col("shard") / FAN_IN).cast("int"))
+        placed = rest.repartition(tasks(shards * len(containers)), "container_name", "shard").groupBy("container_name", "shard").applyInPandas(_packer(dict(containers), bins, level, names), schema)
+    return _named(placed if done is None else done.unionByName(placed), id_column)
+
+
+def _packer(caps: dict[str, int], bins: dict[str, int], level: int, names: list[str]):
+    """Packs the pieces of one container kind and shard online, in order of id and piece."""
 
     def again(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["n_tokens", "id", "piece_no"], ascending=[False, True, True], kind="stable")
-        fit = BestFit(caps[f["container_name"].iloc[0]], 1 << 30)
+        f = f.sort_values(["id", "piece_no"], kind="stable")
+        name = f["container_name"].iloc[0]
+        fit = BestFit(caps[name], bins[name])
         f["bin"] = [fit.add(n) for n in f["n_tokens"].tolist()]
-        f["shard"] = -1 - f["shard"] // GROUP_SHARDS
+        left = fit.still_open()
+        f["open"], f["level"] = [b in left for b in f["bin"]], level
         return f[names]
 
-    rest = placed.where("open").withColumn("grp", F.floor(F.col("shard") / GROUP_SHARDS).cast("int"))
-    repacked = rest.groupBy("container_name", "grp").applyInPandas(lambda f: again(f.drop(columns="grp")), schema)
-    return _named(placed.where("not open").unionByName(repacked), id_column)
+    return again
 
 
 def _named(rows: DataFrame, id_column: str) -> DataFrame:
-    where = F.when(F.col("shard") < 0, F.concat(F.lit("g"), -1 - F.col("shard"))).otherwise(F.concat(F.lit("s"), F.col("shard")))
-    return rows.select(
-        "container_name", F.concat_ws("-", where, "bin").alias("bin_id"), F.col("id").alias(id_column), "piece_no", "token_start", "n_tokens"
-    )
+    bin_id = F.concat_ws("-", F.concat(F.lit("l"), F.col("level")), F.concat(F.lit("s"), F.col("shard")), "bin")
+    return rows.select("container_name", bin_id.alias("bin_id"), F.col("id").alias(id_column), "piece_no", "token_start", "n_tokens")

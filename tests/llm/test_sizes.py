@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from corvidex.llm.mixing import draw_shards, mix_sources, permute_index, plan_mix
+from corvidex.llm.mixing import draw_shard, mix_sources, permute_index, plan_mix
 from corvidex.llm.packing import BestFit, pack
 from corvidex.llm.tokens import _encoding, token_counts
 
@@ -57,6 +57,23 @@ def test_pack(spark, shard_tokens):
     assert pack(spark.createDataFrame([], "doc_id long, n_tokens long"), "doc_id", [("a", 9)]).count() == 0
 
 
+def test_levels_of_packing(spark):
+    """Many shards and levels: nothing is lost or cut, every level is bounded, little room is left."""
+    rng = random.Random(6)
+    rows = [(i, min(4000, int(rng.lognormvariate(4, 1.2)) + 1)) for i in range(8000)]
+    df = spark.createDataFrame(rows, "doc_id long, n_tokens long")
+    out = pack(df, "doc_id", [("small", 2048), ("large", 8192)], 256, 20_000).toPandas()
+    total = sum(n for _, n in rows)
+    for name, cap in (("small", 2048), ("large", 8192)):
+        own = out[out.container_name == name]
+        fill = own.groupby("bin_id").n_tokens.sum()
+        assert fill.max() <= cap and fill.sum() == total
+        assert total / (len(fill) * cap) > 0.94
+        assert len({b.split("-")[0] for b in fill.index}) >= 3
+        pieces = own.groupby("doc_id").size().to_dict()
+        assert pieces == {i: -(-n // cap) for i, n in rows}
+
+
 def test_token_counts(spark):
     texts = ["", None, "Żółta flaga", "x" * 100_000, "plain words here"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
@@ -75,16 +92,25 @@ def test_permutation():
 def test_plan_and_draw():
     plan = plan_mix([("big", 0.5, 1), ("small", 0.3, 3), ("none", 0.2, 9)], {"big": 1_000_000, "small": 25_600}, 256)
     assert plan["none"]["slots"] == 0 and plan["small"]["slots"] == 300 and plan["big"]["slots"] == 500
-    drawn = draw_shards({s: p["slots"] for s, p in plan.items()}, 1, 64)
-    for s in ("big", "small"):
-        runs = sorted((a, n) for _, x, a, n in drawn if x == s)
-        assert [a for a, _ in runs] == [sum(n for _, n in runs[:i]) for i in range(len(runs))]
-        assert sum(n for _, n in runs) == plan[s]["slots"]
-    per = Counter()
-    for shard, _, _, n in drawn:
-        per[shard] += n
-    assert set(list(per.values())[:-1]) == {64}
-    assert plan_mix([], {}, 256) == {} and draw_shards({}, 1) == []
+    slots = {s: p["slots"] for s, p in plan.items()}
+    drawn = [draw_shard(slots, "1", i, 64) for i in range(-(-800 // 64))]
+    assert [sum(map(len, d.values())) for d in drawn] == [64] * 12 + [32]
+    for s in ("big", "small"):  # every slot of every source once, and each shard near the shares
+        assert sorted(k for d in drawn for k in d.get(s, [])) == list(range(slots[s]))
+        assert all(abs(len(d[s]) / 64 - slots[s] / 800) < 0.25 for d in drawn[:12])
+    again = draw_shard(slots, "1", 5, 64)
+    assert all((again[s] == drawn[5][s]).all() for s in again) and len(draw_shard(slots, "1", 13, 64)) == 0
+    assert plan_mix([], {}, 256) == {} and draw_shard({}, "1", 0) == {}
+    huge = draw_shard({"a": 3 * 10**12, "b": 10**12}, "1", 10**8)  # no size at which the draw changes
+    assert abs(len(huge["a"]) / 4096 - 0.75) < 0.05 and huge["b"].max() < 10**12 and huge["a"].min() >= 0
+
+
+def test_draws_are_spread_like_a_multinomial_without_replacement():
+    slots = {"a": 6000, "b": 3000, "c": 1000}
+    n = np.array([[len(draw_shard(slots, "7", i, 100).get(s, [])) for s in "abc"] for i in range(100)])
+    assert (n.sum(0) == [6000, 3000, 1000]).all()
+    want = np.array([100 * p * (1 - p) * 9900 / 9999 for p in (0.6, 0.3, 0.1)])
+    assert (np.abs(n.var(0) / want - 1) < 0.6).all()
 
 
 def test_mix(spark):
