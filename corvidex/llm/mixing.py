@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from corvidex.operators.ordering import blocked_running_sum
 from corvidex.session import cut_lineage
 
-#: Tokens of a block, slots of an output shard, most tasks that fill shards.
-BLOCK_TOKENS, SHARD_SLOTS, MAX_TASKS = 256, 4096, 20_000
+#: Tokens of a block, slots of an output shard, shards that one task fills, most tasks.
+BLOCK_TOKENS, SHARD_SLOTS, SHARDS_PER_TASK, MAX_TASKS = 256, 4096, 16, 20_000
 
 
 def permute_index(x: np.ndarray, n: int, seed: str) -> np.ndarray:
@@ -155,12 +155,16 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, id_column: str, source: st
                     if i < n:
                         break
                     i -= n
+                parts = []
                 for source, k in draw_shard(slots[mix], f"{seed}|{mix}", i, shard_slots).items():
-                    turn, block = blocks_of(k, plans[mix][source]["blocks"], f"{seed}|{mix}|{source}")
-                    yield pd.DataFrame({"mix_name": mix, "shard": i, "source": source, "repeat_no": turn.astype("int32") + 1, "block_no": block, "k": k})
+                    parts.append((source, k, *blocks_of(k, plans[mix][source]["blocks"], f"{seed}|{mix}|{source}")))
+                sources, ks, turns, blocks = zip(*parts, strict=True)
+                names = np.repeat(np.array(sources, dtype=object), [len(k) for k in ks])
+                yield pd.DataFrame({"mix_name": mix, "shard": i, "source": names, "repeat_no": np.concatenate(turns).astype("int32") + 1, "block_no": np.concatenate(blocks), "k": np.concatenate(ks)})
 
     n_shards = sum(shards.values())
-    picked = spark.range(0, n_shards, 1, max(1, min(n_shards, MAX_TASKS))).mapInPandas(fill, schema)
+    tasks = min(max(n_shards // SHARDS_PER_TASK, spark.sparkContext.defaultParallelism), n_shards, MAX_TASKS)
+    picked = spark.range(0, n_shards, 1, max(1, tasks)).mapInPandas(fill, schema)
     order = F.xxhash64(F.lit(seed), "mix_name", "shard", "source", "k")
     # the picked slots grow with the corpus, which their estimated size does not show
     mixed = picked.hint("merge").join(spans, ["source", "block_no"]).select(
