@@ -30,10 +30,9 @@ from corvidex.llm.language import EndingModel, LanguageModel, clean_prose
 
 #: Leads (nats over all n-gram orders) from which a posterior counts as clear.
 PROMPT_LEAD, ANSWER_LEAD = 40.0, 40.0
-#: Probability of ending below which an unfinished-looking end is a truncation.
+#: Probability of ending below which an unfinished-looking end is a truncation: the middle of a plateau (0.005
+#: to 0.04 tell the same ends apart at sf0.1; of answers cut at random 1.9 % escape, 2.9 % at 0.01 and 0.2 % at 0.05).
 END_PROBABILITY = 0.013
-#: A refusal says no more than this.
-MAX_REFUSAL_SENTENCES = 4
 
 # fixed values: names of languages, by label
 LANGUAGE_NAMES = {
@@ -91,11 +90,13 @@ _TERMINAL = ".!?…。»\"”'’"
 
 def is_refusal(answer: str) -> bool:
     """Every sentence declines, apologises or sends elsewhere, and one declines."""
-    sentences = [s for s in _SENTENCE.split(answer.strip()) if s.strip()]
-    if len(sentences) > MAX_REFUSAL_SENTENCES:
-        return False
-    refuses = [bool(_REFUSAL.search(s)) for s in sentences]
-    return any(refuses) and all(r or _ELSEWHERE.search(s) or _APOLOGY.match(s) for r, s in zip(refuses, sentences, strict=True))
+    declined = False
+    for s in _SENTENCE.split(answer.strip()):
+        if _REFUSAL.search(s):
+            declined = True
+        elif s.strip() and not _ELSEWHERE.search(s) and not _APOLOGY.match(s):
+            return False  # a sentence that says something: most answers end here at once
+    return declined
 
 
 def is_copy(prompt: str, answer: str) -> bool:
@@ -130,10 +131,14 @@ def is_open(answer: str) -> bool:
 
 
 def is_truncated(answer: str, model: EndingModel) -> bool:
-    text = answer.rstrip()
-    if is_open(text):
-        return True
-    return text[-1:] not in _TERMINAL and model.probability(text) < END_PROBABILITY
+    return bool(truncated([answer], model)[0])
+
+
+def truncated(answers: list[str], model: EndingModel) -> np.ndarray:
+    """Unlikely ends, by the model; then an exact check for what is left open, and none for closing signs."""
+    texts = [a.rstrip() for a in answers]
+    unlikely = model.probabilities(texts) < END_PROBABILITY
+    return np.array([is_open(t) or (u and t[-1:] not in _TERMINAL) for t, u in zip(texts, unlikely, strict=True)], dtype=bool)
 
 
 def asked_for(prompt: str, label: str) -> bool:
@@ -153,6 +158,7 @@ class PairJudge:
         best, lead = self.languages.best(cleaned)
         n = len(prompts)
         clear = (lead[:n] >= PROMPT_LEAD) & (lead[n:] >= ANSWER_LEAD) & (best[:n] != best[n:])
+        cut = truncated(answers, self.endings)
         for i, (p, a) in enumerate(zip(prompts, answers, strict=True)):
             if is_copy(p, a):
                 out[i] = "copy"
@@ -160,7 +166,7 @@ class PairJudge:
                 out[i] = "refusal"
             elif clear[i] and not asked_for(p, self.languages.labels[best[n + i]]):
                 out[i] = "language"
-            elif is_truncated(a, self.endings):
+            elif cut[i]:
                 out[i] = "truncated"
         return out
 

@@ -13,7 +13,7 @@ from corvidex.session import load_table
 def _judge(spark: SparkSession, sf_dir: str) -> PairJudge:
     docs = load_table(spark, sf_dir, "documents")
     rows = load_table(spark, sf_dir, "journal_observations")
-    return PairJudge(fit_language_model(docs, "doc_id", "content", "lang"), fit_ending_model(rows, "sequence", "assistant_text"))
+    return PairJudge(fit_language_model(docs, "doc_id", "content", "lang"), fit_ending_model(rows, "assistant_text"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

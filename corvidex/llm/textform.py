@@ -200,36 +200,75 @@ def unify_text(df: DataFrame, column: str, out: str = "form") -> DataFrame:
 
     def run(batches):
         for b in batches:
-            form = unify_array(b.column(b.schema.get_field_index(column))).cast(pa.large_string())
-            # a batch of large strings may exceed what 32-bit offsets can hold
-            cols = [b.column(b.schema.get_field_index(f.name)) for f in kept]
-            form = form.cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*cols, form], names=[f.name for f in schema.fields])
+            for part in _small(b, column):
+                form = unify_array(part.column(part.schema.get_field_index(column))).cast(pa.string())
+                cols = [part.column(part.schema.get_field_index(f.name)) for f in kept]
+                yield pa.RecordBatch.from_arrays([*cols, form], names=[f.name for f in schema.fields])
 
     return df.mapInArrow(run, schema)
 
 
+#: Bytes of text handled at once: forms may be a few times longer and must fit 32-bit offsets.
+BATCH_BYTES = 256 << 20
+
+
+def _small(b: pa.RecordBatch, column: str) -> list[pa.RecordBatch]:
+    """A batch in parts of at most ``BATCH_BYTES`` of text (or one row)."""
+    if b.num_rows < 2 or b.column(b.schema.get_field_index(column)).nbytes <= BATCH_BYTES:
+        return [b]
+    half = b.num_rows // 2
+    return _small(b.slice(0, half), column) + _small(b.slice(half), column)
+
+
 def _digest(c: Column) -> Column:
     return F.unhex(F.md5(c))
 
 
+#: Parts into which the members of a form are spread, so that a form that holds a large part of
+#: all rows is no single task's work.
+SALTS = 16
+
+
+def _members(df: DataFrame, id_column: str, column: str) -> DataFrame:
+    """``id, f, t`` and, per form ``f`` with more than one stored text ``t``: the smallest id, rows and variants."""
+    from corvidex.session import cut_lineage
+
+    rows = df.where(F.length(column) > 0).select(F.col(id_column).alias("id"), F.col(column).alias("t"))
+    keyed = cut_lineage(unify_text(rows, "t", "f").select("id", _digest(F.col("f")).alias("f"), _digest(F.col("t")).alias("t")))
+    variants = keyed.groupBy("f", "t").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    forms = variants.groupBy("f").agg(F.count(F.lit(1)).alias("variants"), F.sum("n").alias("rows"), F.min("first").alias("class_id")).where("variants > 1")
+    salted = forms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return keyed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["f", "salt"]).drop("salt")
+
+
+def look_alike_classes(df: DataFrame, id_column: str, column: str) -> DataFrame:
+    """One row per row whose text has a look-alike: ``<id>, class_id, variant_id, n_links``.
+
+    A class is a form that more than one stored text has, named by its smallest id; a variant
+    is one of these texts, named by the smallest id of its copies. ``n_links`` counts the rows
+    of the class with another stored text. The size follows the rows, not their pairs. Rows
+    with NULL or empty text and rows without a look-alike are left out.
+    """
+    members = _members(df, id_column, column)
+    own = members.groupBy("f", "t").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("variant_id"))
+    own = own.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    j = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(own, ["f", "t", "salt"])
+    return j.select(F.col("id").alias(id_column), "class_id", "variant_id", (F.col("rows") - F.col("n")).alias("n_links"))
+
+
 def look_alike_pairs(df: DataFrame, id_column: str, column: str) -> DataFrame:
     """Pairs of rows whose texts differ as stored but have the same form.
 
     Columns ``<id>_a`` < ``<id>_b``. Rows with NULL or empty text take no part. Only
     128-bit digests of form and text are moved. Texts are joined variant against variant
     (a variant is a distinct stored text of one form), so a group of exact copies, however
-    large, adds no work unless it has a look-alike; then every pair is a result row.
+    large, adds no work unless it has a look-alike; then every pair is a result row. Where
+    that is too much, ``look_alike_classes`` says the same with one row per text.
     """
     from corvidex.session import cut_lineage
 
-    rows = df.where(F.length(column) > 0).select(F.col(id_column).alias("id"), F.col(column).alias("t"))
-    keyed = unify_text(rows, "t", "f").select("id", _digest(F.col("f")).alias("f"), _digest(F.col("t")).alias("t"))
-    keyed = cut_lineage(keyed)
-    variants = keyed.groupBy("f", "t").agg(F.count(F.lit(1)).alias("n"))
-    mixed = variants.groupBy("f").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("f")
-    members = keyed.join(mixed, "f", "left_semi")
-    distinct = variants.join(mixed, "f", "left_semi").select("f", "t")
+    members = cut_lineage(_members(df, id_column, column).select("f", "t", "id"))
+    distinct = members.select("f", "t").distinct()
     a, b = distinct.select("f", F.col("t").alias("ta")), distinct.select("f", F.col("t").alias("tb"))
     meets = a.join(b, "f").where(F.col("ta") < F.col("tb"))
     left = members.select("f", F.col("t").alias("ta"), F.col("id").alias("x"))

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from corvidex.llm.defects import PairJudge, is_copy, is_open, is_refusal, is_truncated, pair_defects
-from corvidex.llm.language import EndingModel, LanguageModel, clean_prose, fit_ending_model, fit_language_model
+from corvidex.llm.language import EndingModel, LanguageModel, clean_prose, fit_ending_model, fit_language_model, shapes
 from corvidex.session import load_table
 
 SF = "/root/testdata/sf0.01"
@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="module")
 def judge(spark):
-    return PairJudge(fit_language_model(load_table(spark, SF, "documents"), "doc_id", "content", "lang"), fit_ending_model(load_table(spark, SF, "journal_observations"), "sequence", "assistant_text"))
+    return PairJudge(fit_language_model(load_table(spark, SF, "documents"), "doc_id", "content", "lang"), fit_ending_model(load_table(spark, SF, "journal_observations"), "assistant_text"))
 
 
 def test_language_held_out(spark):
@@ -34,9 +34,28 @@ def test_endings_held_out(spark):
     assert sum(is_truncated(t, m) for t in whole) / len(whole) < 0.01
 
 
+def test_endings_are_counted_over_all_texts(spark, monkeypatch):
+    """The distributed counts are those of one pass over all texts, and shapes are those of a plain reading."""
+    import re
+
+    texts = [r[0] for r in load_table(spark, SF, "journal_observations").where("length(trim(assistant_text)) > 0").select("assistant_text").collect()]
+    texts += ["x", "²a", "a_b  c\t\n", "12 3x ½", "w" * 5000, "(((( " * 900, "", "   ", "żółw 7.", "\x02 odd"]
+    one = EndingModel.fit([t for t in texts if t.strip(" ")])  # blank texts have no end
+    many = fit_ending_model(spark.createDataFrame([(t,) for t in texts], "t string").repartition(5), "t")
+    assert len(one.orders) == len(many.orders) == 8
+    for a, b in zip(one.orders, many.orders):
+        assert all((x == y).all() for x, y in zip(a, b))
+    assert one.orders[0][2].sum() == sum(bool(t.strip(" ")) for t in texts)
+    for t in texts[-60:]:
+        plain = re.sub(r"[^\W_]+", lambda m: "w" if m[0].isalpha() else "0" if m[0].isdecimal() else "x", re.sub(r"[^\S\n]+", " ", "\x02" + t.rstrip()))
+        assert "".join(chr(int(c)) for c in shapes([t])[0]) == plain, t
+    assert fit_ending_model(spark.createDataFrame([], "t string"), "t").probability("abc") == 0.01
+
+
 def test_rules():
     for t in ("I'm sorry, but I can't help with X-1.", "Przykro mi, ale nie mogę w tym pomóc.", "Diese Anfrage muss ich ablehnen.", "Je dois refuser cette demande.", "My guidelines prevent me from working on ZoneTable.", "I don't feel comfortable giving advice. You may want to ask the owner instead."):
         assert is_refusal(t), t
+    assert is_refusal("I can't help with X-1. " * 3 + "I'm sorry. Please ask the owner. I must decline. We are not allowed to do this.")  # of any length
     for t in ("Done.", "No, nothing else is open.", "I can't reproduce the stall any more, so here is what I found. It works.", "I won't touch the schema here; the smaller change is enough. Both agree.", "Sorry for the noise in the last run; the fix is in.", "I cannot help with X. The fix is in core/A.java now."):
         assert not is_refusal(t), t
     p = "Why does the sieve fail when late rows arrive twice?"

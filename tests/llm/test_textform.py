@@ -5,7 +5,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corvidex.llm.textform import LOOKALIKE_FROM, look_alike_pairs, unify_array, unify_text
+from corvidex.llm.textform import LOOKALIKE_FROM, look_alike_classes, look_alike_pairs, unify_array, unify_text
 
 
 def one(s):
@@ -59,4 +59,29 @@ def test_pairs_against_brute_force(spark):
     want = sorted((a, b) for a in forms for b in forms if a < b and forms[a] == forms[b] and stored[a] != stored[b])
     assert got == want and want
     assert look_alike_pairs(df.limit(0), "doc_id", "text").count() == 0
+    links = {}
+    for a, b in want:
+        links[a], links[b] = links.get(a, 0) + 1, links.get(b, 0) + 1
+    rows = look_alike_classes(df, "doc_id", "text").collect()
+    assert {r.doc_id: r.n_links for r in rows} == links and len(rows) == len(links)
+    for r in rows:
+        assert r.class_id == min(i for i in forms if forms[i] == forms[r.doc_id]) and r.variant_id == min(i for i in forms if stored[i] == stored[r.doc_id])
+    assert look_alike_classes(df.limit(0), "doc_id", "text").count() == 0
     assert unify_text(df, "text", "text2").columns == ["doc_id", "text", "f", "text2"]
+
+
+def test_one_form_of_a_third_of_all_rows(spark):
+    """Copies cost one row each in the classes, however many there are."""
+    rows = [(i, "Copy" if i % 3 == 0 else f"text {i}") for i in range(6000)] + [(9000, "Сopy"), (9001, "Copy\u00ad")]
+    got = look_alike_classes(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
+    assert len(got) == 2002 and {r.class_id for r in got} == {0}
+    assert {(r.variant_id, r.n_links) for r in got} == {(0, 2), (9000, 2001), (9001, 2001)}
+
+
+def test_large_batches_are_halved(monkeypatch):
+    import corvidex.llm.textform as t
+
+    b = pa.record_batch({"x": ["ab" * 50, None, "", "é" * 40, "z"], "n": [1, 2, 3, 4, 5]})
+    monkeypatch.setattr(t, "BATCH_BYTES", 60)
+    parts = t._small(b, "x")
+    assert len(parts) > 2 and pa.Table.from_batches(parts).to_pydict() == b.to_pydict()
