@@ -30,7 +30,9 @@ def clean_extension(ext: str) -> str:
 
 
 def extension_eq(docs: DataFrame, ext: str) -> DataFrame:
-    return docs.where(F.coalesce(F.col("extension"), F.lit("")) == clean_extension(ext))
+    e = clean_extension(ext)
+    # a plain equality can be pushed to the scan; only "none" must look at NULLs
+    return docs.where(F.col("extension") == e) if e else docs.where(F.coalesce(F.col("extension"), F.lit("")) == "")
 
 
 def extension_in(docs: DataFrame, exts: list[str]) -> DataFrame:
@@ -106,3 +108,8 @@ def tail(rows: DataFrame, n: int, column: str = "sequence") -> DataFrame:
 
 def after_sequence(rows: DataFrame, n: int, column: str = "sequence") -> DataFrame:
     return rows.where(F.col(column) > n)
+
+
+def by_key(rows: DataFrame, column: str, value: str | None) -> DataFrame:
+    """Rows of one prompt, session or source; the plain equality reaches the scan. NULL finds nothing."""
+    return rows.where(F.col(column) == F.lit(value)) if value is not None else rows.limit(0)

@@ -10,8 +10,9 @@ from corvidex.operators import evaluation as E
 from corvidex.operators import fusion
 from corvidex.operators import joins as J
 from corvidex.operators import journal as JR
+from corvidex.operators import retrieval as RT
 from corvidex.operators import vectors as V
-from corvidex.queries.common import Registry, sql_tokens
+from corvidex.queries.common import Registry, kept_table, sql_tokens
 from corvidex.queries.relational import canonical, docs, journal
 from corvidex.session import broadcast_if_small, load_table
 
@@ -188,19 +189,15 @@ def rnk_passage_bm25(s, d):
 q("rnk_topic_route", "WITH t AS (SELECT lower(coalesce(text, '')) AS t FROM documents WHERE source = 'chat:turns' ORDER BY doc_id LIMIT 10) SELECT (max(contains(t, 'cursor')::INT) + max(contains(t, 'quagga')::INT) + max(contains(t, 'archive')::INT)) / 3.0 AS covered FROM t")(
     lambda s, d: E.covered_share(docs(s, d).where("source = 'chat:turns'").orderBy("doc_id").limit(10), ["cursor", "quagga", "archive"], "text")
 )
-q("rnk_freshness_classify", "SELECT source, CASE WHEN max(indexed_at) IS NULL THEN 'undetermined' WHEN max(indexed_at) FILTER (WHERE doc_id % 7 = 0) >= max(indexed_at) THEN 'fresh' ELSE 'stale' END AS freshness FROM documents GROUP BY 1")(
-    lambda s, d: docs(s, d).groupBy("source").agg(F.max("indexed_at").alias("a"), F.max(F.when(F.col("doc_id") % 7 == 0, F.col("indexed_at"))).alias("b")).select("source", F.when(F.col("a").isNull(), "undetermined").when(F.col("b") >= F.col("a"), "fresh").otherwise("stale").alias("freshness"))
-)
-
-
 @q("rnk_coverage")
 def rnk_coverage(s, d):
-    """Greedy coverage per archive over bounded pools; tested against a plain loop."""
-    pool = fusion.top_per_group(docs(s, d).where("text is not null").select("source", "doc_id", "text"), ["source"], [F.col("doc_id").desc()], 30)
-    head = F.regexp_extract_all(F.lower(F.substring("text", 1, 1050)), F.lit("([a-z0-9][a-z0-9_#./-]{2,})"))
-    cand = pool.select("source", F.col("doc_id").alias("id"), F.col("doc_id").alias("sequence"), head.alias("tokens"))
-    freq = cand.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    return E.greedy_coverage(cand, ["source"], freq, 1000, 5)
+    """The turns of every ticket that together cover most, by the frequencies of all turns; tested against a plain loop."""
+    turns = docs(s, d).where("source = 'chat:turns'")
+    own = RT.turn_columns(turns).where("ticket <> ''")
+    newest = fusion.top_per_group(own.select("ticket", "doc_id", F.coalesce("sequence", F.lit(0)).alias("sequence"), "text"), ["ticket"], [F.col("sequence").desc(), F.col("doc_id").desc()], 5000)
+    cand = newest.select("ticket", F.col("doc_id").alias("id"), "sequence", RT.coverage_tokens(F.col("text")).alias("tokens"))
+    freq = kept_table(s, d, "documents", "token-df", RT.token_frequencies)
+    return E.greedy_coverage(cand, ["ticket"], freq, max(1, turns.count()), 5)
 
 
 # --- evaluation ---

@@ -35,23 +35,40 @@ def sql_tokens(expr: str) -> str:
 _OPEN: dict[tuple[str, str], fts.Index] = {}
 
 
-def text_index(spark: SparkSession, sf_dir: str, rebuild: bool = False) -> fts.Index:
-    """The full-text index of ``documents``, written once per state of the table (or anew).
-
-    It lies in the shared folder under a digest of the table's files, their lengths and
-    times, so a changed table gets a new index and every later search reads the written one.
-    """
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+def _stamp(spark: SparkSession, path: str) -> str:
+    """Digest of a table's files, their lengths and times."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(p, True)
     stamp = hashlib.sha256()
     while found.hasNext():
         f = found.next()
         stamp.update(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}\n".encode())
-    key = (spark.sparkContext.applicationId, stamp.hexdigest())
+    return stamp.hexdigest()[:32]
+
+
+def _written(spark: SparkSession, folder: str) -> bool:
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+
+
+def text_index(spark: SparkSession, sf_dir: str, rebuild: bool = False) -> fts.Index:
+    """The full-text index of ``documents``, written once per state of the table (or anew).
+
+    It lies in the shared folder under the stamp of the table, so a changed table gets a new
+    index and every later search reads the written one.
+    """
+    key = (spark.sparkContext.applicationId, _stamp(spark, f"{sf_dir}/documents.parquet"))
     if rebuild or key not in _OPEN:
-        folder = f"{ensure_checkpoint_dir(spark)}/corvidex-index-{key[1][:32]}"
-        done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/totals/_SUCCESS")  # written last
-        if rebuild or not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        folder = f"{ensure_checkpoint_dir(spark)}/corvidex-index-{key[1]}"
+        if rebuild or not _written(spark, f"{folder}/totals"):  # totals are written last
             fts.write_index(fts.index_source(load_table(spark, sf_dir, "documents"), "text", extract=False), folder)
         _OPEN[key] = fts.open_index(spark, folder)
     return _OPEN[key]
+
+
+def kept_table(spark: SparkSession, sf_dir: str, table: str, name: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A table derived from another, written once per state of its source."""
+    folder = f"{ensure_checkpoint_dir(spark)}/corvidex-{name}-{_stamp(spark, f'{sf_dir}/{table}.parquet')}"
+    if not _written(spark, folder):
+        make(load_table(spark, sf_dir, table)).write.mode("overwrite").parquet(folder)
+    return spark.read.parquet(folder)

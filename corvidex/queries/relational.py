@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvidex.functions import text as T
 from corvidex.operators import aggregates as A
+from corvidex.operators import evidence as EV
 from corvidex.operators import filters as FL
 from corvidex.operators import fusion
 from corvidex.operators import joins as J
@@ -67,15 +68,17 @@ q("flt_scope", "SELECT origin_db, count(*) AS n FROM documents WHERE origin_db I
 )
 _NOISE = "contains(lower(coalesce(content, '')), 'ai-vault') AND (" + " OR ".join(f"contains(lower(coalesce(content, '')), '{m}')" for m in T.HANDOFF_MARKERS) + ")"
 q("flt_excluded", f"SELECT doc_id, {_NOISE} AS excluded FROM documents")(lambda s, d: docs(s, d).select("doc_id", T.is_handoff_noise(F.col("content")).alias("excluded")))
-q("flt_retrieval_meta", r"SELECT sequence FROM journal_observations WHERE regexp_matches(user_text, '(?i)\b(search|retriev|index|memory)')")(
-    lambda s, d: journal(s, d).where(F.col("user_text").rlike(r"(?i)\b(search|retriev|index|memory)")).select("sequence")
+_USER_PART = r"CASE WHEN contains(coalesce(text, ''), '## User') THEN regexp_extract(text, '(?s)## User\s*(.*?)(?:\n## Assistant|\z)', 1) ELSE %s END"
+q("flt_retrieval_meta", f"""SELECT doc_id FROM documents WHERE regexp_matches({_USER_PART % "coalesce(text, '')"}, '{EV.RETRIEVAL_META}')""")(
+    lambda s, d: docs(s, d).where(EV.is_retrieval_meta(F.col("text"))).select("doc_id")
 )
-q("flt_explicit_ticket", r"SELECT sequence FROM journal_observations WHERE regexp_matches(user_text, '\b(?:SCTASK\d+|[A-Z][A-Z0-9]{1,9}-\d{1,8})\b')")(
-    lambda s, d: journal(s, d).where(F.col("user_text").rlike(T.TICKET)).select("sequence")
-)
-q("flt_material_evidence", r"SELECT sequence FROM journal_observations WHERE regexp_matches(coalesce(assistant_text, ''), '(?is)\b(commit|merged|deployed|fixed|files changed|verified)\b')")(
-    lambda s, d: journal(s, d).where(F.coalesce("assistant_text", F.lit("")).rlike(r"(?is)\b(commit|merged|deployed|fixed|files changed|verified)\b")).select("sequence")
+_KEY = r"nullif(regexp_extract(coalesce(text, ''), '\b(?:SCTASK\d+|[A-Z][A-Z0-9]{1,9}-\d{1,8})\b'), '')"
+q("flt_explicit_ticket", f"""WITH t AS (SELECT doc_id, {_KEY} AS ticket, upper({_USER_PART % "''"}) AS said FROM documents) SELECT doc_id, ticket FROM t WHERE contains(said, ticket) OR contains(said, replace(ticket, '-', ''))""")(
+    lambda s, d: docs(s, d).withColumn("ticket", F.get(T.tickets(F.col("text")), F.lit(0))).where(EV.names_ticket(F.col("text"), F.col("ticket"))).select("doc_id", "ticket")
 )
+# SQL's word boundary knows ASCII letters only, so it is spelled out
+_MATERIAL_SQL = EV.MATERIAL.replace(r"(?is)\b", r"(?is)(?:^|[^\p{L}\p{N}\p{M}_])").removesuffix(r"\b") + r"(?:$|[^\p{L}\p{N}\p{M}_])"
+q("flt_material_evidence", f"SELECT doc_id FROM documents WHERE regexp_matches(coalesce(text, ''), '{_MATERIAL_SQL}')")(lambda s, d: docs(s, d).where(EV.is_material(F.col("text"))).select("doc_id"))
 # fixed values: user texts that carry nothing by themselves
 DROSS = ("", "pushed", "what now?", "check now", "go next", "yes", "ok", "mode: research", "mode: innovate", "mode: plan", "mode: execute")
 q("flt_dross", f"SELECT sequence FROM journal_observations WHERE lower(trim(coalesce(user_text, ''))) IN {DROSS} AND strlen(coalesce(assistant_text, '')) < 120 AND NOT regexp_matches(coalesce(assistant_text, ''), '(FILES|REMOTE) CHANGE')")(
@@ -93,8 +96,11 @@ q("flt_regex", r"SELECT sequence FROM journal_observations WHERE regexp_matches(
 q("flt_sequence_range", "SELECT sequence, observation_id FROM journal_observations WHERE sequence BETWEEN 50 AND 90")(lambda s, d: FL.sequence_range(journal(s, d), 90, 50).select("sequence", "observation_id"))
 q("flt_tail", "SELECT sequence FROM journal_observations ORDER BY sequence DESC LIMIT 25")(lambda s, d: FL.tail(journal(s, d), 25).select("sequence"))
 q("flt_after_sequence", "SELECT sequence FROM journal_observations WHERE sequence > 300")(lambda s, d: FL.after_sequence(journal(s, d), 300).select("sequence"))
-q("flt_by_prompt", "SELECT prompt_id, count(*) AS n FROM journal_observations WHERE prompt_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1")(
-    lambda s, d: journal(s, d).where("prompt_id is not null").groupBy("prompt_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+q("flt_by_prompt", "SELECT sequence, prompt_id FROM journal_observations WHERE prompt_id = (SELECT min(prompt_id) FROM journal_observations)")(
+    lambda s, d: FL.by_key(journal(s, d), "prompt_id", journal(s, d).agg(F.min("prompt_id")).first()[0]).select("sequence", "prompt_id")
+)
+q("flt_by_session", "SELECT sequence, session_id FROM journal_observations WHERE session_id = (SELECT max(session_id) FROM journal_observations) ORDER BY sequence")(
+    lambda s, d: FL.by_key(journal(s, d), "session_id", journal(s, d).agg(F.max("session_id")).first()[0]).orderBy("sequence").select("sequence", "session_id")
 )
 q("flt_by_source", "SELECT sequence FROM journal_observations WHERE source_identity = (SELECT min(source_identity) FROM journal_source_identities)")(
     lambda s, d: journal(s, d).join(F.broadcast(load_table(s, d, "journal_source_identities").agg(F.min("source_identity").alias("source_identity"))), "source_identity", "left_semi").select("sequence")
@@ -386,9 +392,14 @@ q("top_facets", r"SELECT doc_id FROM documents ORDER BY CASE source WHEN 'worklo
 q("top_authoritative", "SELECT doc_id, source FROM documents WHERE source LIKE 'worklog:%' ORDER BY CASE source WHEN 'worklog:state' THEN 0 ELSE 1 END, is_compressed, doc_id DESC LIMIT 30")(
     lambda s, d: docs(s, d).where("source like 'worklog:%'").orderBy(F.when(F.col("source") == "worklog:state", 0).otherwise(1), "is_compressed", F.col("doc_id").desc()).limit(30).select("doc_id", "source")
 )
-_CONF = "CASE lower(event_time_confidence) WHEN 'exact' THEN 0 WHEN 'local' THEN 1 WHEN 'date_only' THEN 2 WHEN 'date-only' THEN 2 ELSE 3 END"
-q("top_turn_evidence", f"SELECT sequence FROM journal_observations ORDER BY {_CONF}, sequence DESC LIMIT 30")(
-    lambda s, d: journal(s, d).orderBy(F.when(F.lower("event_time_confidence") == "exact", 0).when(F.lower("event_time_confidence") == "local", 1).when(F.lower("event_time_confidence").isin("date_only", "date-only"), 2).otherwise(3), F.col("sequence").desc()).limit(30).select("sequence")
+_ISO = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z$"
+_CONF = "CASE WHEN lower(event_time_confidence) IN ('exact', 'local') THEN 3 WHEN lower(event_time_confidence) IN ('date-only', 'date_only') THEN 2 ELSE 1 END"
+q("top_turn_evidence", f"SELECT sequence FROM journal_observations ORDER BY {_CONF} DESC, coalesce(CASE WHEN regexp_matches(event_time, '{_ISO}') THEN epoch_us(event_time::TIMESTAMPTZ) END, 0) DESC, sequence DESC LIMIT 30")(
+    lambda s, d: journal(s, d)
+    .withColumns({"at_us": F.when(F.col("event_time").rlike(_ISO), F.unix_micros(F.try_to_timestamp("event_time"))), "path": F.lit("")})
+    .orderBy(*EV.evidence_order("event_time_confidence", "at_us", "sequence", "path"))
+    .limit(30)
+    .select("sequence")
 )
 q("top_stable_partition", "SELECT doc_id FROM documents WHERE source IS NOT NULL ORDER BY CASE WHEN source = 'worklog:state' THEN 0 ELSE 1 END, doc_id LIMIT 60")(
     lambda s, d: docs(s, d).where("source is not null").orderBy(F.when(F.col("source") == "worklog:state", 0).otherwise(1), "doc_id").limit(60).select("doc_id")

@@ -248,27 +248,4 @@ def rnk_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("stable_id").alias("doc_id"), F.round("fused_score", 9).alias("fused_score"))
 
 
-@q(
-    "rnk_passage_split",
-    """WITH x AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0), p AS (SELECT doc_id, text, n, unnest(range(0, (greatest(0, ceil((n - 900) / 675.0)) + 1)::BIGINT)) AS i FROM x)
- SELECT doc_id, i AS passage_no, i * 675 AS char_start, least(i * 675 + 900, n) AS char_end, md5(substring(text, i * 675 + 1, 900)) AS passage_md5 FROM p""",
-)
-def rnk_passage_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = fusion.passages(_docs(spark, sf_dir).select("doc_id", "text"), ["doc_id"], "text")
-    return out.select("doc_id", F.col("passage_no").cast("long").alias("passage_no"), F.col("char_start").cast("long").alias("char_start"), F.col("char_end").cast("long").alias("char_end"), F.md5("passage").alias("passage_md5"))
-
-
-@q(
-    "rnk_passage_overlap",
-    f"""WITH x AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE source = 'worklog:state' AND length(text) > 0), p AS (SELECT doc_id, text, unnest(range(0, (greatest(0, ceil((n - 900) / 675.0)) + 1)::BIGINT)) AS i FROM x),
- s AS (SELECT doc_id, i AS passage_no, round(len(list_filter(['gap', 'lease', 'zone'], lambda w: list_contains({sql_tokens('substring(text, i * 675 + 1, 900)')}, w))) / 3.0, 4) AS overlap FROM p)
- SELECT doc_id, passage_no, overlap FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY overlap DESC, passage_no) <= 3""",
-)
-def rnk_passage_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = fusion.passages(_docs(spark, sf_dir).where("source = 'worklog:state'").select("doc_id", "text"), ["doc_id"], "text")
-    p = p.withColumn("overlap", fusion.overlap_score(T.tokens(F.col("passage")), ["gap", "lease", "zone"]))
-    top = fusion.top_per_group(p, ["doc_id"], [F.col("overlap").desc(), F.col("passage_no")], 3)
-    return top.select("doc_id", F.col("passage_no").cast("long").alias("passage_no"), "overlap")
-
-
 QUERIES, ORACLE = R.queries, R.oracle
