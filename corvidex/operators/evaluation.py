@@ -87,22 +87,59 @@ class JavaRandom:
                 return v
 
 
+def java_draws(seed: int, n: int, count: int) -> np.ndarray:
+    """``count`` numbers below ``n`` as ``java.util.Random.nextInt(n)`` gives them.
+
+    The generator is linear, so the state after any number of steps has a closed form: a
+    block of states comes from one state by a table of powers. A draw that the generator
+    rejects just takes the next one, so rejected draws are filtered out of the stream.
+    """
+    # fixed values: multiplier, increment and width of the generator
+    a, c, mask = 0x5DEECE66D, 0xB, (1 << 48) - 1
+    size = 1 << 14
+    power, add = np.empty(size, np.uint64), np.empty(size, np.uint64)
+    p, q = 1, 0
+    for i in range(size):
+        p, q = p * a & mask, (q * a + c) & mask
+        power[i], add[i] = p, q
+    state, out, have = (seed ^ a) & mask, [], 0
+    while have < count:
+        block = (np.uint64(state) * power + add) & np.uint64(mask)  # wraps at 64 bits, which keeps the low 48
+        state = int(block[-1])
+        bits = (block >> np.uint64(17)).astype(np.int64)
+        if n & (n - 1) == 0:
+            got = (bits * n) >> 31
+        else:
+            value = bits % n
+            got = value[bits - value + (n - 1) < 1 << 31]
+        out.append(got)
+        have += len(got)
+    return np.concatenate(out)[:count] if out else np.zeros(0, np.int64)
+
+
+def _interval(differences: list[float], draws: np.ndarray, resamples: int, low: int, high: int) -> tuple[float, float, float, int]:
+    d = np.asarray(differences, dtype=float)
+    means = np.sort(d[draws].reshape(resamples, len(d)).mean(axis=1))
+    return float(d.mean()), float(means[low]), float(means[high]), len(d)
+
+
 def bootstrap_java(differences: list[float], resamples: int = 10_000, seed: int = 42) -> tuple[float | None, float | None, float | None, int]:
     """Mean and 95 % interval of paired differences (percentiles by floor and ceiling)."""
     if not differences:
         return None, None, None, 0
-    rng, n = JavaRandom(seed), len(differences)
-    means = sorted(sum(differences[rng.below(n)] for _ in range(n)) / n for _ in range(resamples))
-    return sum(differences) / n, means[math.floor(0.025 * (resamples - 1))], means[math.ceil(0.975 * (resamples - 1))], n
+    draws = java_draws(seed, len(differences), resamples * len(differences))
+    return _interval(differences, draws, resamples, math.floor(0.025 * (resamples - 1)), math.ceil(0.975 * (resamples - 1)))
 
 
 def bootstrap_python(differences: list[float], resamples: int = 10_000, seed: int = 1) -> tuple[float | None, float | None, float | None, int]:
-    """The same with Python's generator; the interval is the 2.5 and 97.5 % order statistics."""
+    """The same with the draws of Python's ``random.choices``; the interval is the 2.5 and 97.5 % order statistics."""
     if not differences:
         return None, None, None, 0
-    rng, n = random.Random(seed), len(differences)
-    means = sorted(sum(rng.choices(differences, k=n)) / n for _ in range(resamples))
-    return sum(differences) / n, means[int(0.025 * resamples)], means[int(0.975 * resamples) - 1], n
+    _, state, _ = random.Random(seed).getstate()
+    twister = np.random.RandomState()
+    twister.set_state(("MT19937", np.array(state[:-1], dtype=np.uint32), state[-1]))
+    draws = np.floor(twister.random_sample(resamples * len(differences)) * len(differences)).astype(np.int64)
+    return _interval(differences, draws, resamples, int(0.025 * resamples), int(0.975 * resamples) - 1)
 
 
 def bootstrap(pairs: DataFrame, group: list[str], method: Callable = bootstrap_java, resamples: int = 10_000, seed: int = 42, order: str = "qid") -> DataFrame:
@@ -182,6 +219,43 @@ def ideal_dcg(text_facts: list[set[str]], weights: dict[str, float], k: int = 10
     return sum(gain / math.log2(place) for place, (_, gain) in zip(range(2, k + 2), order, strict=False))
 
 
+def ndcg_coverage(present: DataFrame, facts: DataFrame, k: int = 10) -> DataFrame:
+    """``task, dcg, ideal, ndcg``: gain of new facts over that of the best greedy order.
+
+    ``present``: ``task, fact, rank``; a task's list is the result of one search, so its
+    facts by text fit one row; ``facts``: ``task, fact, weight``.
+    """
+    texts = present.join(facts, ["task", "fact"]).groupBy("task", "rank").agg(F.collect_set("fact").alias("facts"))
+    own = texts.groupBy("task").agg(F.sort_array(F.collect_list(F.struct("rank", "facts"))).alias("texts"))
+    weights = facts.groupBy("task").agg(F.map_from_entries(F.collect_list(F.struct("fact", "weight"))).alias("weights"))
+
+    @F.pandas_udf("double")
+    def best(texts: pd.Series, weights: pd.Series) -> pd.Series:
+        return pd.Series([ideal_dcg([set(t["facts"]) for t in x], dict(w), k) for x, w in zip(texts, weights, strict=True)], dtype="float64")
+
+    ideal = own.join(weights, "task").select("task", best("texts", "weights").alias("ideal"))
+    return fact_dcg(present, facts, k).join(ideal, "task").select("task", "dcg", "ideal", (F.col("dcg") / F.col("ideal")).alias("ndcg"))
+
+
+def precision_proxy(present: DataFrame, ranked: DataFrame, cuts: tuple[int, ...] = (10,)) -> DataFrame:
+    """Share of the first k texts of each task that hold any fact. ``ranked``: ``task, rank``."""
+    useful = present.select("task", "rank").distinct().withColumn("u", F.lit(1))
+    j = ranked.select("task", "rank").join(useful, ["task", "rank"], "left")
+    return j.groupBy("task").agg(*[(F.count_if((F.col("rank") <= k) & F.col("u").isNotNull()) / F.least(F.lit(k), F.max("rank"))).alias(f"precision_{k}") for k in cuts])
+
+
+def needles(ledger: DataFrame, per_task: int = 3) -> DataFrame:
+    """Questions made of the plain words of a fact: ``task, fact, query``, the first ``per_task`` of each task.
+
+    ``ledger``: ``task, place, fact, weight, words``. Facts of weight below 2 or with fewer
+    than two plain words make no question.
+    """
+    plain = F.filter("words", lambda w: w.rlike(r"^[\p{L}\p{N}_-]+$"))
+    rows = ledger.withColumn("plain", plain).where((F.col("weight") >= 2) & (F.size("plain") >= 2))
+    n = F.row_number().over(Window.partitionBy("task").orderBy("place", "fact"))
+    return rows.withColumn("n", n).where(F.col("n") <= per_task).select("task", "fact", F.array_join("plain", " ").alias("query"))
+
+
 def hash_sample(df: DataFrame, key: str, n: int, salt: str = "") -> DataFrame:
     """``n`` rows with the smallest salted hash: the same rows whatever their order."""
     return df.orderBy(F.xxhash64(F.lit(salt), key), key).limit(n)

@@ -117,3 +117,15 @@ def project(canonical: DataFrame, cursor: int, spill_bytes: int = SPILL_BYTES) -
     docs = rows.select("sequence", "impact", F.explode(F.filter(F.array(turn, artifact), lambda x: x.isNotNull())).alias("x"))
     name = F.format_string("%s-%06d.md", F.when(F.col("x.tier") == "turns", "turn").otherwise("artifact"), F.col("sequence"))
     return docs.select("sequence", "impact", "x.tier", name.alias("file_name"), "x.text")
+
+
+def snapshots(sources: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``source_identity, sha256, size_bytes, content`` of contents not stored yet, each once.
+
+    ``sources``: ``source_identity, content`` (binary); ``known``: snapshots already stored.
+    The bytes are kept as they are; the digest tells whether they came back unchanged.
+    """
+    rows = sources.where("content is not null").select("source_identity", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("size_bytes"), "content")
+    if known is not None:
+        rows = rows.join(known.select("source_identity", "sha256"), ["source_identity", "sha256"], "left_anti")
+    return rows.dropDuplicates(["source_identity", "sha256"])

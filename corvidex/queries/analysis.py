@@ -62,8 +62,8 @@ def jrn_event_hash(s, d):
     return rows.agg(F.count(F.lit(1)).alias("n")).withColumn("bad", bad.agg(F.count(F.lit(1))).scalar())
 
 
-_RECON = """t AS (SELECT 't' || user_id || '-' || event_id AS id, CASE WHEN event_id % 5 = 0 THEN 'p' || user_id || '-' || (event_id % 40) END AS prompt_id, 's' || user_id AS session_id, md5(event_type) AS content_hash, event_type AS user_text, epoch_us(ts) AS at_us FROM events WHERE event_id % 10 = 0),
- j AS (SELECT 'j' || lpad(event_id::VARCHAR, 9, '0') AS id, CASE WHEN event_id % 5 = 1 THEN 'p' || user_id || '-' || ((event_id - 1) % 40) END AS prompt_id, 's' || user_id AS session_id, md5(event_type || (event_id % 3)) AS content_hash, event_type AS user_text, epoch_us(ts) AS at_us FROM events WHERE event_id % 10 = 1)"""
+_RECON = """t AS (SELECT 't' || user_id || '-' || event_id AS id, CASE WHEN event_id % 5 = 0 THEN 'p' || user_id || '-' || (event_id % 40) END AS prompt_id, 's' || user_id AS session_id, md5(event_type) AS content_hash, event_type AS user_text, epoch_us(ts) AS at_us FROM events WHERE event_id % 2 = 0),
+ j AS (SELECT 'j' || lpad(event_id::VARCHAR, 9, '0') AS id, CASE WHEN event_id % 5 = 1 THEN 'p' || user_id || '-' || ((event_id - 1) % 40) END AS prompt_id, 's' || user_id AS session_id, md5(event_type || (event_id % 3)) AS content_hash, event_type AS user_text, epoch_us(ts) AS at_us FROM events WHERE event_id % 2 = 1)"""
 
 
 @q(
@@ -74,10 +74,10 @@ _RECON = """t AS (SELECT 't' || user_id || '-' || event_id AS id, CASE WHEN even
 )
 def jrn_reconcile(s, d):
     e = load_table(s, d, "events").withColumns({"session_id": F.concat(F.lit("s"), "user_id"), "at_us": F.unix_micros(F.col("ts").cast("timestamp")), "user_text": F.col("event_type")})
-    turns = e.where("event_id % 10 = 0").select(
+    turns = e.where("event_id % 2 = 0").select(
         F.concat(F.lit("t"), "user_id", F.lit("-"), "event_id").alias("id"), F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("p"), "user_id", F.lit("-"), F.col("event_id") % 40)).alias("prompt_id"), "session_id", F.md5("event_type").alias("content_hash"), "user_text", "at_us"
     )
-    log = e.where("event_id % 10 = 1").select(
+    log = e.where("event_id % 2 = 1").select(
         F.concat(F.lit("j"), F.lpad(F.col("event_id").cast("string"), 9, "0")).alias("id"), F.when(F.col("event_id") % 5 == 1, F.concat(F.lit("p"), "user_id", F.lit("-"), (F.col("event_id") - 1) % 40)).alias("prompt_id"), "session_id", F.md5(F.concat("event_type", F.col("event_id") % 3)).alias("content_hash"), "user_text", "at_us"
     )
     return J.reconcile(turns, log, 3_600_000_000)
@@ -91,8 +91,8 @@ def _band(s: SparkSession, d: str) -> DataFrame:
     w = F.lit(3_600_000_000)
     e = load_table(s, d, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     b = F.floor(F.col("us") / w)
-    left = e.where("event_id % 10 = 0").withColumn("b", F.explode(F.array(b - 1, b, b + 1))).withColumnRenamed("us", "l")
-    right = e.where("event_id % 10 = 1").withColumn("b", b).select("user_id", "event_type", "b", F.col("us").alias("r"))
+    left = e.where("event_id % 2 = 0").withColumn("b", F.explode(F.array(b - 1, b, b + 1))).withColumnRenamed("us", "l")
+    right = e.where("event_id % 2 = 1").withColumn("b", b).select("user_id", "event_type", "b", F.col("us").alias("r"))
     return left.join(right, ["user_id", "event_type", "b"]).where(F.abs(F.col("l") - F.col("r")) <= 3_600_000_000).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -153,7 +153,7 @@ def _after(s: SparkSession, d: str) -> DataFrame:
 
 @q(
     "rnk_pack",
-    """WITH RECURSIVE i AS (SELECT source, doc_id, strlen(coalesce(content, '')) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE doc_id <= 600),
+    """WITH RECURSIVE i AS (SELECT source, doc_id, strlen(coalesce(content, '')) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE source IS NOT NULL),
  p AS (SELECT source, doc_id, k, CASE WHEN n <= 3000 THEN n ELSE 0 END AS used, n <= 3000 AS kept FROM i WHERE k = 1
  UNION ALL SELECT i.source, i.doc_id, i.k, CASE WHEN p.used + i.n <= 3000 THEN p.used + i.n ELSE p.used END, p.used + i.n <= 3000 FROM p JOIN i ON i.source = p.source AND i.k = p.k + 1) SELECT source, doc_id FROM p WHERE kept""",
 )
@@ -201,7 +201,7 @@ def rnk_coverage(s, d):
 
 
 # --- evaluation ---
-_EVAL = """lab AS (SELECT event_type AS qid, 'u' || (user_id % 40) AS doc, max((event_id % 4)::INT) AS grade FROM events WHERE event_id <= 800 GROUP BY ALL),
+_EVAL = """lab AS (SELECT event_type AS qid, 'u' || (user_id % 40) AS doc, (sum(event_id) % 4)::INT AS grade FROM events GROUP BY ALL),
  rk AS (SELECT event_type AS qid, 'u' || (user_id % 60) AS doc, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rank FROM events QUALIFY rank <= 120),
  h AS (SELECT rk.*, coalesce(grade, 0) AS grade, row_number() OVER (PARTITION BY rk.qid, rk.doc ORDER BY rank) AS nth FROM rk LEFT JOIN lab USING (qid, doc)),
  o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS place FROM h WHERE nth = 1),
@@ -214,7 +214,7 @@ _EVAL = """lab AS (SELECT event_type AS qid, 'u' || (user_id % 40) AS doc, max((
 
 def _metrics(s: SparkSession, d: str) -> DataFrame:
     e = load_table(s, d, "events")
-    labels = e.where("event_id <= 800").groupBy(F.col("event_type").alias("qid"), F.concat(F.lit("u"), F.col("user_id") % 40).alias("doc")).agg(F.max((F.col("event_id") % 4).cast("int")).alias("grade"))
+    labels = e.groupBy(F.col("event_type").alias("qid"), F.concat(F.lit("u"), F.col("user_id") % 40).alias("doc")).agg((F.sum("event_id") % 4).cast("int").alias("grade"))
     ranked = fusion.top_per_group(e, ["event_type"], [F.col("value").desc(), F.col("event_id")], 120).select(F.col("event_type").alias("qid"), F.concat(F.lit("u"), F.col("user_id") % 60).alias("doc"), "rank")
     return E.query_metrics(ranked, labels)
 
@@ -224,15 +224,17 @@ for _name, _col in (("ev_recall", "recall_10"), ("ev_ndcg", "ndcg_10"), ("ev_rr"
 q("ev_aggregate", f"WITH {_EVAL} SELECT count(*) AS queries, round(avg(recall_50), 6) AS recall_50, round(avg(ndcg_10), 6) AS ndcg_10 FROM m")(
     lambda s, d: E.mean_metrics(_metrics(s, d), [], ["recall_50", "ndcg_10"]).select("queries", F.round("recall_50", 6).alias("recall_50"), F.round("ndcg_10", 6).alias("ndcg_10"))
 )
-q("ev_zero", "SELECT n_name, (count(s_suppkey) = 0)::DOUBLE AS zero_result FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")(
-    lambda s, d: load_table(s, d, "nation").join(load_table(s, d, "supplier"), F.col("n_nationkey") == F.col("s_nationkey"), "left").groupBy("n_name").agg((F.count("s_suppkey") == 0).cast("double").alias("zero_result"))
+q("ev_zero", f"WITH {_EVAL} SELECT DISTINCT qid, (qid NOT IN (SELECT qid FROM rk))::DOUBLE AS zero_result FROM lab")(lambda s, d: _metrics(s, d).select("qid", "zero_result"))
+_LANG = "CASE WHEN qid < 'd' THEN 'en' ELSE 'pl' END"
+q("ev_by_language", f"WITH {_EVAL} SELECT {_LANG} AS lang, count(*) AS queries, round(avg(recall_50), 6) AS recall_50, round(avg(ndcg_10), 6) AS ndcg_10 FROM m GROUP BY GROUPING SETS (({_LANG}), ())")(
+    lambda s, d: E.mean_metrics(_metrics(s, d).withColumn("lang", F.when(F.col("qid") < "d", "en").otherwise("pl")), ["lang"], ["recall_50", "ndcg_10"]).select("lang", "queries", F.round("recall_50", 6).alias("recall_50"), F.round("ndcg_10", 6).alias("ndcg_10"))
 )
 q("join_labels", f"WITH {_EVAL} SELECT qid, doc, rank, grade FROM h WHERE rank <= 20")(lambda s, d: _labelled(s, d))
 
 
 def _labelled(s: SparkSession, d: str) -> DataFrame:
     e = load_table(s, d, "events")
-    labels = e.where("event_id <= 800").groupBy(F.col("event_type").alias("qid"), F.concat(F.lit("u"), F.col("user_id") % 40).alias("doc")).agg(F.max((F.col("event_id") % 4).cast("int")).alias("grade"))
+    labels = e.groupBy(F.col("event_type").alias("qid"), F.concat(F.lit("u"), F.col("user_id") % 40).alias("doc")).agg((F.sum("event_id") % 4).cast("int").alias("grade"))
     ranked = fusion.top_per_group(e, ["event_type"], [F.col("value").desc(), F.col("event_id")], 20).select(F.col("event_type").alias("qid"), F.concat(F.lit("u"), F.col("user_id") % 60).alias("doc"), F.col("rank").cast("long").alias("rank"))
     return ranked.join(labels, ["qid", "doc"], "left").withColumn("grade", F.coalesce("grade", F.lit(0)))
 
@@ -250,12 +252,12 @@ def _differences(s: SparkSession, d: str) -> DataFrame:
 @q("ev_bootstrap")
 def ev_bootstrap(s, d):
     """Intervals with the generator of ``java.util.Random``; tested against known draws."""
-    return E.bootstrap(_differences(s, d), ["grp"], E.bootstrap_java, 500)
+    return E.bootstrap(_differences(s, d), ["grp"], E.bootstrap_java)
 
 
 @q("ev_bootstrap_py")
 def ev_bootstrap_py(s, d):
-    return E.bootstrap(_differences(s, d), ["grp"], E.bootstrap_python, 500, 1)
+    return E.bootstrap(_differences(s, d), ["grp"], E.bootstrap_python, seed=1)
 
 
 _FACTS = "f AS (SELECT source AS task, label::VARCHAR AS fact, min(rank) AS rank, 1.0 + label / 10.0 AS weight FROM (SELECT source, label, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents JOIN embeddings ON vec_id = doc_id) GROUP BY source, label)"
@@ -271,16 +273,24 @@ q("ev_fact_recall", f"WITH {_FACTS} SELECT task, round(sum(CASE WHEN rank <= 10
     lambda s, d: E.fact_recall(*_facts(s, d)).select("task", F.round("fact_recall_10", 6).alias("fact_recall_10"), F.round("fact_recall_30", 6).alias("fact_recall_30"))
 )
 q("ev_coverage", f"WITH {_FACTS} SELECT task, round(sum(CASE WHEN rank <= 50 THEN weight ELSE 0 END) / sum(weight), 6) AS coverage FROM f GROUP BY 1")(lambda s, d: E.fact_recall(*_facts(s, d), cuts=(50,)).select("task", F.round("fact_recall_50", 6).alias("coverage")))
-q("ev_ndcg_coverage", f"WITH {_FACTS} SELECT task, round(sum(weight / log2(rank + 1)), 6) AS dcg FROM f WHERE rank <= 10 GROUP BY 1")(lambda s, d: E.fact_dcg(*_facts(s, d)).select("task", F.round("dcg", 6).alias("dcg")))
-q("ev_pool", "SELECT doc_id, count(*) AS n_systems FROM ((SELECT doc_id FROM documents ORDER BY n_chars DESC NULLS LAST, doc_id LIMIT 50) UNION ALL (SELECT doc_id FROM documents ORDER BY size_bytes DESC NULLS LAST, doc_id LIMIT 50)) GROUP BY 1")(
-    lambda s, d: docs(s, d).orderBy(F.col("n_chars").desc_nulls_last(), "doc_id").limit(50).select("doc_id").unionByName(docs(s, d).orderBy(F.col("size_bytes").desc_nulls_last(), "doc_id").limit(50).select("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_systems"))
+q("ev_fact_dcg", f"WITH {_FACTS} SELECT task, round(sum(weight / log2(rank + 1)), 6) AS dcg FROM f WHERE rank <= 10 GROUP BY 1")(lambda s, d: E.fact_dcg(*_facts(s, d)).select("task", F.round("dcg", 6).alias("dcg")))
+# every text here holds one fact, so the best order is by weight
+q("ev_ndcg_coverage", f"WITH {_FACTS}, i AS (SELECT task, weight, row_number() OVER (PARTITION BY task ORDER BY weight DESC) AS place FROM f), g AS (SELECT task, sum(weight / log2(place + 1)) AS ideal FROM i WHERE place <= 10 GROUP BY 1), a AS (SELECT task, sum(weight / log2(rank + 1)) AS dcg FROM f WHERE rank <= 10 GROUP BY 1) SELECT task, round(dcg, 6) AS dcg, round(ideal, 6) AS ideal, round(dcg / ideal, 6) AS ndcg FROM a JOIN g USING (task)")(
+    lambda s, d: E.ndcg_coverage(*_facts(s, d)).select("task", *[F.round(c, 6).alias(c) for c in ("dcg", "ideal", "ndcg")])
 )
-q("ev_gold_validate", "SELECT event_type, count(*) AS n, count_if(value IS NULL OR value < 0) AS bad_value, count(*) - count(DISTINCT event_id) AS duplicate_ids FROM events GROUP BY 1")(
-    lambda s, d: load_table(s, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value").isNull() | (F.col("value") < 0)).alias("bad_value"), (F.count(F.lit(1)) - F.count_distinct("event_id")).alias("duplicate_ids"))
-)
-q("ev_needles", "SELECT doc_id FROM documents WHERE regexp_matches(text, 'HARBR-\\d{4}') ORDER BY doc_id LIMIT 10")(lambda s, d: docs(s, d).where(F.col("text").rlike(r"HARBR-\d{4}")).orderBy("doc_id").limit(10).select("doc_id"))
+_HITS = "r AS (SELECT source AS task, label, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents JOIN embeddings ON vec_id = doc_id)"
+q("ev_precision_proxy", f"WITH {_HITS} SELECT task, round(count_if(rank <= 10 AND label < 3) / least(10, max(rank)), 6) AS precision_10 FROM r GROUP BY 1")(lambda s, d: _precision(s, d))
+
 
+def _precision(s: SparkSession, d: str) -> DataFrame:
+    """Texts that hold one of the first three facts."""
+    present, _ = _facts(s, d)
+    return E.precision_proxy(present.where(F.col("fact").cast("int") < 3), present).select("task", F.round("precision_10", 6).alias("precision_10"))
 
+
+q("ev_pool", "SELECT doc_id, count(*) AS n_systems FROM ((SELECT doc_id FROM documents ORDER BY n_chars DESC NULLS LAST, doc_id LIMIT 50) UNION ALL (SELECT doc_id FROM documents ORDER BY size_bytes DESC NULLS LAST, doc_id LIMIT 50)) GROUP BY 1")(
+    lambda s, d: docs(s, d).orderBy(F.col("n_chars").desc_nulls_last(), "doc_id").limit(50).select("doc_id").unionByName(docs(s, d).orderBy(F.col("size_bytes").desc_nulls_last(), "doc_id").limit(50).select("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_systems"))
+)
 @q("ev_false_match")
 def ev_false_match(s, d):
     """Rate of an anchor in a hashed sample of other texts."""
@@ -310,12 +320,12 @@ def vec_search(s, d):
     return V.search(e.where("label <> 3"), query, "vec_id", "embedding", 25)
 
 
-@q("vec_maxsim", "WITH qv AS (SELECT vec_id, embedding FROM embeddings ORDER BY vec_id LIMIT 2), p AS (SELECT e.label, qv.vec_id, max(list_sum(list_transform(list_zip(e.embedding, qv.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))) AS best FROM embeddings e, qv WHERE e.vec_id <= 60 GROUP BY 1, 2) SELECT label, round(sum(best), 4) AS score FROM p GROUP BY 1")
+@q("vec_maxsim", "WITH qv AS (SELECT vec_id, embedding FROM embeddings ORDER BY vec_id LIMIT 2), p AS (SELECT e.vec_id // 10 AS passage, qv.vec_id, max(list_sum(list_transform(list_zip(e.embedding, qv.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))) AS best FROM embeddings e, qv GROUP BY 1, 2) SELECT passage, round(sum(best), 4) AS score FROM p GROUP BY 1 ORDER BY score DESC, passage LIMIT 1000")
 def vec_maxsim(s, d):
     e = load_table(s, d, "embeddings")
     query = [list(r.embedding) for r in e.orderBy("vec_id").limit(2).collect()]
-    passages = e.where("vec_id <= 60").groupBy("label").agg(F.collect_list("embedding").alias("vs"))
-    return V.search(passages, query, "label", "vs", 1000, multi=True)
+    passages = e.groupBy(F.floor(F.col("vec_id") / 10).alias("passage")).agg(F.collect_list("embedding").alias("vs"))  # ten vectors each
+    return V.search(passages, query, "passage", "vs", 1000, multi=True)
 
 
 q("vec_encode_stub", f"SELECT doc_id, len({sql_tokens('file_name')}) AS n_vectors FROM documents")(

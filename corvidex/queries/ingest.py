@@ -15,14 +15,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvidex.functions import text as T
+from corvidex.operators import gold, passages
 from corvidex.operators import journal as JR
 from corvidex.operators.ordering import blocked_row_number
 from corvidex.operators.timestamps import normalise_timestamps
 from corvidex.plans import planner as P
 from corvidex.queries.common import Registry
 from corvidex.queries.relational import docs, journal
-from corvidex.session import ensure_checkpoint_dir, load_table
-from corvidex.sources import chatlog, files, sinks, transcripts, worklog
+from corvidex.session import cut_lineage, ensure_checkpoint_dir, load_table
+from corvidex.sources import chatlog, files, protocol, registry, sinks, transcripts, worklog
 from corvidex.streaming import journal as SJ
 
 R = Registry()
@@ -56,42 +57,117 @@ def _zipped(batches):
         yield pd.DataFrame({"path": f["doc_id"].astype(str) + ".zip", "content": rows})
 
 
-q("src_zip_entries", "SELECT doc_id || '.zip' AS archive, 'in/' || file_name AS file_path, strlen(content) AS size_bytes FROM documents WHERE content IS NOT NULL AND source = 'chat:turns'")(
-    lambda s, d: files.archive_entries(_content(s, d).join(docs(s, d).where("source = 'chat:turns'").select("doc_id"), "doc_id", "left_semi").mapInPandas(_zipped, "path string, content binary")).select("archive", "file_path", "size_bytes")
+q("src_zip_entries", "SELECT doc_id || '.zip' AS archive, 'in/' || file_name AS file_path, strlen(content) AS size_bytes FROM documents WHERE content IS NOT NULL")(
+    lambda s, d: files.archive_entries(_content(s, d).mapInPandas(_zipped, "path string, content binary")).select("archive", "file_path", "size_bytes")
 )
-q("src_archive_stage", "SELECT count(*) AS n, 0::BIGINT AS damaged FROM documents WHERE content IS NOT NULL AND source = 'chat:dross'")(
-    lambda s, d: files.archive_entries(_content(s, d).join(docs(s, d).where("source = 'chat:dross'").select("doc_id"), "doc_id", "left_semi").mapInPandas(_zipped, "path string, content binary")).agg(F.count(F.lit(1)).alias("n"), F.count("problem").alias("damaged"))
+q("src_archive_stage", "SELECT count(*) AS n, 0::BIGINT AS damaged FROM documents WHERE content IS NOT NULL")(
+    lambda s, d: files.archive_entries(_content(s, d).mapInPandas(_zipped, "path string, content binary")).agg(F.count(F.lit(1)).alias("n"), F.count("problem").alias("damaged"))
 )
-q("src_rar_7z", "SELECT doc_id || '.rar' AS archive, 'unsupported archive kind' AS problem FROM documents WHERE content IS NOT NULL AND doc_id <= 50")(
-    lambda s, d: files.archive_entries(_content(s, d).where("doc_id <= 50").select(F.concat(F.col("doc_id").cast("string"), F.lit(".rar")).alias("path"), "content")).select("archive", "problem")
+q("src_rar_7z", "SELECT doc_id || '.rar' AS archive, 'unsupported archive kind' AS problem FROM documents WHERE content IS NOT NULL")(
+    lambda s, d: files.archive_entries(_content(s, d).select(F.concat(F.col("doc_id").cast("string"), F.lit(".rar")).alias("path"), "content")).select("archive", "problem")
 )
-q("src_pdf", "SELECT doc_id, NULL::VARCHAR AS text FROM documents WHERE content IS NOT NULL AND doc_id <= 50")(
-    lambda s, d: files.extract_text(_content(s, d).where("doc_id <= 50").withColumn("extension", F.lit(".pdf"))).select("doc_id", "text")
+q("src_pdf", "SELECT doc_id, NULL::VARCHAR AS text FROM documents WHERE content IS NOT NULL")(
+    lambda s, d: files.extract_text(_content(s, d).withColumn("extension", F.lit(".pdf"))).select("doc_id", "text")
 )
 
 
-@q("src_dir_scan", "SELECT count(*) AS n_files, '.parquet' AS extension FROM (SELECT 1)")
+@q("src_dir_scan", "SELECT count(*) AS n_files, coalesce(sum(strlen(content)), 0)::BIGINT AS n_bytes FROM documents WHERE content IS NOT NULL AND source = 'chat:turns'")
 def src_dir_scan(s, d):
-    return files.dir_scan(s, d, "region.parquet").groupBy("extension").agg(F.count(F.lit(1)).alias("n_files")).select("n_files", "extension")
+    """The turns written as text files, one each, and found again by scanning the folder."""
+    path = _folder(s, "files")
+    rows = docs(s, d).where("content is not null and source = 'chat:turns'")
+    rows.select(F.col("doc_id"), F.base64(F.encode("content", "UTF-8")).alias("c")).foreachPartition(_files_writer(path))
+    return files.dir_scan(s, path, "*.txt").agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("n_bytes"))
 
 
-q("src_stdin_append", "SELECT 'live_events' AS source, 1::BIGINT AS n")(lambda s, d: s.createDataFrame([("live_events", "typed text")], "source string, content string").groupBy("source").agg(F.count(F.lit(1)).alias("n")))
+def _files_writer(path: str):
+    folder = path.removeprefix("file:").replace("//", "/")
 
+    def write(rows):
+        import base64
+        import os
 
-@q("src_gold_jsonl", "SELECT vec_id::VARCHAR AS qid, label AS grade FROM embeddings WHERE vec_id <= 200")
+        os.makedirs(folder, exist_ok=True)
+        for r in rows:
+            with open(f"{folder}/{r.doc_id}.txt", "wb") as f:
+                f.write(base64.b64decode(r.c))
+
+    return write
+
+
+@q("src_stdin_append", "SELECT origin_db, source, file_path, md5(string_agg(coalesce(file_name, ''), chr(10) ORDER BY doc_id) || chr(10) || 'typed text') AS body_md5 FROM documents WHERE source = 'live_events' GROUP BY 1, 2, 3")
+def src_stdin_append(s, d):
+    """Typed text appended to every living document."""
+    keys = ["origin_db", "source", "file_path"]
+    live = docs(s, d).where("source = 'live_events'").select(*keys, F.col("doc_id").alias("chunk_no"), F.coalesce("file_name", F.lit("")).alias("chunk"))
+    none = live.limit(0).select(*keys, F.col("chunk").alias("content"))
+    stored = sinks.append_text(none, live)
+    typed = stored.select(*keys, F.lit(1).cast("long").alias("chunk_no"), F.lit("typed text").alias("chunk"))
+    return sinks.append_text(stored, typed).select(*keys, F.md5("content").alias("body_md5"))
+
+
+@q("src_gold_jsonl", "SELECT vec_id::VARCHAR AS qid, label AS grade FROM embeddings")
 def src_gold_jsonl(s, d):
     """Labelled queries written as JSON lines and read with the declared schema."""
     path = _folder(s, "gold")
-    e = load_table(s, d, "embeddings").where("vec_id <= 200")
+    e = load_table(s, d, "embeddings")
     label = F.array(F.struct(F.lit("d").alias("doc"), F.col("label").alias("rel")))
     e.select(F.col("vec_id").cast("string").alias("qid"), F.lit("K").alias("class"), F.lit("dev").alias("split"), label.alias("labels")).write.json(path)
     return files.gold_labels(files.gold_queries(s, path)).select("qid", "grade")
 
 
 q("src_vectors", "SELECT vec_id, label FROM embeddings WHERE label = 2")(lambda s, d: load_table(s, d, "embeddings").where("label = 2").select("vec_id", "label"))
-q("src_registry", "SELECT DISTINCT origin_db FROM documents WHERE origin_db IN ('convo.db', 'worklogs.db', 'artifacts.db')")(
-    lambda s, d: docs(s, d).select("origin_db").distinct().join(F.broadcast(s.createDataFrame([("convo.db",), ("worklogs.db",), ("artifacts.db",)], "origin_db string")), "origin_db", "left_semi")
-)
+def _registry(s: SparkSession, d: str) -> registry.Registry:
+    """A registry file of the databases in the table; datasets made, changed and dropped in it."""
+    found = [r[0] for r in docs(s, d).where("origin_db is not null").select("origin_db").distinct().orderBy("origin_db").collect()]
+    folder = ensure_checkpoint_dir(s).removeprefix("file:").replace("//", "/")
+    r = registry.Registry(f"{folder}/datasets-{uuid.uuid4().hex}.json", found)
+    r.create("all", found)
+    r.create("work", found[:2])
+    r.add_database("work", found[-1])
+    r.remove_database("work", found[0])
+    r.create("gone", found)
+    r.delete("gone")
+    r.rename("work", "worklog")
+    r.use("worklog")
+    return r
+
+
+def _registered(r: registry.Registry) -> list[tuple]:
+    data = r.load()
+    return [(n, b, n == data["active_dataset"]) for n, v in data["datasets"].items() if n != "default" for b in v["databases"]]
+
+
+_FOUND = "f AS (SELECT origin_db, row_number() OVER (ORDER BY origin_db) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT origin_db FROM documents WHERE origin_db IS NOT NULL))"
+_SETS = f"WITH {_FOUND} SELECT 'all' AS dataset, origin_db, false AS active FROM f UNION ALL SELECT 'worklog', origin_db, true FROM f WHERE (k <= 2 OR k = n) AND k > 1"
+q("adm_dataset_crud", _SETS)(lambda s, d: s.createDataFrame(_registered(_registry(s, d)), "dataset string, origin_db string, active boolean"))
+q("snk_registry", _SETS)(lambda s, d: s.createDataFrame(_registered(registry.Registry(_registry(s, d).path)), "dataset string, origin_db string, active boolean"))
+
+
+@q("src_registry", f"WITH {_FOUND} SELECT origin_db, count(*) AS n FROM documents WHERE origin_db IN (SELECT origin_db FROM f WHERE (k <= 2 OR k = n) AND k > 1) GROUP BY 1")
+def src_registry(s, d):
+    """Documents of the active dataset of a registry file."""
+    active = _registry(s, d).databases()
+    return docs(s, d).where(F.col("origin_db").isin(active)).groupBy("origin_db").agg(F.count(F.lit(1)).alias("n"))
+
+
+@q("adm_name_safety", r"SELECT DISTINCT coalesce(file_name, '') AS name, regexp_full_match(coalesce(file_name, ''), '[A-Za-z0-9][A-Za-z0-9._-]{0,63}') AND NOT contains(coalesce(file_name, ''), '..') AS safe FROM documents")
+def adm_name_safety(s, d):
+    """Which file names could name a database."""
+
+    def one(frames):
+        for f in frames:
+            out = []
+            for n in f["name"]:
+                try:
+                    registry.safe_name(n)
+                    out.append(True)
+                except registry.RegistryError:
+                    out.append(False)
+            f["safe"] = out
+            yield f
+
+    return docs(s, d).select(F.coalesce("file_name", F.lit("")).alias("name")).distinct().mapInPandas(one, "name string, safe boolean")
 
 
 def _logs(s: SparkSession, d: str) -> DataFrame:
@@ -104,9 +180,38 @@ def src_chatlog(s, d):
     return chatlog.parse_logs(_logs(s, d)).select("source_path", "byte_offset", "start_line", "end_line", "dialect", "user", "assistant")
 
 
-@q("chat_split_regions", "SELECT sequence::VARCHAR AS source_path FROM journal_observations WHERE regexp_matches(raw_payload, '\\S')")
-def chat_split_regions(s, d):
-    return chatlog.parse_logs(_logs(s, d)).select("source_path").distinct()
+_LOG_TEXT = r"trim(regexp_replace(coalesce(%s, ''), '\s+', ' ', 'g'), ' ')"
+_ENTRY_SQL = f"e AS (SELECT sequence, {_LOG_TEXT % 'user_text'} AS u, {_LOG_TEXT % 'assistant_text'} AS a FROM journal_observations)"
+
+
+def _fenced(s: SparkSession, d: str) -> DataFrame:
+    """Journal rows as fenced log entries, ten to a file, with one line per speaker."""
+    line = lambda c: T.one_line(F.coalesce(c, F.lit("")))
+    block = F.concat(F.lit("--- PROMPT LOG ENTRY ---\nTIMESTAMP: "), F.col("sequence").cast("string"), F.lit("\nUSER: "), line("user_text"), F.lit("\nASSISTANT: "), line("assistant_text"), F.lit("\n--- END PROMPT LOG ENTRY ---"))
+    rows = journal(s, d).select("sequence", block.alias("b"))
+    per = rows.groupBy(F.floor(F.col("sequence") / 10).cast("string").alias("path")).agg(F.sort_array(F.collect_list(F.struct("sequence", "b"))).alias("x"))
+    return per.select("path", F.array_join(F.transform("x", lambda x: x["b"]), "\n").alias("text"))
+
+
+q("chat_fields", f"WITH {_ENTRY_SQL} SELECT sequence::VARCHAR AS stamp, md5(u) AS user_md5, md5(a) AS assistant_md5 FROM e WHERE u <> '' OR a <> ''")(
+    lambda s, d: chatlog.parse_logs(_fenced(s, d)).where("dialect = 'Fenced'").select(F.col("raw_timestamp").alias("stamp"), F.md5("user").alias("user_md5"), F.md5("assistant").alias("assistant_md5")).unionByName(_unasked(s, d))
+)
+
+
+def _unasked(s: SparkSession, d: str) -> DataFrame:
+    """Entries without a prompt are artifacts: their whole text is the answer, so it is cut out again here."""
+    rows = chatlog.parse_logs(_fenced(s, d)).where("dialect = 'Artifact'")
+    stamp = F.regexp_extract("raw_body", r"(?m)^TIMESTAMP: (\d+)$", 1)
+    said = F.trim(F.regexp_extract("raw_body", r"(?m)^ASSISTANT: ?(.*)$", 1))
+    return rows.where(said != "").select(stamp.alias("stamp"), F.md5(F.lit("")).alias("user_md5"), F.md5(said).alias("assistant_md5"))
+
+
+q("chat_split_regions", "SELECT (sequence // 10)::VARCHAR AS source_path, count(*) AS n FROM journal_observations GROUP BY 1")(
+    lambda s, d: chatlog.parse_logs(_fenced(s, d)).groupBy("source_path").agg(F.count(F.lit(1)).alias("n"))
+)
+q("chat_roles", f"WITH {_ENTRY_SQL} SELECT CASE WHEN u <> '' THEN 'Fenced' ELSE 'Artifact' END AS dialect, count(*) AS n FROM e GROUP BY 1")(
+    lambda s, d: chatlog.parse_logs(_fenced(s, d)).groupBy("dialect").agg(F.count(F.lit(1)).alias("n"))
+)
 
 
 @q("chat_classify")
@@ -237,11 +342,122 @@ def snk_eval_run(s, d):
     return s.read.parquet(path).select(F.get_json_object("metrics_json", "$.event_type").alias("event_type"), F.get_json_object("metrics_json", "$.n").cast("long").alias("n"))
 
 
-q("snk_worklog_stage", "SELECT source, lang, max(doc_id) AS newest FROM documents WHERE source LIKE 'worklog:%' GROUP BY 1, 2")(
-    lambda s, d: docs(s, d).where("source like 'worklog:%'").groupBy("source", "lang").agg(F.max("doc_id").alias("newest"))
+q("snk_worklog_stage", "WITH n AS (SELECT DISTINCT file_path AS out_path FROM documents WHERE source IN ('worklog:state', 'worklog:chunks')), o AS (SELECT DISTINCT file_path AS out_path FROM documents WHERE source IN ('worklog:chunks', 'worklog:evidence')) SELECT coalesce(n.out_path, o.out_path) AS out_path, CASE WHEN n.out_path IS NULL THEN 'delete' WHEN o.out_path IS NULL THEN 'write' ELSE 'keep' END AS action FROM n FULL JOIN o ON n.out_path = o.out_path")(
+    lambda s, d: sinks.stage_plan(_outputs(s, d, "worklog:state", "worklog:chunks"), _outputs(s, d, "worklog:chunks", "worklog:evidence"))
 )
 
 
+def _outputs(s: SparkSession, d: str, *sources: str) -> DataFrame:
+    return docs(s, d).where(F.col("source").isin(*sources)).select(F.col("file_path").alias("out_path"), F.sha2("file_path", 256).alias("hash")).distinct()
+
+
+def _stored(s: SparkSession, d: str) -> str:
+    path = _folder(s, "store")
+    sinks.insert_documents(docs(s, d).where("origin_db is not null and source is not null").select("doc_id", "origin_db", "source", F.col("n_chars").cast("long").alias("n_chars")), path)
+    return path
+
+
+@q("snk_purge_archive", "SELECT source, count(*) AS n FROM documents WHERE origin_db IS NOT NULL AND source <> 'chat:dross' GROUP BY 1")
+def snk_purge_archive(s, d):
+    """An archive is dropped from the written store."""
+    path = _stored(s, d)
+    sinks.purge_archive(s, path, "chat:dross", [r[0] for r in docs(s, d).select("origin_db").distinct().collect()])
+    return s.read.parquet(path).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@q("snk_egest", "SELECT source, count(*) AS n FROM documents WHERE origin_db IS NOT NULL AND source IS NOT NULL AND NOT (source = 'live_events' AND origin_db = (SELECT min(origin_db) FROM documents WHERE source = 'live_events')) GROUP BY 1")
+def snk_egest(s, d):
+    """An archive leaves one of its databases."""
+    path = _stored(s, d)
+    first = docs(s, d).where("source = 'live_events'").agg(F.min("origin_db")).first()[0]
+    sinks.purge_archive(s, path, "live_events", [first] if first else [])
+    return s.read.parquet(path).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@q("snk_rename_archive", "SELECT CASE WHEN source = 'chat:dross' THEN 'chat:rest' ELSE source END AS source, sum(doc_id)::BIGINT AS ids FROM documents WHERE origin_db IS NOT NULL AND source IS NOT NULL GROUP BY 1")
+def snk_rename_archive(s, d):
+    path = _stored(s, d)
+    sinks.rename_archive(s, path, "chat:dross", "chat:rest")
+    return s.read.parquet(path).groupBy("source").agg(F.sum("doc_id").alias("ids"))
+
+
+q("snk_append_doc", "SELECT origin_db, source, file_path, md5(string_agg(coalesce(file_name, ''), chr(10) ORDER BY doc_id)) AS body_md5 FROM documents WHERE origin_db IS NOT NULL AND source IS NOT NULL AND file_path IS NOT NULL GROUP BY 1, 2, 3")(
+    lambda s, d: sinks.append_text(docs(s, d).limit(0).select("origin_db", "source", "file_path", "content"), docs(s, d).where("origin_db is not null and source is not null and file_path is not null").select("origin_db", "source", "file_path", F.col("doc_id").alias("chunk_no"), F.coalesce("file_name", F.lit("")).alias("chunk"))).select("origin_db", "source", "file_path", F.md5("content").alias("body_md5"))
+)
+
+
+@q("snk_turn_emit", "WITH f AS (SELECT turn_hash, min(sequence) AS canonical FROM journal_observations WHERE turn_hash IS NOT NULL GROUP BY 1) SELECT o.sequence, CASE WHEN o.sequence = canonical THEN 'turn' ELSE 'sighting' END AS kind FROM journal_observations o JOIN f USING (turn_hash)")
+def snk_turn_emit(s, d):
+    """Every delivered turn, as the canonical one of its hash or as a further sighting."""
+    rows = journal(s, d).where("turn_hash is not null").select("turn_hash", "sequence")
+    new, seen = sinks.emit_turns(rows, rows.limit(0), ["sequence"])
+    return new.select("sequence", F.lit("turn").alias("kind")).unionByName(seen.select("sequence", F.lit("sighting").alias("kind")))
+
+
+@q("jrn_snapshot", "SELECT DISTINCT source_identity, sha256(raw_payload) AS sha256, strlen(raw_payload)::BIGINT AS size_bytes, true AS unchanged FROM journal_observations WHERE raw_payload IS NOT NULL")
+def jrn_snapshot(s, d):
+    """Raw payloads stored as bytes, in two deliveries, and read back."""
+    path = _folder(s, "snapshots")
+    rows = journal(s, d).where("raw_payload is not null")
+    of = lambda x: x.select("source_identity", F.encode("raw_payload", "UTF-8").alias("content"))
+    JR.snapshots(of(rows.where("sequence % 3 > 0"))).write.parquet(f"{path}/1")
+    JR.snapshots(of(rows), s.read.parquet(f"{path}/1")).write.parquet(f"{path}/2")
+    back = s.read.parquet(f"{path}/1", f"{path}/2")
+    return back.select("source_identity", "sha256", "size_bytes", (F.sha2("content", 256) == F.col("sha256")).alias("unchanged"))
+
+
+# --- gold sets ---
+def _states(s: SparkSession, d: str) -> DataFrame:
+    """Ticket states made of journal rows: a decision, a blocker and a next action each."""
+    said = lambda c: F.struct(F.lit("1").alias("id"), F.lit("open").alias("status"), F.col(c).alias("description"))
+    key = F.concat(F.lit("ORB-"), F.col("sequence").cast("string"))
+    state = F.struct(key.alias("ticket_key"), F.col("mode").alias("next_action"), F.array(said("user_text")).alias("decisions"), F.array(said("outcome_summary")).alias("blockers"))
+    return journal(s, d).select(F.to_json(state).alias("text"))
+
+
+_WORDS3 = r"len(list_filter(regexp_split_to_array(coalesce(%s, ''), '\s+'), lambda w: w <> '')) >= 3"
+q("ev_gold_candidates", f"SELECT 'ORB-' || sequence AS ticket, ({_WORDS3 % 'user_text'})::INT + ({_WORDS3 % 'outcome_summary'})::INT + ({_WORDS3 % 'mode'})::INT AS n FROM journal_observations WHERE ({_WORDS3 % 'user_text'}) OR ({_WORDS3 % 'outcome_summary'}) OR ({_WORDS3 % 'mode'})")(
+    lambda s, d: gold.candidates(_states(s, d)).where("class = 'Q'").groupBy("ticket").agg(F.count(F.lit(1)).cast("int").alias("n"))
+)
+_JAVA_HASH = "list_reduce(list_prepend(0::BIGINT, list_transform(string_split(%s, ''), lambda c: ord(c)::BIGINT)), lambda h, c: (h * 31 + c) %% 4294967296)"
+q("ev_gold_split", f"WITH h AS (SELECT event_id, {_JAVA_HASH % 'event_type'} AS w FROM events) SELECT event_id, CASE WHEN abs(CASE WHEN w >= 2147483648 THEN w - 4294967296 ELSE w END) % 10 < 7 THEN 'dev' ELSE 'test' END AS split FROM h")(
+    lambda s, d: load_table(s, d, "events").select("event_id", gold.split_for(F.col("event_type")).alias("split"))
+)
+
+
+def _gold(s: SparkSession, d: str) -> DataFrame:
+    label = F.array(F.struct(F.lit("d").alias("doc"), F.col("label").alias("rel")))
+    e = load_table(s, d, "embeddings")
+    return e.select(F.col("vec_id").cast("string").alias("qid"), F.when(F.col("label") == 4, "Z").otherwise("K").alias("class"), F.lit("en").alias("lang"), F.when(F.col("vec_id") % 50 == 0, " ").otherwise("words").alias("query"), F.lit("dev").alias("split"), label.alias("labels"))
+
+
+q("ev_gold_validate", "SELECT problem, count(*) AS n FROM (SELECT 'unknown class' AS problem FROM embeddings WHERE label = 4 UNION ALL SELECT 'no query' FROM embeddings WHERE vec_id % 50 = 0 UNION ALL SELECT 'grade out of range' FROM embeddings WHERE label > 3) GROUP BY 1")(
+    lambda s, d: files.gold_problems(_gold(s, d)).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+)
+
+
+@q("ev_gold_restore", "SELECT label, count(*) AS n FROM embeddings GROUP BY 1")
+def ev_gold_restore(s, d):
+    """A version is saved, replaced by one without low grades, and put back."""
+    folder = _folder(s, "gold-versions")
+    gold.save_version(_gold(s, d), folder, "1")
+    gold.save_version(_gold(s, d).where(F.col("labels")[0]["rel"] > 1), folder, "2")
+    back = gold.restore(s, folder, "1", "3")
+    return back.groupBy(F.col("labels")[0]["rel"].alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+q("ev_gold_import_status", "SELECT CASE WHEN label = 0 THEN 'added' WHEN label = 1 THEN 'updated' WHEN label = 2 THEN 'kept' ELSE 'unchanged' END AS status, count(*) AS n FROM embeddings GROUP BY 1")(lambda s, d: _imported(s, d))
+
+
+def _imported(s: SparkSession, d: str) -> DataFrame:
+    g = _gold(s, d).withColumn("rel", F.col("labels")[0]["rel"])
+    changed = g.withColumn("query", F.when(F.col("rel") == 1, "other").otherwise(F.col("query")))
+    return gold.import_set(g.where("rel <> 0").drop("rel"), changed.where("rel <> 2").drop("rel")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+q("ev_gold_status", "SELECT count(*) AS questions, count(*) AS labelled, count_if(label = 0) AS g0, count_if(label = 1) AS g1, count_if(label = 2) AS g2, count_if(label = 3) AS g3 FROM embeddings")(lambda s, d: gold.status(_gold(s, d)))
+
+
 # --- streaming ---
 def _stream(s: SparkSession, d: str, table: str) -> DataFrame:
     path = _folder(s, "stream")
@@ -324,15 +540,34 @@ def str_sweep(s, d):
 
 
 # --- administration ---
-q("adm_dataset_crud", "SELECT origin_db, count(*) AS n FROM documents WHERE origin_db = 'convo.db' GROUP BY 1")(
-    lambda s, d: docs(s, d).where(F.col("origin_db").isin("convo.db")).groupBy("origin_db").agg(F.count(F.lit(1)).alias("n"))
-)
-q("adm_validate", "SELECT count_if(length(text) > 4000) AS too_long, count_if(text IS NULL) AS missing FROM documents")(
-    lambda s, d: docs(s, d).agg(F.count_if(F.char_length("text") > 4000).alias("too_long"), F.count_if(F.col("text").isNull()).alias("missing"))
-)
-q("adm_circuit", "SELECT source, count(*) AS n, CASE WHEN count(*) < 10 THEN 'too few scored' END AS degraded FROM documents GROUP BY 1")(
-    lambda s, d: docs(s, d).groupBy("source").agg(F.count(F.lit(1)).alias("n")).withColumn("degraded", F.when(F.col("n") < 10, "too few scored"))
-)
+q("adm_validate", "SELECT count(*) AS n_documents, 0 AS refused, ceil(count(*) / 200.0)::BIGINT AS n_requests FROM documents WHERE regexp_matches(text, '\\S')")(lambda s, d: _requests(s, d))
+
+
+def _requests(s: SparkSession, d: str) -> DataFrame:
+    """All passages, checked and put into requests of the allowed size."""
+    p = cut_lineage(passages.structured_passages(docs(s, d)).where("passage is not null"))
+    batches = protocol.request_batches(p)
+    bad = protocol.passage_problems(p.dropDuplicates(["doc_id", "passage_id"])).count()
+    return batches.agg(F.count(F.lit(1)).alias("n_documents"), F.lit(bad).alias("refused"), (F.max("batch") + 1).alias("n_requests"))
+
+
+@q("adm_circuit", "SELECT * FROM (VALUES (0, NULL, 'ValueError: down'), (10, NULL, 'circuit open'), (31, 'ok', NULL), (32, 'ok', NULL)) t(second, answer, reason)")
+def adm_circuit(s, d):
+    """Four calls to a service that fails once, by a clock of our own."""
+    now, out = [0.0], []
+    breaker = protocol.CircuitBreaker(30.0, lambda: now[0])
+
+    def ask():
+        if now[0] < 1:
+            raise ValueError("down")
+        return "ok"
+
+    for at in (0, 10, 31, 32):
+        now[0] = float(at)
+        out.append((at, *breaker.call(ask)))
+    return s.createDataFrame(out, "second int, answer string, reason string")
+
+
 q("jrn_append_only_probe", "SELECT count(*) AS n, count(DISTINCT sequence) AS sequences, max(sequence) - min(sequence) + 1 AS span FROM journal_observations")(
     lambda s, d: journal(s, d).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("sequence").alias("sequences"), (F.max("sequence") - F.min("sequence") + 1).alias("span"))
 )

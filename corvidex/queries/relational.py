@@ -12,6 +12,7 @@ from corvidex.operators import filters as FL
 from corvidex.operators import fusion
 from corvidex.operators import joins as J
 from corvidex.operators.ordering import blocked_row_number
+from corvidex.operators.retrieval import coverage_tokens, splice
 from corvidex.queries.common import Registry
 from corvidex.session import broadcast_if_small, load_table
 
@@ -155,7 +156,7 @@ q("join_missing_vectors", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SEL
 q("join_vectors_passages", "SELECT d.doc_id, e.label FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE d.source = 'chat:turns'")(
     lambda s, d: load_table(s, d, "embeddings").join(docs(s, d).where("source = 'chat:turns'").select(F.col("doc_id").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("doc_id"), "label")
 )
-q("join_cache_lookup", "SELECT d.doc_id, e.label AS cached FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id WHERE d.doc_id <= 800")(
+q("join_cache_lookup", "SELECT d.doc_id, e.label AS cached FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id")(
     lambda s, d: docs(s, d).select("doc_id").join(load_table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("cached")), "doc_id", "left")
 )
 
@@ -269,14 +270,14 @@ q("agg_archive_stamp", "SELECT source, count(*) || ':' || max(doc_id) AS stamp F
 q("agg_source_identity", "SELECT source_identity, min(recorded_at) AS first_seen, max(recorded_at) AS last_seen, count(*) AS n FROM journal_observations GROUP BY 1")(lambda s, d: A.source_identity(journal(s, d)))
 q("agg_conflicts", "SELECT logical_turn_key, count(DISTINCT content_hash) AS variants, count(*) AS n FROM journal_observations WHERE trim(logical_turn_key) <> '' GROUP BY 1 HAVING count(DISTINCT content_hash) > 1")(lambda s, d: A.conflicts(journal(s, d)))
 _TK = r"regexp_extract_all(coalesce(user_text, ''), '\b(?:SCTASK\d+|[A-Z][A-Z0-9]{1,9}-\d{1,8})\b')"
-q("agg_dominant_ticket", f"WITH t AS (SELECT source_identity, unnest(list_distinct({_TK})) AS ticket FROM journal_observations), c AS (SELECT source_identity, ticket, count(*) AS n FROM t GROUP BY ALL) SELECT source_identity, arg_min(ticket, (-n, ticket)) AS ticket, max(n) AS n, sum(n)::BIGINT AS total FROM c GROUP BY 1 HAVING max(n) > 0.02 * sum(n)")(
-    lambda s, d: A.dominant(journal(s, d).select("source_identity", F.explode(T.tickets(F.col("user_text"))).alias("ticket")), ["source_identity"], "ticket", 0.02)
+q("agg_dominant_ticket", f"WITH t AS (SELECT session_id, unnest(list_distinct({_TK})) AS ticket FROM journal_observations WHERE session_id IS NOT NULL), c AS (SELECT session_id, ticket, count(*) AS n FROM t GROUP BY ALL) SELECT session_id, arg_min(ticket, (-n, ticket)) AS ticket, max(n) AS n, sum(n)::BIGINT AS total FROM c GROUP BY 1 HAVING max(n) >= ceil(0.5 * sum(n))")(
+    lambda s, d: A.dominant(journal(s, d).where("session_id is not null").select("session_id", F.explode(T.tickets(F.col("user_text"))).alias("ticket")), ["session_id"], "ticket", 0.5, strict=False)
 )
 q("agg_topic_dominant", "WITH r AS (SELECT source_identity, mode, row_number() OVER (PARTITION BY source_identity ORDER BY sequence) AS k FROM journal_observations WHERE trim(mode) <> ''), c AS (SELECT source_identity, mode, count(*) AS n FROM r WHERE k <= 10 GROUP BY ALL) SELECT source_identity, arg_min(mode, (-n, mode)) AS mode, max(n) AS n, sum(n)::BIGINT AS total FROM c GROUP BY 1 HAVING max(n) >= ceil(0.5 * sum(n))")(
     lambda s, d: A.dominant(fusion.top_per_group(journal(s, d).where("trim(mode) <> ''").select("source_identity", "mode", "sequence"), ["source_identity"], [F.col("sequence")], 10), ["source_identity"], "mode", 0.5, strict=False)
 )
-q("agg_document_frequency", r"WITH t AS (SELECT unnest(list_distinct(regexp_extract_all(lower(substring(coalesce(text, ''), 1, 1050)), '[a-z0-9][a-z0-9_#./-]{2,}'))) AS token FROM documents) SELECT token, count(*) AS df FROM t GROUP BY 1")(
-    lambda s, d: docs(s, d).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.substring(F.coalesce("text", F.lit("")), 1, 1050)), F.lit("([a-z0-9][a-z0-9_#./-]{2,})")))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+q("agg_document_frequency", r"WITH t AS (SELECT unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9][a-z0-9_#./-]{2,}'))) AS token FROM documents) SELECT token, count(*) AS df FROM t GROUP BY 1")(
+    lambda s, d: docs(s, d).select(F.explode(F.array_distinct(coverage_tokens(F.col("text")))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 )
 q("agg_observations_by_ticket", f"SELECT ticket, count(*) AS n, max(sequence) AS newest FROM (SELECT sequence, unnest(list_distinct({_TK})) AS ticket FROM journal_observations) GROUP BY 1")(
     lambda s, d: journal(s, d).select("sequence", F.explode(T.tickets(F.col("user_text"))).alias("ticket")).groupBy("ticket").agg(F.count(F.lit(1)).alias("n"), F.max("sequence").alias("newest"))
@@ -339,8 +340,8 @@ def win_hash_chain(s, d):
     return j.agg(F.count(F.lit(1)).alias("n"), F.count_if(broken).alias("broken"), F.count_if(gap).alias("gaps"))
 
 
-q("win_sequence_alloc", "SELECT observation_id, (SELECT max(sequence) FROM journal_observations) + row_number() OVER (ORDER BY observation_id) AS new_sequence FROM journal_observations WHERE sequence % 5 = 0")(
-    lambda s, d: blocked_row_number(journal(s, d).where("sequence % 5 = 0").select("observation_id"), [], [F.col("observation_id")], "k")
+q("win_sequence_alloc", "SELECT observation_id, (SELECT max(sequence) FROM journal_observations) + row_number() OVER (ORDER BY observation_id) AS new_sequence FROM journal_observations")(
+    lambda s, d: blocked_row_number(journal(s, d).select("observation_id"), [], [F.col("observation_id")], "k")
     .select("observation_id", (journal(s, d).agg(F.max("sequence")).scalar() + F.col("k")).alias("new_sequence"))
 )
 
@@ -421,14 +422,15 @@ q("set_merge_candidate", "SELECT session_id, arg_min(outcome_summary, sequence)
 )
 
 
-@q("set_coverage_splice", "WITH l AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS pos FROM documents WHERE doc_id <= 200 QUALIFY pos <= 40), c AS (SELECT doc_id, pos, row_number() OVER (ORDER BY pos) AS slot FROM l WHERE doc_id % 2 = 0), ch AS (SELECT doc_id AS chosen, row_number() OVER (ORDER BY doc_id DESC) AS slot FROM l WHERE doc_id % 2 = 0) SELECT l.pos, coalesce(ch.chosen, l.doc_id) AS doc_id FROM l LEFT JOIN c ON c.pos = l.pos LEFT JOIN ch ON ch.slot = c.slot")
+@q("set_coverage_splice", "WITH l AS (SELECT doc_id, source = 'chat:turns' AS chat, row_number() OVER (ORDER BY n_chars DESC NULLS LAST, doc_id) AS pos FROM documents QUALIFY pos <= 200), ch AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) AS pick FROM documents WHERE source = 'chat:turns' QUALIFY pick <= 30), sl AS (SELECT pos, row_number() OVER (ORDER BY pos) AS pick FROM l WHERE chat), a AS (SELECT doc_id, pos AS place FROM l WHERE NOT coalesce(chat, false) UNION ALL SELECT ch.doc_id, coalesce(sl.pos, 1048576 + ch.pick) FROM ch LEFT JOIN sl USING (pick) UNION ALL SELECT doc_id, 2097152 + pos FROM l WHERE chat AND doc_id NOT IN (SELECT doc_id FROM ch)) SELECT doc_id, row_number() OVER (ORDER BY place, doc_id) AS pos FROM a")
 def set_coverage_splice(s, d):
-    """Chosen rows take the places of the rows of their kind, one by one."""
-    w = Window.orderBy("doc_id")
-    top = docs(s, d).where("doc_id <= 200").select("doc_id").withColumn("pos", F.row_number().over(w)).where("pos <= 40")
-    kind = top.where("doc_id % 2 = 0").withColumn("slot", F.row_number().over(Window.orderBy("pos")))
-    chosen = top.where("doc_id % 2 = 0").select(F.col("doc_id").alias("chosen"), F.row_number().over(Window.orderBy(F.col("doc_id").desc())).alias("slot"))
-    return top.join(kind.select("pos", "slot"), "pos", "left").join(chosen, "slot", "left").select(F.col("pos").cast("long").alias("pos"), F.coalesce("chosen", "doc_id").alias("doc_id"))
+    """The newest turns take the places of the turns among the longest documents."""
+    order = [F.col("n_chars").desc_nulls_last(), F.col("doc_id")]
+    top = docs(s, d).orderBy(*order).limit(200).select(F.col("doc_id").alias("stable_id"), F.row_number().over(Window.orderBy(*order)).alias("pos"))
+    chat = docs(s, d).where("source = 'chat:turns'").select("doc_id")
+    chosen = chat.orderBy(F.col("doc_id").desc()).limit(30).withColumn("pick", F.row_number().over(Window.orderBy(F.col("doc_id").desc())))
+    out = splice(top, chat.join(broadcast_if_small(top.select(F.col("stable_id").alias("doc_id"))), "doc_id", "left_semi"), chosen)
+    return out.select(F.col("stable_id").alias("doc_id"), F.col("pos").cast("long").alias("pos"))
 
 
 q("set_list_diff", "SELECT doc_id FROM documents WHERE is_compressed = 0 AND doc_id NOT IN (SELECT vec_id FROM embeddings)")(
@@ -450,15 +452,4 @@ q("snk_json_rows", "SELECT doc_id, json_extract_string(to_json({'id': doc_id, 'd
 q("snk_manifest_upsert", "WITH n AS (SELECT source AS source_archive, count(*)::INT AS ingested_documents, NULL::VARCHAR AS content_hash FROM documents WHERE source LIKE 'chat:%' GROUP BY 1) SELECT coalesce(n.source_archive, m.source_archive) AS source_archive, CASE WHEN n.source_archive IS NOT NULL THEN n.ingested_documents ELSE m.ingested_documents END AS ingested_documents, coalesce(n.content_hash, m.content_hash) AS content_hash FROM ingestion_manifest m FULL JOIN n ON n.source_archive = m.source_archive")(
     lambda s, d: J.coalesce_upsert(manifest(s, d), docs(s, d).where("source like 'chat:%'").groupBy(F.col("source").alias("source_archive")).agg(F.count(F.lit(1)).cast("int").alias("ingested_documents")).withColumn("content_hash", F.lit(None).cast("string")), "source_archive", ["ingested_documents"], ["content_hash"])
 )
-q("snk_purge_archive", "SELECT source, count(*) AS n FROM documents WHERE source IS DISTINCT FROM 'chat:dross' GROUP BY 1")(lambda s, d: docs(s, d).where(~F.col("source").eqNullSafe("chat:dross")).groupBy("source").agg(F.count(F.lit(1)).alias("n")))
-q("snk_rename_archive", "SELECT doc_id, CASE WHEN source = 'chat:dross' THEN 'chat:rest' ELSE source END AS source FROM documents")(
-    lambda s, d: docs(s, d).select("doc_id", F.when(F.col("source") == "chat:dross", "chat:rest").otherwise(F.col("source")).alias("source"))
-)
-q("snk_append_doc", "SELECT source, md5(string_agg(file_name, chr(10) ORDER BY doc_id)) AS body_md5 FROM documents WHERE source LIKE 'worklog:%' GROUP BY 1")(
-    lambda s, d: docs(s, d).where("source like 'worklog:%'").groupBy("source").agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "file_name"))), lambda x: x["file_name"]), "\n")).alias("body_md5"))
-)
-q("snk_turn_emit", "WITH f AS (SELECT turn_hash, min(sequence) AS sequence, count(*) AS n, string_agg(sequence::VARCHAR, ',' ORDER BY sequence) AS also_seen_in FROM journal_observations WHERE turn_hash IS NOT NULL GROUP BY 1) SELECT sequence, n, also_seen_in FROM f WHERE n <= 20")(
-    lambda s, d: journal(s, d).where("turn_hash is not null").groupBy("turn_hash").agg(F.min("sequence").alias("sequence"), F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list("sequence")).cast("array<string>"), ",").alias("also_seen_in")).drop("turn_hash")
-)
-
 QUERIES, ORACLE = R.queries, R.oracle

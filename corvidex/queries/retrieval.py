@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from corvidex.functions import text as T
 from corvidex.operators import evaluation as E
 from corvidex.operators import evidence as EV
-from corvidex.operators import fusion, passages
+from corvidex.operators import fts, fusion, passages
 from corvidex.operators import retrieval as RT
 from corvidex.operators import scorers as SC
 from corvidex.operators import vectors as V
 from corvidex.queries.common import Registry, kept_table, sql_tokens, text_index
 from corvidex.queries.relational import _MATERIAL_SQL, docs, journal
+from corvidex.queries.search import _f1 as f1_sql
+from corvidex.queries.search import _ranked as ranked_sql
 from corvidex.session import load_table
 from corvidex.sources import worklog
 
@@ -55,12 +57,12 @@ def top_maxsim(s, d):
 
 
 q("rnk_stable_id", "SELECT doc_id, concat_ws(':', origin_db, source, file_path) AS stable_id FROM documents")(lambda s, d: docs(s, d).select("doc_id", fusion.stable_id().alias("stable_id")))
-q("rnk_add_signal", f"WITH a AS ({_TURNS}) SELECT doc_id, round(2.0 / (60 + rank) + CASE WHEN doc_id % 2 = 0 THEN 3.0 / (60 + doc_id) ELSE 0 END, 9) AS fused_score FROM a")(lambda s, d: _added(s, d))
+q("rnk_add_signal", f"WITH a AS ({_TURNS}) SELECT doc_id, round(2.0 / (60 + rank) + 3.0 / (60 + doc_id), 9) AS fused_score FROM a")(lambda s, d: _added(s, d))
 
 
 def _added(s: SparkSession, d: str) -> DataFrame:
     fused = fusion.rrf(RT.pool_recency(docs(s, d)))
-    extra = docs(s, d).where("doc_id % 2 = 0").select(F.col("doc_id").alias("stable_id"), F.col("doc_id").alias("rank"))
+    extra = docs(s, d).select(F.col("doc_id").alias("stable_id"), F.col("doc_id").alias("rank"))
     return fusion.add_signal(fused, extra, 3.0).select(F.col("stable_id").alias("doc_id"), F.round("fused_score", 9).alias("fused_score"))
 
 
@@ -83,12 +85,31 @@ def top_rerank(s, d):
     return fusion.rerank(fused, scores, "cut").orderBy(F.col("cut_rank").asc_nulls_last(), "stable_id").limit(20).select("stable_id", "cut_rank")
 
 
-@q("rnk_rerank_late", "WITH x AS (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) SELECT count(*) AS n FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE source = 'chat:turns' ORDER BY doc_id DESC LIMIT 50)")
+@q("rnk_rerank_late", "WITH x AS (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1), c AS (SELECT doc_id FROM documents WHERE source = 'chat:turns' ORDER BY doc_id DESC LIMIT 50) SELECT vec_id, round(list_sum(list_transform(list_zip(e.embedding, x.embedding), lambda v: v[1]::DOUBLE * v[2]::DOUBLE)), 4) AS score FROM embeddings e, x WHERE vec_id IN (SELECT doc_id FROM c)")
 def rnk_rerank_late(s, d):
-    """Only the candidates are scored with vectors."""
+    """Only the candidates (fifty at most) are scored with vectors."""
     e = load_table(s, d, "embeddings")
     cand = RT.pool_recency(docs(s, d)).select(F.col("stable_id").alias("vec_id"))
-    return V.search(e.join(F.broadcast(cand), "vec_id", "left_semi"), [list(e.orderBy("vec_id").first().embedding)], "vec_id", "embedding", 100).agg(F.count(F.lit(1)).alias("n"))
+    return V.search(e.join(F.broadcast(cand), "vec_id", "left_semi"), [list(e.orderBy("vec_id").first().embedding)], "vec_id", "embedding", 100)
+
+
+@q("ev_needles", f"WITH r0 AS ({ranked_sql([f1_sql('cursor'), f1_sql('gap')], 'f0 > 0 AND f1 > 0')}), t AS (SELECT doc_id FROM r0 ORDER BY score, origin_db, doc_id LIMIT 10) SELECT 'gap' AS fact, 'cursor gap' AS query, coalesce(max(regexp_matches(text, 'without a gap')::INT), 0) AS hit FROM documents WHERE doc_id IN (SELECT doc_id FROM t)")
+def ev_needles(s, d):
+    """Questions made of the words of known facts, and whether the first ten hits hold the fact."""
+    ledger = s.createDataFrame([("t", 1, "gap", 2.0, ["cursor", "gap", "a.*b"]), ("t", 2, "light", 1.0, ["x", "y"]), ("t", 3, "short", 3.0, ["one"])], "task string, place int, fact string, weight double, words array<string>")
+    strict = {"gap": "without a gap"}
+    out = None
+    for r in E.needles(ledger).collect():  # a few questions, each a search of its own
+        top = fts.best(text_index(s, d).search(r.query).withColumn("score", F.round("score", 6)), 10).select("doc_id")
+        found = docs(s, d).join(F.broadcast(top), "doc_id", "left_semi").agg(F.coalesce(F.max(F.col("text").rlike(strict[r.fact]).cast("int")), F.lit(0)).alias("hit"))
+        row = found.select(F.lit(r.fact).alias("fact"), F.lit(r.query).alias("query"), "hit")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+q("rnk_pool_bm25_relaxed", f"WITH r0 AS ({ranked_sql([f1_sql('zonetable'), f1_sql('zonet', True)], 'f0 > 0 OR f1 > 0')}) SELECT doc_id, row_number() OVER (ORDER BY score, origin_db, doc_id) AS rank FROM r0 QUALIFY rank <= 50")(
+    lambda s, d: _ranks(fusion.ranked_pool(text_index(s, d).search("zonetable OR zonet*").withColumn("score", F.round("score", 6)), "bm25_relaxed", [F.col("score"), F.col("origin_db"), F.col("doc_id")], 50, "doc_id"))
+)
 
 
 @q("join_fts_docs", f"SELECT doc_id, file_path FROM documents WHERE list_contains({sql_tokens('text')}, 'lease')")
@@ -228,7 +249,7 @@ def rnk_rerank_stage(s, d):
     return out
 
 
-@q("rnk_cross_encoder", "SELECT doc_id, round(len(list_filter(['cursor', 'lease'], lambda w: list_contains(regexp_extract_all(replace(replace(replace(lower(strip_accents(text)), 'ł', 'l'), 'đ', 'd'), 'ø', 'o'), '\w+'), w))) / 2.0, 4) AS score FROM documents WHERE text <> ''")
+@q("rnk_cross_encoder", "SELECT doc_id, round(len(list_filter(['cursor', 'lease'], lambda w: list_contains(regexp_extract_all(replace(replace(replace(lower(strip_accents(text)), 'ł', 'l'), 'đ', 'd'), 'ø', 'o'), '[\\p{L}\\p{N}_]+'), w))) / 2.0, 4) AS score FROM documents WHERE text <> ''")
 def rnk_cross_encoder(s, d):
     """Pair scores of all texts through the scorer protocol; here the scorer that needs no model."""
     rows = docs(s, d).where(F.col("text") != "")

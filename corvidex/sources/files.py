@@ -138,6 +138,8 @@ def gold_problems(queries: DataFrame) -> DataFrame:
         F.when(F.coalesce(F.trim("query"), F.lit("")) == "", F.lit("no query")),
         F.when(~F.coalesce(F.col("class").isin("K", "Q", "P", "T", "X"), F.lit(False)), F.lit("unknown class")),
         F.when(~F.coalesce(F.col("split").isin("dev", "test"), F.lit(False)), F.lit("unknown split")),
+        F.when(~F.coalesce(F.col("lang").isin("en", "pl", "pl-ascii", "mix"), F.lit(False)), F.lit("unknown language")),
+        F.when(F.exists(F.coalesce("labels", F.array()), lambda l: F.coalesce(F.trim(l["doc"]), F.lit("")) == ""), F.lit("label without document")),
         F.when(F.exists(F.coalesce("labels", F.array()), lambda l: ~l["rel"].between(0, 3)), F.lit("grade out of range")),
     )
     return queries.select("qid", F.explode(F.filter(checks, lambda p: p.isNotNull())).alias("problem")).unionByName(twice)

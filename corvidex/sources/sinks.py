@@ -38,6 +38,24 @@ def purge_archive(spark: SparkSession, path: str, source: str, databases: list[s
         p.getFileSystem(conf).delete(p, True)
 
 
+def rename_archive(spark: SparkSession, path: str, old: str, new: str) -> None:
+    """Moves an archive's rows to another name: written under the new one first, then dropped under the old."""
+    rows = spark.read.parquet(path).where(F.col("source") == old)
+    databases = [r.origin_db for r in rows.select("origin_db").distinct().collect()]
+    insert_documents(rows.withColumn("source", F.lit(new)), path)
+    purge_archive(spark, path, old, databases)
+
+
+def stage_plan(staged: DataFrame, written: DataFrame) -> DataFrame:
+    """``out_path, action``: what a stage writes, leaves or deletes.
+
+    ``staged`` and ``written``: ``out_path, hash`` of the outputs wanted and of those there.
+    """
+    j = staged.select("out_path", F.col("hash").alias("new")).join(written.select("out_path", F.col("hash").alias("old")), "out_path", "full")
+    action = F.when(F.col("new").isNull(), "delete").when(F.col("new").eqNullSafe(F.col("old")), "keep").otherwise("write")
+    return j.select("out_path", action.alias("action"))
+
+
 def append_text(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     """Living documents with new chunks: ``origin_db, source, file_path, content``.
 
@@ -67,17 +85,19 @@ def compression_stats(docs: DataFrame, text: str = "content") -> DataFrame:
     return sized.groupBy("source").agg(F.count("plain").alias("n"), F.sum("plain").alias("plain_bytes"), F.sum("packed").alias("packed_bytes"))
 
 
-def emit_turns(entries: DataFrame, known: DataFrame, order: list[Column]) -> tuple[DataFrame, DataFrame]:
+def emit_turns(entries: DataFrame, known: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
     """New canonical turns and further sightings of known ones.
 
     ``entries`` and ``known`` have ``turn_hash``; of several new entries with one hash the
-    first in ``order`` is canonical and the others are sightings.
+    first in ``order`` (unique) is canonical and the others are sightings, one row each. The
+    first is a grouped minimum, so a hash that many entries have is no single task's work.
     """
-    first = entries.withColumn("__n", F.row_number().over(Window.partitionBy("turn_hash").orderBy(*order)))
     hashes = known.select("turn_hash").distinct()
-    new = first.where("__n = 1").join(hashes, "turn_hash", "left_anti").drop("__n")
-    seen = first.join(hashes.withColumn("__k", F.lit(True)), "turn_hash", "left").where("__n > 1 or __k").drop("__n", "__k")
-    return new, seen
+    fresh = entries.join(hashes, "turn_hash", "left_anti")
+    first = fresh.groupBy("turn_hash").agg(F.min(F.struct(*order)).alias("__first"))
+    marked = entries.join(first, "turn_hash", "left")
+    is_first = F.coalesce(F.struct(*order) == F.col("__first"), F.lit(False))
+    return marked.where(is_first).drop("__first"), marked.where(~is_first).drop("__first")
 
 
 def write_hash_index(turns: DataFrame, path: str) -> None:

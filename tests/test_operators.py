@@ -213,6 +213,16 @@ def test_bootstrap():
     assert [r.bits(32), r.bits(32)] == [-1170105035, 234785527]
     r = E.JavaRandom(42)
     assert [r.below(10) for _ in range(5)] == [0, 3, 8, 4, 0]
+    for n in (1, 2, 7, 64, 1000, 2**30 + 1):  # the last rejects half of its draws
+        r = E.JavaRandom(7)
+        assert E.java_draws(7, n, 20_000).tolist() == [r.below(n) for _ in range(20_000)], n
+    d = [0.5, -1.0, 2.0, 0.25, 3.0]
+    rng = random.Random(1)
+    plain = sorted(sum(rng.choices(d, k=5)) / 5 for _ in range(2000))
+    assert E.bootstrap_python(d, 2000) == (pytest.approx(0.95), pytest.approx(plain[50]), pytest.approx(plain[1949]), 5)
+    r = E.JavaRandom(42)
+    plain = sorted(sum(d[r.below(5)] for _ in range(5)) / 5 for _ in range(2000))
+    assert E.bootstrap_java(d, 2000) == (pytest.approx(0.95), pytest.approx(plain[49]), pytest.approx(plain[1950]), 5)
     assert E.bootstrap_java([]) == (None, None, None, 0)
     mean, low, high, n = E.bootstrap_java([0.1, -0.2, 0.4, 0.0], 500)
     assert (mean, n) == (pytest.approx(0.075), 4) and low <= mean <= high and E.bootstrap_java([0.1, -0.2, 0.4, 0.0], 500)[1] == low

@@ -118,7 +118,7 @@ def test_files_and_archives(spark, tmp_path):
 
 
 def test_gold(spark, tmp_path):
-    (tmp_path / "g.jsonl").write_text('{"qid":"1","class":"K","query":"x","split":"dev","labels":[{"doc":"d","rel":3}]}\n{"qid":"1","class":"Z","query":" ","split":"dev","labels":[{"doc":"d","rel":9}]}\n')
+    (tmp_path / "g.jsonl").write_text('{"qid":"1","class":"K","lang":"en","query":"x","split":"dev","labels":[{"doc":"d","rel":3}]}\n{"qid":"1","class":"Z","lang":"pl","query":" ","split":"dev","labels":[{"doc":"d","rel":9}]}\n')
     g = files.gold_queries(spark, str(tmp_path / "g.jsonl"))
     assert files.gold_labels(g).count() == 2
     assert sorted(r.problem for r in files.gold_problems(g).collect()) == ["grade out of range", "no query", "qid occurs twice", "unknown class"]
