@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from corvidex.operators.ordering import blocked_running_sum
+
 # fixed values: weights of the signals and the rank constant
 WEIGHTS = {"exact": 4.0, "bm25": 3.0, "bm25_relaxed": 2.0, "recency": 2.0, "authority": 2.0, "impact": 1.0, "rerank": 12.0, "late": 3.0}
 K = 60
@@ -112,8 +114,7 @@ def pack_budget(items: DataFrame, group: list[str], order: list[Column], size: s
     it, a running sum decides.
     """
     if not skip:
-        before = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        out = items.withColumn("used_before", F.coalesce(F.sum(size).over(before), F.lit(0)))
+        out = blocked_running_sum(items, group, order, size, "used_before")
         return out.where(F.col("used_before") + F.col(size) <= budget)
 
     def fold(batches):

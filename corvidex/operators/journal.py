@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvidex.functions.text import content_hash, is_handoff_noise, turn_hash
+from corvidex.operators.ordering import blocked_running_max
 
 # fixed values: fidelity ranks of the kinds of sources
 FIDELITY = {"native_transcript": 1, "deterministic_hook": 2, "rule_write": 3, "rule_summary": 4, "parser_backfill": 5}
@@ -15,13 +16,31 @@ SPILL_BYTES = 8192
 def uncovered_ranges(spans: DataFrame, group: str, start: str, end: str, unique: str) -> DataFrame:
     """Gaps between byte spans of a group, from 0; spans may overlap.
 
-    Groups are sources; spans of one source are ordered in one task, spilled if large.
+    What is covered so far is a running maximum over blocks, so a source with a large part
+    of all spans is many tasks' work.
     """
-    before = Window.partitionBy(group).orderBy(start, end, unique).rowsBetween(Window.unboundedPreceding, -1)
-    covered = spans.withColumn("gap_start", F.coalesce(F.max(end).over(before), F.lit(0).cast("long")))
+    covered = blocked_running_max(spans, [group], [F.col(start), F.col(end), F.col(unique)], F.col(end).cast("long"), "__covered")
+    covered = covered.withColumn("gap_start", F.coalesce("__covered", F.lit(0).cast("long")))
     return covered.where(F.col(start) > F.col("gap_start")).select(group, "gap_start", F.col(start).cast("long").alias("gap_end"))
 
 
+def chain_report(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """One row: rows, gaps in the numbers, broken links, wrong hashes, turns with differing contents.
+
+    A row after a gap has no predecessor to be linked to, so it counts as a gap and not as a
+    broken link.
+    """
+    first = rows.agg(F.min("sequence")).scalar()
+    before = rows.select((F.col("sequence") + 1).alias("sequence"), F.col("event_hash").alias("expected"), F.lit(True).alias("has"))
+    j = rows.join(before, "sequence", "left")
+    gap = F.col("has").isNull() & (F.col("sequence") > first)
+    link = ~gap & (F.coalesce("expected", F.lit("")) != F.coalesce("prior_event_hash", F.lit("")))
+    wrong = event_hash(F.col("prior_event_hash"), fields) != F.col("event_hash")
+    told = j.agg(F.count(F.lit(1)).alias("n"), F.count_if(gap).alias("gaps"), F.count_if(link).alias("broken"), F.count_if(wrong).alias("wrong_hashes"))
+    turns = rows.where(F.trim("logical_turn_key") != "").groupBy("logical_turn_key").agg(F.count_distinct("content_hash").alias("v"))
+    return told.withColumn("conflicts", turns.where("v > 1").agg(F.count(F.lit(1))).scalar())
+
+
 def idempotency_key() -> Column:
     """What makes a recorded event the same event again; NULL if nothing does."""
     located = F.coalesce(F.col("source_byte_offset") > 0, F.lit(False)) | F.coalesce(F.col("source_start_line") > 0, F.lit(False)) | F.coalesce(F.col("source_end_line") > 0, F.lit(False))

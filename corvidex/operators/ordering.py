@@ -50,3 +50,24 @@ def blocked_running_sum(df: DataFrame, keys: list[str], order: list[Column], val
     same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys] + [F.col("a.__block") == F.col("b.__block")]
     joined = local.alias("a").join(shift.alias("b"), same)
     return joined.select(*[F.col(f"a.`{c}`") for c in df.columns], (F.col("__local") + F.col("__shift")).alias(out))
+
+
+def blocked_running_max(df: DataFrame, keys: list[str], order: list[Column], value: Column, out: str) -> DataFrame:
+    """Adds ``out``: the largest ``value`` over the rows before this one in its group, NULL if none.
+
+    The same block scheme; any type that can be compared, NULL values are passed over. Over
+    values made of (order, payload) it carries the last known payload forward.
+    """
+    by = [F.col(k) for k in keys]
+    spread = df.withColumn("__v", value).repartitionByRange(*by, *order)
+    blocks = cut_lineage(spread.withColumn("__block", F.spark_partition_id()))
+    tops = blocks.groupBy(*keys, "__block").agg(F.max("__v").alias("__m"))
+    earlier = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tops.select(*keys, "__block", F.max("__m").over(earlier).alias("__carried"))
+    inside = Window.partitionBy(*keys, "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = blocks.withColumn("__local", F.max("__v").over(inside))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys] + [F.col("a.__block") == F.col("b.__block")]
+    joined = local.alias("a").join(carried.alias("b"), same)
+    # within a block rows follow all earlier blocks, so the larger of both counts
+    top = F.when(F.col("__local").isNull(), F.col("__carried")).when(F.col("__carried").isNull(), F.col("__local")).otherwise(F.greatest("__local", "__carried"))
+    return joined.select(*[F.col(f"a.`{c}`") for c in df.columns], top.alias(out))

@@ -211,6 +211,19 @@ def _regions() -> tuple[str, ...]:
 REGIONS = _regions() or (DEFAULT_ZONE,)
 
 
+def source_zones(sources: DataFrame, key: str, default_zone: str = DEFAULT_ZONE, overrides: DataFrame | None = None) -> DataFrame:
+    """``<key>, default_zone`` of every source: what ``overrides`` says of it, else the default.
+
+    ``overrides``: ``<key>, zone``. A NULL zone, or one that the zone tables do not know, is
+    no override; of several for one source the smallest counts. Sources come once each.
+    """
+    out = sources.select(key).distinct()
+    if overrides is None:
+        return out.withColumn("default_zone", F.lit(default_zone))
+    known = overrides.where(F.col("zone").isin(*REGIONS)).groupBy(key).agg(F.min("zone").alias("zone"))
+    return out.join(known, key, "left").select(key, F.coalesce("zone", F.lit(default_zone)).alias("default_zone"))
+
+
 def normalise_timestamps(
     df: DataFrame,
     fields: tuple[str, ...],

@@ -12,9 +12,10 @@ from corvidex.operators import joins as J
 from corvidex.operators import journal as JR
 from corvidex.operators import retrieval as RT
 from corvidex.operators import vectors as V
+from corvidex.operators.ordering import blocked_row_number
 from corvidex.queries.common import Registry, kept_table, sql_tokens
 from corvidex.queries.relational import canonical, docs, journal
-from corvidex.session import broadcast_if_small, load_table
+from corvidex.session import load_table
 
 R = Registry()
 q = R.query
@@ -62,6 +63,12 @@ def jrn_event_hash(s, d):
     return rows.agg(F.count(F.lit(1)).alias("n")).withColumn("bad", bad.agg(F.count(F.lit(1))).scalar())
 
 
+@q("jrn_chain_report", "WITH c AS (SELECT sequence, prior_event_hash, lag(event_hash) OVER (ORDER BY sequence) AS expected, lag(sequence) OVER (ORDER BY sequence) AS prior FROM journal_observations) SELECT count(*) AS n, count_if(sequence - prior > 1) AS gaps, count_if(coalesce(sequence - prior, 1) = 1 AND coalesce(expected, '') <> coalesce(prior_event_hash, '')) AS broken, count(*) AS wrong_hashes, (SELECT count(*) FROM (SELECT logical_turn_key FROM journal_observations WHERE trim(logical_turn_key) <> '' GROUP BY 1 HAVING count(DISTINCT content_hash) > 1)) AS conflicts FROM c")
+def jrn_chain_report(s, d):
+    """State of the whole journal. Its hashes are opaque here, so none of them is that of our canonical JSON."""
+    return JR.chain_report(journal(s, d), ["sequence", "observation_id", "user_text", "assistant_text"])
+
+
 _RECON = """t AS (SELECT 't' || user_id || '-' || event_id AS id, CASE WHEN event_id % 5 = 0 THEN 'p' || user_id || '-' || (event_id % 40) END AS prompt_id, 's' || user_id AS session_id, md5(event_type) AS content_hash, event_type AS user_text, epoch_us(ts) AS at_us FROM events WHERE event_id % 2 = 0),
  j AS (SELECT 'j' || lpad(event_id::VARCHAR, 9, '0') AS id, CASE WHEN event_id % 5 = 1 THEN 'p' || user_id || '-' || ((event_id - 1) % 40) END AS prompt_id, 's' || user_id AS session_id, md5(event_type || (event_id % 3)) AS content_hash, event_type AS user_text, epoch_us(ts) AS at_us FROM events WHERE event_id % 2 = 1)"""
 
@@ -144,8 +151,6 @@ q("rnk_neighbors", f"WITH r AS ({_SEQ}), a AS (SELECT *, row_number() OVER (ORDE
 
 
 def _after(s: SparkSession, d: str) -> DataFrame:
-    from corvidex.operators.ordering import blocked_row_number
-
     rows = journal(s, d).select(F.col("source_identity").alias("k"), F.col("sequence").alias("seq"))
     anchors = blocked_row_number(rows.where("seq % 89 = 0"), [], [F.col("seq")], "anchor_pos")
     return fusion.neighbours(anchors, rows, "k", "seq", 3, "after").select("k", "seq", F.col("anchor_pos").cast("long").alias("anchor_pos"))
@@ -264,7 +269,8 @@ _FACTS = "f AS (SELECT source AS task, label::VARCHAR AS fact, min(rank) AS rank
 
 
 def _facts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    r = docs(s, d).join(load_table(s, d, "embeddings"), F.col("doc_id") == F.col("vec_id")).withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
+    rows = docs(s, d).select("source", "doc_id").join(load_table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "label"), "doc_id")
+    r = blocked_row_number(rows, ["source"], [F.col("doc_id")], "rank")
     present = r.select(F.col("source").alias("task"), F.col("label").cast("string").alias("fact"), "rank")
     return present, r.select(F.col("source").alias("task"), F.col("label").cast("string").alias("fact"), (1.0 + F.col("label") / 10.0).alias("weight")).distinct()
 
@@ -353,7 +359,7 @@ def agg_star_pricing(s, d):
 @q("top_orders", "SELECT o_orderkey, c_name, o_totalprice FROM orders JOIN customer ON c_custkey = o_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
 def top_orders(s, d):
     top = load_table(s, d, "orders").orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(100).select("o_orderkey", "o_custkey", "o_totalprice")
-    return load_table(s, d, "customer").join(broadcast_if_small(top), F.col("c_custkey") == F.col("o_custkey")).select("o_orderkey", "c_name", "o_totalprice")
+    return load_table(s, d, "customer").join(F.broadcast(top), F.col("c_custkey") == F.col("o_custkey")).select("o_orderkey", "c_name", "o_totalprice")
 
 
 QUERIES, ORACLE = R.queries, R.oracle

@@ -11,10 +11,10 @@ from corvidex.operators import evidence as EV
 from corvidex.operators import filters as FL
 from corvidex.operators import fusion
 from corvidex.operators import joins as J
-from corvidex.operators.ordering import blocked_row_number
+from corvidex.operators.ordering import blocked_row_number, blocked_running_max
 from corvidex.operators.retrieval import coverage_tokens, splice
 from corvidex.queries.common import Registry
-from corvidex.session import broadcast_if_small, load_table
+from corvidex.session import load_table
 
 R = Registry()
 q = R.query
@@ -165,7 +165,7 @@ q("join_cache_lookup", "SELECT d.doc_id, e.label AS cached FROM documents d LEFT
 def join_hydrate(s, d):
     """Content is fetched only for the survivors of a top-k over narrow columns."""
     top = docs(s, d).orderBy(F.col("n_chars").desc_nulls_last(), "doc_id").limit(20).select("doc_id")
-    return docs(s, d).join(broadcast_if_small(top), "doc_id").select("doc_id", F.md5("text").alias("text_md5"))
+    return docs(s, d).join(F.broadcast(top), "doc_id").select("doc_id", F.md5("text").alias("text_md5"))
 
 
 @q("join_late_hits", "SELECT source, min(doc_id) AS doc_id FROM documents JOIN embeddings ON vec_id = doc_id WHERE label < 3 GROUP BY 1")
@@ -233,7 +233,7 @@ def join_paired_systems(s, d):
 def join_star(s, d):
     t = lambda n: load_table(s, d, n)
     nations = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
-    suppliers = t("supplier").join(broadcast_if_small(nations), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "r_name")
+    suppliers = t("supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "r_name")
     lines = t("lineitem").select("l_partkey", "l_suppkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("v"))
     per = lines.groupBy("l_partkey", "l_suppkey").agg(F.sum("v").alias("v"))
     out = per.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).join(t("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
@@ -348,14 +348,14 @@ q("win_sequence_alloc", "SELECT observation_id, (SELECT max(sequence) FROM journ
 
 @q("win_timestamp_interpolate", "WITH e AS (SELECT user_id, event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE epoch_us(ts) END AS t FROM events), w AS (SELECT *, last_value(t IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, first_value(t IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS a FROM e) SELECT event_id, coalesce(t, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN b + (a - b) // 2 ELSE coalesce(b, a) END) AS t_us FROM w")
 def win_timestamp_interpolate(s, d):
-    """A lost time is the middle of its nearest readable neighbours."""
+    """A lost time is the middle of its nearest readable neighbours, carried over blocks from both sides."""
     t = F.when(F.col("event_id") % 4 != 0, F.unix_micros(F.col("ts").cast("timestamp")))
     e = load_table(s, d, "events").select("user_id", "event_id", t.alias("t"))
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    b = F.last("t", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    a = F.first("t", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    e = e.withColumns({"b": b, "a": a})
-    mid = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.col("b") + F.floor((F.col("a") - F.col("b")) / 2)).otherwise(F.coalesce("b", "a"))
+    known = lambda at: F.when(F.col("t").isNotNull(), F.struct(at.alias("at"), F.col("t").alias("t")))
+    e = blocked_running_max(e, ["user_id"], [F.col("event_id")], known(F.col("event_id")), "b")
+    e = blocked_running_max(e, ["user_id"], [F.col("event_id").desc()], known(-F.col("event_id")), "a")
+    b, a = F.col("b")["t"], F.col("a")["t"]
+    mid = F.when(a.isNotNull() & b.isNotNull(), b + F.floor((a - b) / 2)).otherwise(F.coalesce(b, a))
     return e.select("event_id", F.coalesce(F.col("t"), mid).alias("t_us"))
 
 
@@ -379,11 +379,17 @@ q("win_prefix_budget", "WITH w AS (SELECT session_id, sequence, strlen(coalesce(
 q("win_window_split", "SELECT doc_id, count(*) AS n_windows FROM (SELECT doc_id, unnest(range(0, (greatest(0, ceil((length(text) - 900) / 675.0)) + 1)::BIGINT)) FROM documents WHERE length(text) > 0) GROUP BY 1")(
     lambda s, d: fusion.passages(docs(s, d).select("doc_id", "text"), ["doc_id"], "text").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_windows"))
 )
+def _hits(s: SparkSession, d: str) -> DataFrame:
+    """Documents with a vector, numbered within their archive."""
+    rows = docs(s, d).select("source", "doc_id").join(load_table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "label"), "doc_id")
+    return blocked_row_number(rows, ["source"], [F.col("doc_id")], "rank").withColumn("rank", F.col("rank").cast("long"))
+
+
 q("win_first_hit_rank", "WITH r AS (SELECT source, label, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents JOIN embeddings ON vec_id = doc_id) SELECT source, min(rank) FILTER (WHERE label = 1) AS first_hit FROM r GROUP BY 1")(
-    lambda s, d: docs(s, d).join(load_table(s, d, "embeddings"), F.col("doc_id") == F.col("vec_id")).withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).groupBy("source").agg(F.min(F.when(F.col("label") == 1, F.col("rank"))).cast("long").alias("first_hit"))
+    lambda s, d: _hits(s, d).groupBy("source").agg(F.min(F.when(F.col("label") == 1, F.col("rank"))).cast("long").alias("first_hit"))
 )
 q("win_new_facts_gain", "WITH r AS (SELECT source, label, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents JOIN embeddings ON vec_id = doc_id), f AS (SELECT source, label, min(rank) AS rank FROM r GROUP BY 1, 2) SELECT source, rank, count(*) AS new_facts FROM f GROUP BY 1, 2")(
-    lambda s, d: docs(s, d).join(load_table(s, d, "embeddings"), F.col("doc_id") == F.col("vec_id")).withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long")).groupBy("source", "label").agg(F.min("rank").alias("rank")).groupBy("source", "rank").agg(F.count(F.lit(1)).alias("new_facts"))
+    lambda s, d: _hits(s, d).groupBy("source", "label").agg(F.min("rank").alias("rank")).groupBy("source", "rank").agg(F.count(F.lit(1)).alias("new_facts"))
 )
 
 # --- sorts and top-k ---
@@ -429,7 +435,7 @@ def set_coverage_splice(s, d):
     top = docs(s, d).orderBy(*order).limit(200).select(F.col("doc_id").alias("stable_id"), F.row_number().over(Window.orderBy(*order)).alias("pos"))
     chat = docs(s, d).where("source = 'chat:turns'").select("doc_id")
     chosen = chat.orderBy(F.col("doc_id").desc()).limit(30).withColumn("pick", F.row_number().over(Window.orderBy(F.col("doc_id").desc())))
-    out = splice(top, chat.join(broadcast_if_small(top.select(F.col("stable_id").alias("doc_id"))), "doc_id", "left_semi"), chosen)
+    out = splice(top, chat.join(F.broadcast(top.select(F.col("stable_id").alias("doc_id"))), "doc_id", "left_semi"), chosen)
     return out.select(F.col("stable_id").alias("doc_id"), F.col("pos").cast("long").alias("pos"))
 
 

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvidex.operators.timestamps import DEFAULT_ZONE, found_timestamps, normalise_timestamps, to_canonical
+from corvidex.operators.timestamps import DEFAULT_ZONE, found_timestamps, normalise_timestamps, source_zones, to_canonical
 from corvidex.session import load_table
 
 FIELDS = ("event_time", "recorded_at")
+#: Zones of sources that do not write in the default zone. Of this data all do.
+SOURCE_ZONES: list[tuple[str, str]] = []
 
 
 def _normalised(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     rows = load_table(spark, sf_dir, "journal_observations").select("sequence", "source_identity", *FIELDS, *keep)
-    zones = load_table(spark, sf_dir, "journal_source_identities").select(
-        "source_identity", F.lit(DEFAULT_ZONE).alias("default_zone")
-    )
+    overrides = spark.createDataFrame(SOURCE_ZONES, "source_identity string, zone string")
+    zones = source_zones(load_table(spark, sf_dir, "journal_source_identities"), "source_identity", DEFAULT_ZONE, overrides)
     return normalise_timestamps(rows, FIELDS, zones, "source_identity", not_after="recorded_at")
 
 

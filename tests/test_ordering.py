@@ -3,7 +3,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from corvidex.operators.ordering import blocked_row_number, blocked_running_sum
+from corvidex.operators.ordering import blocked_row_number, blocked_running_max, blocked_running_sum
 
 
 def test_blocked_windows(spark):
@@ -21,4 +21,11 @@ def test_blocked_windows(spark):
             total += v or 0
     assert {(r.k, r.o): r.n for r in blocked_row_number(df, ["k"], [F.col("o")], "n").collect()} == number
     assert {(r.k, r.o): r.before for r in blocked_running_sum(df, ["k"], [F.col("o")], "v").collect()} == before
+    top = {}
+    for k, g in groups.items():
+        best = None
+        for o, v in sorted(g):
+            top[k, o] = best
+            best = v if best is None or (v is not None and v > best) else best
+    assert {(r.k, r.o): r.top for r in blocked_running_max(df, ["k"], [F.col("o")], F.col("v"), "top").collect()} == top
     assert blocked_row_number(df.limit(0), ["k"], [F.col("o")]).count() == 0

@@ -4,7 +4,7 @@ from zoneinfo import ZoneInfo
 import pytest
 from pyspark.sql import functions as F
 
-from corvidex.operators.timestamps import found_timestamps, normalise_timestamps, to_canonical
+from corvidex.operators.timestamps import found_timestamps, normalise_timestamps, source_zones, to_canonical
 
 W = ZoneInfo("Europe/Warsaw")
 
@@ -69,3 +69,16 @@ def test_found_and_canonical(spark):
     assert [tuple(r) for r in found_timestamps(n, "id", ("a", "b")).collect()] == [(1, "b", us(2024, 2, 4, 23), "date_only")]
     assert n.where("id = 1").select(to_canonical(F.col("a_utc_us"))).first()[0] == "2024-02-05T02:57:23.054Z"
     assert normalise_timestamps(df.limit(0), ("a",)).count() == 0
+
+
+def test_zone_of_each_source(spark):
+    src = spark.createDataFrame([("ny",), ("tokyo",), ("odd",), ("none",), ("ny",), (None,)], "src string")
+    over = spark.createDataFrame([("ny", "America/New_York"), ("tokyo", "Asia/Tokyo"), ("tokyo", "Europe/Paris"), ("odd", "Mars/Base"), ("none", None)], "src string, zone string")
+    zones = source_zones(src, "src", overrides=over)
+    assert {r.src: r.default_zone for r in zones.collect()} == {"ny": "America/New_York", "tokyo": "Asia/Tokyo", "odd": "Europe/Warsaw", "none": "Europe/Warsaw", None: "Europe/Warsaw"}
+    # each side of both changes of New York: the repeated hour takes the later instant, the skipped one the old offset
+    at = ["2024-11-03 00:59", "2024-11-03 01:30", "2024-11-03 02:00", "2024-03-10 01:59", "2024-03-10 02:30", "2024-03-10 03:00"]
+    want = [us(2024, 11, 3, 4, 59), us(2024, 11, 3, 6, 30), us(2024, 11, 3, 7, 0), us(2024, 3, 10, 6, 59), us(2024, 3, 10, 7, 30), us(2024, 3, 10, 7, 0)]
+    df = spark.createDataFrame([(i, "ny", t) for i, t in enumerate(at)], "id int, src string, at string")
+    got = {r.id: r.at_utc_us for r in normalise_timestamps(df, ("at",), zones, "src").collect()}
+    assert [got[i] for i in range(len(at))] == want
