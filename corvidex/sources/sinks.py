@@ -49,10 +49,12 @@ def rename_archive(spark: SparkSession, path: str, old: str, new: str) -> None:
 def stage_plan(staged: DataFrame, written: DataFrame) -> DataFrame:
     """``out_path, action``: what a stage writes, leaves or deletes.
 
-    ``staged`` and ``written``: ``out_path, hash`` of the outputs wanted and of those there.
+    ``staged`` and ``written``: ``out_path, hash`` of the outputs wanted and of those there. An
+    output whose hash is not known is written.
     """
-    j = staged.select("out_path", F.col("hash").alias("new")).join(written.select("out_path", F.col("hash").alias("old")), "out_path", "full")
-    action = F.when(F.col("new").isNull(), "delete").when(F.col("new").eqNullSafe(F.col("old")), "keep").otherwise("write")
+    side = lambda x, name: x.select("out_path", F.struct("hash").alias(name))
+    j = side(staged, "new").join(side(written, "old"), "out_path", "full")
+    action = F.when(F.col("new").isNull(), "delete").when(F.col("new.hash") == F.col("old.hash"), "keep").otherwise("write")
     return j.select("out_path", action.alias("action"))
 
 
