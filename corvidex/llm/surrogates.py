@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvidex.llm.genders import gender_of
-from corvidex.llm.pii import Detector, Mention, fold, valid_pesel
+from corvidex.llm.pii import Detector, Mention, fold, spellings, valid_pesel
 
 _ONSETS = "b c d f g h j k l m n p r s t v w z br dr".split()
 _VOWELS = "a e i o".split()
@@ -346,30 +346,73 @@ def _stamped(texts: DataFrame) -> DataFrame:
     return texts.withColumn("stamp", F.xxhash64("text"))
 
 
-def detect(texts: DataFrame, detector: Detector) -> DataFrame:
-    """``tbl, row_id, field_name, stamp, spans, entities`` of the texts that mention anything.
+_NAMES = "array<struct<name:string,kind:string>>"
 
-    The one pass over the texts. ``item_no`` of a span counts the mentions of a type in a
-    field from its start. NULL and empty texts have none; whole texts are read, of any
-    length; repeated rows each come out.
+
+def with_names(texts: DataFrame, people: DataFrame) -> DataFrame:
+    """Adds ``names``: the names of ``people`` (``given_name, family_name``) that may occur in each text.
+
+    For directories that are too large to be carried to every task: texts and spellings of
+    names meet on the first word of a spelling, so each text gets the few names it needs.
+    """
+
+    def spelled(frames):
+        for f in frames:
+            out = [(name, kind, m[0]) for name, kind in zip(f["name"], f["kind"], strict=True) for v in spellings(name) if (m := _WORD.search(v))]
+            yield pd.DataFrame(out, columns=["name", "kind", "head"])
+
+    def words(frames):
+        for f in frames:
+            out = [(*row, w) for *row, text in zip(*(f[c] for c in (*ROW, "text")), strict=True) for w in set(_WORD.findall(fold(text)))]
+            yield pd.DataFrame(out, columns=[*ROW, "head"])
+
+    one = lambda c, kind: people.where(F.length(c) > 1).select(F.col(c).alias("name"), F.lit(kind).alias("kind"))
+    names = one("given_name", "given").unionByName(one("family_name", "family")).distinct().mapInPandas(spelled, "name string, kind string, head string").distinct()
+    rows = _stamped(texts)
+    heads = rows.where("length(text) > 0").select(*ROW, "text").mapInPandas(words, f"{_ROW_SCHEMA}, head string")
+    found = heads.join(names, "head").groupBy(*ROW).agg(F.collect_set(F.struct("name", "kind")).alias("names"))
+    return rows.join(found, ROW, "left").drop("stamp")
+
+
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+@functools.lru_cache(maxsize=10_000)
+def _detector_of(names: tuple[tuple[str, str], ...]) -> Detector:
+    return Detector([n for n, k in names if k == "given"], [n for n, k in names if k == "family"])
+
+
+def _row_detector(names) -> Detector:
+    return _detector_of(tuple(sorted((x["name"], x["kind"]) for x in names)) if names is not None else ())
+
+
+def detect(texts: DataFrame, detector: Detector | None) -> DataFrame:
+    """``tbl, row_id, field_name, stamp, spans, entities, names`` of the texts that mention anything.
+
+    The one pass over the texts. Without a ``detector`` each text brings its own ``names`` (see
+    ``with_names``). ``item_no`` of a span counts the mentions of a type in a field from its
+    start. NULL and empty texts have none; whole texts are read, of any length; repeated rows
+    each come out.
     """
 
     def run(frames):
         for f in frames:
             out = []
-            for *row, text in zip(*(f[c] for c in (*ROW, "text")), strict=True):
-                if found := detector.find(text):
+            for *row, text, names in zip(*(f[c] for c in (*ROW, "text", "names")), strict=True):
+                own = detector or _row_detector(names)
+                if found := own.find(text):
                     n: dict[str, int] = {}
                     spans = []
                     for m in found:
                         n[m.kind] = n.get(m.kind, 0) + 1
                         spans.append({"start": m.start, "end": m.end, "kind": m.kind, "item_no": n[m.kind], "text": m.text})
-                    named = dict.fromkeys(e for m in found for e in entities_of(m, detector))
-                    out.append((*row, spans, [{"kind": k, "name": x} for k, x in named]))
-            yield pd.DataFrame(out, columns=[*ROW, "spans", "entities"])
+                    named = dict.fromkeys(e for m in found for e in entities_of(m, own))
+                    out.append((*row, spans, [{"kind": k, "name": x} for k, x in named], names))
+            yield pd.DataFrame(out, columns=[*ROW, "spans", "entities", "names"])
 
-    rows = _stamped(texts.where("length(text) > 0")).select(*ROW, "text")
-    return rows.mapInPandas(run, f"{_ROW_SCHEMA}, spans {_SPANS}, entities {_ENTITIES}")
+    rows = _stamped(texts.where("length(text) > 0"))
+    rows = rows.select(*ROW, "text", F.lit(None).cast(_NAMES).alias("names") if detector else "names")
+    return rows.mapInPandas(run, f"{_ROW_SCHEMA}, spans {_SPANS}, entities {_ENTITIES}, names {_NAMES}")
 
 
 def redraw_until_distinct(entities: DataFrame, key: bytes, draw_with=draw) -> DataFrame:
@@ -399,7 +442,7 @@ def redraw_until_distinct(entities: DataFrame, key: bytes, draw_with=draw) -> Da
         forget(old)
 
 
-def replacements(texts: DataFrame, detector: Detector, key: bytes, draw_with=draw) -> DataFrame:
+def replacements(texts: DataFrame, detector: Detector | None, key: bytes, draw_with=draw) -> DataFrame:
     """``tbl, row_id, field_name, stamp, spans`` with a ``surrogate`` in each span.
 
     One detection pass; only mentions and entities move. Entities that meet are drawn again
@@ -424,22 +467,23 @@ def replacements(texts: DataFrame, detector: Detector, key: bytes, draw_with=dra
     def run(frames):
         for f in frames:
             made = []
-            for spans, marks in zip(f["spans"], f["marks"], strict=True):
+            for spans, marks, names in zip(f["spans"], f["marks"], f["names"], strict=True):
+                own = detector or _row_detector(names)
                 tries = {(m["kind"], m["name"]): m["attempt"] for m in marks} if marks is not None else everywhere
-                made.append([{"start": s["start"], "end": s["end"], "kind": s["kind"], "item_no": s["item_no"], "surrogate": surrogate(key, Mention(s["start"], s["end"], s["kind"], s["text"]), tries, detector)} for s in spans])
+                made.append([{"start": s["start"], "end": s["end"], "kind": s["kind"], "item_no": s["item_no"], "surrogate": surrogate(key, Mention(s["start"], s["end"], s["kind"], s["text"]), tries, own)} for s in spans])
             f["spans"] = made
             yield f[[*ROW, "spans"]]
 
-    return found.select(*ROW, "spans", "marks").mapInPandas(run, f"{_ROW_SCHEMA}, spans array<struct<start:int,end:int,kind:string,item_no:int,surrogate:string>>")
+    return found.select(*ROW, "spans", "marks", "names").mapInPandas(run, f"{_ROW_SCHEMA}, spans array<struct<start:int,end:int,kind:string,item_no:int,surrogate:string>>")
 
 
-def find_mentions(texts: DataFrame, detector: Detector, key: bytes) -> DataFrame:
+def find_mentions(texts: DataFrame, detector: Detector | None, key: bytes) -> DataFrame:
     """One row per mention with its surrogate: ``tbl, row_id, field_name, pii_type, item_no, surrogate``."""
     rows = replacements(texts, detector, key).select("tbl", "row_id", "field_name", F.explode("spans").alias("s"))
     return rows.select("tbl", "row_id", "field_name", F.col("s.kind").alias("pii_type"), "s.item_no", "s.surrogate")
 
 
-def redact(texts: DataFrame, detector: Detector, key: bytes, typed: bool = True, draw_with=draw) -> DataFrame:
+def redact(texts: DataFrame, detector: Detector | None, key: bytes, typed: bool = True, draw_with=draw) -> DataFrame:
     """``tbl, row_id, field_name, text`` with every mention replaced.
 
     NULL stays NULL, texts without mentions come out as they are. Each text meets its own

@@ -172,3 +172,14 @@ def test_many_names_in_one_directory():
     big = Detector([f"Gname{i}x" for i in range(3000)], [f"Fname{i}y" for i in range(3000)])
     t = "By Gname17x-Gname18x K. Fname2999y-Fname5y, Fname8y, Gname0x; g. Fname1y and Gname2x alone, Fname1y Gname2x, XGname1x Fname1y; Gname1x Fname1y@"
     assert [m.text for m in big.find(t)] == ["Gname17x-Gname18x K. Fname2999y-Fname5y", "Fname8y, Gname0x", "g. Fname1y"]
+
+
+def test_directory_too_large_to_carry(spark, monkeypatch):
+    """Each text then gets the names it needs from a join: the same mentions, the same texts."""
+    from corvidex.llm import q_pii
+
+    sf = "/root/testdata/sf0.001"
+    found, redacted = (sorted(map(str, q_pii.QUERIES[n](spark, sf).collect())) for n in ("p2_found", "p2_redacted"))
+    monkeypatch.setattr(q_pii, "MAX_DIRECTORY", 3)
+    assert sorted(map(str, q_pii.p2_found(spark, sf).collect())) == found and len(found) > 30
+    assert sorted(map(str, q_pii.p2_redacted(spark, sf).collect())) == redacted
