@@ -109,8 +109,12 @@ def write_index(source: DataFrame, path: str, buckets: int = 64) -> None:
     rows = build_postings(source).withColumn("bucket", (F.crc32(F.encode(F.substring("term", 1, HEAD), "UTF-8")) % buckets).cast("int"))
     placed = rows.repartition(F.col("bucket"), F.pmod(F.xxhash64("doc_id"), F.lit(spread)))
     placed.sortWithinPartitions("bucket", "term", "origin_db", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    totals = source.groupBy("origin_db").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n_tokens").alias("avg_tokens"))
+    # lengths come from what was written: the texts are cut into tokens once
     kind = source.schema["doc_id"].dataType.simpleString()
+    lengths = source.sparkSession.read.schema("origin_db string, tf int").parquet(f"{path}/postings").groupBy("origin_db").agg(F.sum("tf").alias("tokens"))
+    docs = source.groupBy("origin_db").agg(F.count(F.lit(1)).alias("n_docs"))
+    same = docs.origin_db.eqNullSafe(lengths.origin_db)
+    totals = docs.join(lengths, same, "left").select(docs.origin_db, "n_docs", (F.coalesce("tokens", F.lit(0)) / F.col("n_docs")).alias("avg_tokens"))
     totals.withColumns({"buckets": F.lit(buckets), "doc_type": F.lit(kind)}).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
 
 
