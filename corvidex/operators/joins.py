@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,27 +66,32 @@ def coalesce_upsert(old: DataFrame, new: DataFrame, key: str, replace: list[str]
     return j.select(F.coalesce(F.col(f"b.{key}"), F.col(f"a.{key}")).alias(key), *cols)
 
 
+#: Patterns that one pass over the texts looks for.
+PATTERNS_PER_PASS = 5_000
+
+
 def anchored_facts(texts: DataFrame, anchors: DataFrame, id_column: str, text: str) -> DataFrame:
     """(``id``, ``fact``) where a text matches all patterns of a fact.
 
-    ``anchors`` (``fact``, ``pattern``) is a settings table; it is read to the driver (at
-    most 10,000 patterns) and becomes one expression, so texts are scanned once and no rows
-    are paired.
+    ``anchors`` (``fact``, ``pattern``) becomes one expression, so texts are scanned once and
+    no rows are paired; of more than ``PATTERNS_PER_PASS`` patterns the facts are spread over
+    several passes.
     """
-    rows = anchors.select("fact", "pattern").limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("more than 10,000 patterns")
-    by: dict[str, list[str]] = {}
-    for r in rows:
-        by.setdefault(r.fact, []).append(r.pattern)
-    flags = []
-    for fact, patterns in sorted(by.items()):
-        cond = F.lit(True)
-        for p in patterns:
-            cond = cond & F.col(text).rlike(p)
-        flags.append(F.when(cond, F.lit(fact)))
-    if not flags:
-        return texts.limit(0).select(id_column, F.lit("").alias("fact"))
+    passes = max(1, -(-anchors.count() // PATTERNS_PER_PASS))
+    out = texts.limit(0).select(id_column, F.lit("").alias("fact"))
+    for i in range(passes):
+        own = anchors.where(F.pmod(F.xxhash64("fact"), F.lit(passes)) == i)
+        by: dict[str, list[str]] = {}
+        for r in own.select("fact", "pattern").collect():
+            by.setdefault(r.fact, []).append(r.pattern)
+        if by:
+            out = out.unionByName(_facts_of(texts, by, id_column, text))
+    return out
+
+
+def _facts_of(texts: DataFrame, by: dict[str, list[str]], id_column: str, text: str) -> DataFrame:
+    holds = lambda patterns: functools.reduce(lambda a, b: a & b, [F.col(text).rlike(p) for p in patterns])
+    flags = [F.when(holds(patterns), F.lit(fact)) for fact, patterns in sorted(by.items())]
     return texts.select(id_column, F.explode(F.filter(F.array(*flags), lambda f: f.isNotNull())).alias("fact"))
 
 

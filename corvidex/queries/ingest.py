@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvidex.functions import text as T
-from corvidex.operators import gold, passages
+from corvidex.operators import fts, gold, passages
 from corvidex.operators import journal as JR
 from corvidex.operators.ordering import blocked_row_number
 from corvidex.operators.timestamps import normalise_timestamps
@@ -25,6 +25,7 @@ from corvidex.queries.relational import docs, journal
 from corvidex.session import cut_lineage, ensure_checkpoint_dir, load_table
 from corvidex.sources import chatlog, files, protocol, registry, sinks, transcripts, worklog
 from corvidex.streaming import journal as SJ
+from corvidex.streaming.sweep import sweep
 
 R = Registry()
 q = R.query
@@ -523,20 +524,29 @@ q("str_change_stamp", "SELECT count(*) || ':' || max(doc_id) AS stamp FROM docum
 q("str_incremental_index", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE label < 5)")(
     lambda s, d: SJ.incremental_index(docs(s, d).select("doc_id", F.lit(1).alias("h")), load_table(s, d, "embeddings").where("label < 5").select(F.col("vec_id").alias("doc_id"), F.lit(1).alias("h")), "doc_id", "h")[0].select("doc_id")
 )
-q("str_live_append", "SELECT source, strlen(string_agg(file_name, chr(10) ORDER BY doc_id)) AS bytes FROM documents WHERE source = 'live_events' GROUP BY 1")(
-    lambda s, d: sinks.append_text(docs(s, d).limit(0).select("origin_db", "source", "file_path", "content"), docs(s, d).where("source = 'live_events'").select(F.lit("m").alias("origin_db"), "source", F.lit("all").alias("file_path"), F.col("doc_id").alias("chunk_no"), F.col("file_name").alias("chunk"))).select("source", F.octet_length("content").alias("bytes"))
-)
+_SWEPT = f"o AS (SELECT * FROM journal_observations WHERE trim(coalesce(logical_turn_key, '')) = '' OR sequence IN (SELECT arg_min(sequence, (source_fidelity_rank, -sequence)) FROM journal_observations WHERE trim(logical_turn_key) <> '' GROUP BY logical_turn_key)), b AS (SELECT sequence, tier, '## User' || chr(10) || chr(10) || coalesce(user_text, '') || chr(10) || chr(10) || '## Assistant' || chr(10) || chr(10) || coalesce(assistant_text, '') AS body FROM o), p AS (SELECT *, 1 + (strlen(body) > 8192)::INT AS k FROM b WHERE coalesce(tier, 'turns') <> 'dross' AND NOT (contains(lower(body), 'ai-vault') AND ({' OR '.join(f"contains(lower(body), '{m}')" for m in T.HANDOFF_MARKERS)}))), l AS (SELECT sequence, prior_event_hash, lag(event_hash) OVER (ORDER BY sequence) AS e, lag(sequence) OVER (ORDER BY sequence) AS s FROM journal_observations)"
 
 
-@q("str_sweep", "SELECT count(*) AS n_docs FROM journal_observations o WHERE coalesce(tier, 'turns') <> 'dross' AND (trim(coalesce(logical_turn_key, '')) = '' OR sequence IN (SELECT arg_min(sequence, (source_fidelity_rank, -sequence)) FROM journal_observations WHERE trim(logical_turn_key) <> '' GROUP BY logical_turn_key))")
+@q("str_sweep", f"WITH {_SWEPT} SELECT 'reconcile' AS step, (SELECT count(*) FROM o) AS n UNION ALL SELECT 'project', (SELECT sum(k)::BIGINT FROM p) UNION ALL SELECT 'sync', (SELECT sum(k)::BIGINT FROM p) UNION ALL SELECT 'index', (SELECT sum(k)::BIGINT FROM p) UNION ALL SELECT 'worklogs', (SELECT count(*) FROM documents WHERE source LIKE 'worklog:%' AND regexp_matches(text, '\\S')) UNION ALL SELECT 'integrity', (SELECT count_if(sequence - s > 1) + count_if(coalesce(sequence - s, 1) = 1 AND coalesce(e, '') <> coalesce(prior_event_hash, '')) FROM l)")
 def str_sweep(s, d):
-    """Canonical rows, projected and written, as one job chain."""
+    """All seven steps of a sweep; the number of capsules is left out, as SQL cannot cut worklogs."""
     from corvidex.queries.relational import canonical
 
-    path = _folder(s, "sweep")
-    cols = ["sequence", "user_text", "assistant_text", "tier"]
-    JR.project(canonical(journal(s, d), cols), 0, 1 << 30).write.parquet(path)
-    return s.read.parquet(path).agg(F.count(F.lit(1)).alias("n_docs"))
+    rows = canonical(journal(s, d), ["sequence", "user_text", "assistant_text", "tier"])
+    logs = docs(s, d).where("source like 'worklog:%'").select(F.col("doc_id").cast("string").alias("path"), "text")
+    return sweep(s, rows, journal(s, d), logs, _folder(s, "sweep")).where("step <> 'digests'")
+
+
+@q("str_live_append", "SELECT doc_id FROM documents WHERE source = 'live_events' ORDER BY doc_id")
+def str_live_append(s, d):
+    """Text appended to living documents is found by a search at once."""
+    live = docs(s, d).where("source = 'live_events'").select("origin_db", "source", F.col("doc_id").cast("string").alias("file_path"), F.lit("stored words").alias("content"))
+    chunks = live.select("origin_db", "source", "file_path", F.lit(1).cast("long").alias("chunk_no"), F.concat(F.lit("quokkaword "), "file_path").alias("chunk"))
+    stored = sinks.append_text(live, chunks).withColumns({"doc_id": F.col("file_path").cast("long"), "file_name": F.lit("")})
+    path = _folder(s, "live")
+    stored.write.parquet(f"{path}/docs")
+    fts.write_index(fts.index_source(s.read.parquet(f"{path}/docs")), f"{path}/index")
+    return fts.open_index(s, f"{path}/index").search("quokkaword").select("doc_id")
 
 
 # --- administration ---

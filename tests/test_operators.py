@@ -163,6 +163,10 @@ def test_joins(spark):
     assert {(r.k, r.v, r.status) for r in m.collect()} == {(1, "a", "kept"), (2, None, "replaced"), (3, "c", "added")}
     facts = J.anchored_facts(spark.createDataFrame([(1, "ab"), (2, None)], "id int, t string"), spark.createDataFrame([("f", "a"), ("f", "b"), ("g", "c")], "fact string, pattern string"), "id", "t")
     assert [tuple(r) for r in facts.collect()] == [(1, "f")]
+    many = spark.createDataFrame([(f"f{i}", f"w{i}$") for i in range(40)], "fact string, pattern string")
+    J.PATTERNS_PER_PASS, kept = 7, J.PATTERNS_PER_PASS
+    assert sorted(r.fact for r in J.anchored_facts(spark.createDataFrame([(1, "w3"), (2, "w39")], "id int, t string"), many, "id", "t").collect()) == ["f3", "f39"]
+    J.PATTERNS_PER_PASS = kept
 
 
 def test_aggregates(spark):
