@@ -256,6 +256,15 @@ def needles(ledger: DataFrame, per_task: int = 3) -> DataFrame:
     return rows.withColumn("n", n).where(F.col("n") <= per_task).select("task", "fact", F.array_join("plain", " ").alias("query"))
 
 
+def pool(lists: DataFrame, id_column: str, depth: int | None = None) -> DataFrame:
+    """What is to be labelled: ``<id>, systems, best``, each document of any list once.
+
+    ``lists``: ``system, <id>, pos``; ``systems`` are those that found it, ``best`` its best place.
+    """
+    rows = lists.where(F.col("pos") <= depth) if depth is not None else lists
+    return rows.groupBy(id_column).agg(F.sort_array(F.collect_set("system")).alias("systems"), F.min("pos").alias("best"))
+
+
 def hash_sample(df: DataFrame, key: str, n: int, salt: str = "") -> DataFrame:
     """``n`` rows with the smallest salted hash: the same rows whatever their order."""
     return df.orderBy(F.xxhash64(F.lit(salt), key), key).limit(n)

@@ -294,9 +294,19 @@ def _precision(s: SparkSession, d: str) -> DataFrame:
     return E.precision_proxy(present.where(F.col("fact").cast("int") < 3), present).select("task", F.round("precision_10", 6).alias("precision_10"))
 
 
-q("ev_pool", "SELECT doc_id, count(*) AS n_systems FROM ((SELECT doc_id FROM documents ORDER BY n_chars DESC NULLS LAST, doc_id LIMIT 50) UNION ALL (SELECT doc_id FROM documents ORDER BY size_bytes DESC NULLS LAST, doc_id LIMIT 50)) GROUP BY 1")(
-    lambda s, d: docs(s, d).orderBy(F.col("n_chars").desc_nulls_last(), "doc_id").limit(50).select("doc_id").unionByName(docs(s, d).orderBy(F.col("size_bytes").desc_nulls_last(), "doc_id").limit(50).select("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_systems"))
-)
+q("ev_pool", "WITH r AS ((SELECT doc_id, 'chars' AS system, row_number() OVER (ORDER BY n_chars DESC NULLS LAST, doc_id) AS pos FROM documents QUALIFY pos <= 50) UNION ALL (SELECT doc_id, 'bytes', row_number() OVER (ORDER BY size_bytes DESC NULLS LAST, doc_id) AS pos FROM documents QUALIFY pos <= 50)) SELECT doc_id, string_agg(system, ',' ORDER BY system) AS systems, min(pos) AS best FROM r GROUP BY 1")(lambda s, d: _pooled(s, d))
+
+
+def _pooled(s: SparkSession, d: str) -> DataFrame:
+    """The first fifty documents of two orders, pooled for labelling."""
+    lists = None
+    for system, column in (("chars", "n_chars"), ("bytes", "size_bytes")):
+        order = [F.col(column).desc_nulls_last(), F.col("doc_id")]
+        top = docs(s, d).orderBy(*order).limit(50).select(F.lit(system).alias("system"), "doc_id", F.row_number().over(Window.orderBy(*order)).alias("pos"))
+        lists = top if lists is None else lists.unionByName(top)
+    return E.pool(lists, "doc_id").select("doc_id", F.array_join("systems", ",").alias("systems"), F.col("best").cast("long").alias("best"))
+
+
 @q("ev_false_match")
 def ev_false_match(s, d):
     """Rate of an anchor in a hashed sample of other texts."""
@@ -310,8 +320,8 @@ def ev_fingerprint(s, d):
 
 
 # --- vectors ---
-q("vec_quantize", "SELECT vec_id, round(list_max(list_transform(embedding, lambda x: abs(x)))::DOUBLE / 127.0, 9) AS scale, len(embedding) AS dim FROM embeddings")(
-    lambda s, d: load_table(s, d, "embeddings").select("vec_id", V.quantize(F.col("embedding")).alias("q")).select("vec_id", F.round("q.scale", 9).alias("scale"), F.size("q.codes").cast("long").alias("dim"))
+q("vec_quantize", "WITH s AS (SELECT vec_id, embedding, list_max(list_transform(embedding, lambda x: abs(x)))::DOUBLE / 127.0 AS scale FROM embeddings) SELECT vec_id, round(scale, 9) AS scale, md5(array_to_string(list_transform(embedding, lambda x: round_even(x::DOUBLE / scale, 0)::INT), ',')) AS codes_md5 FROM s")(
+    lambda s, d: load_table(s, d, "embeddings").select("vec_id", V.quantize(F.col("embedding")).alias("q")).select("vec_id", F.round("q.scale", 9).alias("scale"), F.md5(F.array_join(F.col("q.codes").cast("array<string>"), ",")).alias("codes_md5"))
 )
 q("vec_dequantize", "SELECT vec_id, true AS close FROM embeddings")(
     lambda s, d: load_table(s, d, "embeddings").select("vec_id", F.col("embedding").alias("e"), V.quantize(F.col("embedding")).alias("q")).select("vec_id", F.forall(F.zip_with("e", V.dequantize(F.col("q")), lambda a, b: F.abs(a - b)), lambda x: x <= F.col("q.scale") * 0.5001).alias("close"))

@@ -287,13 +287,35 @@ q("chat_ts_parse", f"SELECT sequence, epoch_us(event_time::TIMESTAMPTZ) AS utc_u
 
 # --- planner ---
 _QUERIES = ("what did we decide about the retry budget?", "dlaczego kolejka była pusta", 'exact "phrase here" OR x*', "core/A.java", "foo-bar AND content:x.y", "fix ABC-12 now", "ABC-1 OR DEF-2")
-q("fts_plan", None)(lambda s, d: s.createDataFrame([(x, p.strict, p.relaxed, p.explicit, p.language) for x in _QUERIES for p in [P.plan_query(x)]], "query string, strict string, relaxed string, explicit boolean, language string"))
-q("fts_normalize_query", None)(lambda s, d: s.createDataFrame([(x, P.normalize_query(x)) for x in _QUERIES], "query string, normal string"))
-q("fts_is_explicit", None)(lambda s, d: s.createDataFrame([(x, P.is_explicit(x)) for x in _QUERIES], "query string, explicit boolean"))
-q("fts_relax_terms", None)(lambda s, d: s.createDataFrame([(x, " OR ".join(P.relax_terms(x.split(), True))) for x in _QUERIES], "query string, terms string"))
-q("fts_language_guess", None)(lambda s, d: s.createDataFrame([(x, P.language_guess(x.split())) for x in _QUERIES], "query string, language string"))
-q("fts_parse_ticket", None)(lambda s, d: s.createDataFrame([(x, *P.split_ticket(x)) for x in _QUERIES], "query string, ticket string, rest string"))
-q("rnk_generic_query", None)(lambda s, d: s.createDataFrame([(x, P.is_generic(x.split())) for x in ("current status overview", *_QUERIES)], "query string, is_generic boolean"))
+
+
+def _values(columns: str, *rows: tuple) -> str:
+    """Rows worked out by hand from the rules of the planner."""
+    cell = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) t({columns})"
+
+
+_Q = dict(zip("what pl phrase path column ticket two".split(), _QUERIES, strict=True))
+_PL = "kolejka OR kole* OR kołejka OR kołe* OR pusta OR pust*"
+q("fts_plan", _values(
+    "query, strict, relaxed, explicit, language",
+    (_Q["what"], _Q["what"], "decide OR deci* OR retry OR retr* OR budget OR budg*", False, "en"), (_Q["pl"], _Q["pl"], _PL, False, "pl"),
+    (_Q["phrase"], _Q["phrase"], None, True, "en"), (_Q["path"], _Q["path"], '"core/A.java"', False, "en"), (_Q["column"], _Q["column"], None, True, "en"),
+    (_Q["ticket"], _Q["ticket"], 'fix OR "ABC-12"', False, "en"), (_Q["two"], _Q["two"], None, True, "en"),
+))(lambda s, d: s.createDataFrame([(x, p.strict, p.relaxed, p.explicit, p.language) for x in _QUERIES for p in [P.plan_query(x)]], "query string, strict string, relaxed string, explicit boolean, language string"))
+q("fts_normalize_query", _values(
+    "query, normal", (_Q["what"], 'what did we decide about the retry "budget?"'), (_Q["pl"], _Q["pl"]), (_Q["phrase"], _Q["phrase"]), (_Q["path"], '"core/A.java"'),
+    (_Q["column"], '"foo-bar" AND content:"x.y"'), (_Q["ticket"], 'fix "ABC-12" now'), (_Q["two"], '"ABC-1" OR "DEF-2"'),
+))(lambda s, d: s.createDataFrame([(x, P.normalize_query(x)) for x in _QUERIES], "query string, normal string"))
+q("fts_is_explicit", _values("query, explicit", *[(x, x in (_Q["phrase"], _Q["column"], _Q["two"])) for x in _QUERIES]))(lambda s, d: s.createDataFrame([(x, P.is_explicit(x)) for x in _QUERIES], "query string, explicit boolean"))
+q("fts_relax_terms", _values(
+    "query, terms", (_Q["what"], 'what OR did OR we OR decide OR deci* OR about OR abou* OR the OR retry OR retr* OR "budget?"'),
+    (_Q["pl"], f"dlaczego OR dlacz* OR dłaczego OR dłacz* OR {_PL.replace(' OR pusta', ' OR była OR pusta')}"), (_Q["phrase"], 'exact OR exac* OR """phrase" OR "here""" OR or OR "x*"'), (_Q["path"], '"core/A.java"'),
+    (_Q["column"], '"foo-bar" OR and OR "content:x.y"'), (_Q["ticket"], 'fix OR "ABC-12" OR now'), (_Q["two"], '"ABC-1" OR or OR "DEF-2"'),
+))(lambda s, d: s.createDataFrame([(x, " OR ".join(P.relax_terms(x.split(), True))) for x in _QUERIES], "query string, terms string"))
+q("fts_language_guess", _values("query, language", *[(x, "pl" if x == _Q["pl"] else "en") for x in _QUERIES]))(lambda s, d: s.createDataFrame([(x, P.language_guess(x.split())) for x in _QUERIES], "query string, language string"))
+q("fts_parse_ticket", _values("query, ticket, rest", *[(x, "ABC-12", "fix now") if x == _Q["ticket"] else (x, None, x) for x in _QUERIES]))(lambda s, d: s.createDataFrame([(x, *P.split_ticket(x)) for x in _QUERIES], "query string, ticket string, rest string"))
+q("rnk_generic_query", _values("query, is_generic", ("current status overview", True), *[(x, False) for x in _QUERIES]))(lambda s, d: s.createDataFrame([(x, P.is_generic(x.split())) for x in ("current status overview", *_QUERIES)], "query string, is_generic boolean"))
 
 
 # --- sinks ---
