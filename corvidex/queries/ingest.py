@@ -72,11 +72,11 @@ q("src_pdf", "SELECT doc_id, NULL::VARCHAR AS text FROM documents WHERE content
 )
 
 
-@q("src_dir_scan", "SELECT count(*) AS n_files, coalesce(sum(strlen(content)), 0)::BIGINT AS n_bytes FROM documents WHERE content IS NOT NULL AND source = 'chat:turns'")
+@q("src_dir_scan", "SELECT count(*) AS n_files, coalesce(sum(strlen(content)), 0)::BIGINT AS n_bytes FROM documents WHERE content IS NOT NULL")
 def src_dir_scan(s, d):
-    """The turns written as text files, one each, and found again by scanning the folder."""
+    """All contents written as text files, one each, and found again by scanning the folder."""
     path = _folder(s, "files")
-    rows = docs(s, d).where("content is not null and source = 'chat:turns'")
+    rows = docs(s, d).where("content is not null")
     rows.select(F.col("doc_id"), F.base64(F.encode("content", "UTF-8")).alias("c")).foreachPartition(_files_writer(path))
     return files.dir_scan(s, path, "*.txt").agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("n_bytes"))
 
@@ -376,11 +376,11 @@ def _outputs(s: SparkSession, d: str, *sources: str) -> DataFrame:
 
 def _stored(s: SparkSession, d: str) -> str:
     path = _folder(s, "store")
-    sinks.insert_documents(docs(s, d).where("origin_db is not null and source is not null").select("doc_id", "origin_db", "source", F.col("n_chars").cast("long").alias("n_chars")), path)
+    sinks.insert_documents(docs(s, d).select("doc_id", "origin_db", "source", F.col("n_chars").cast("long").alias("n_chars")), path)
     return path
 
 
-@q("snk_purge_archive", "SELECT source, count(*) AS n FROM documents WHERE origin_db IS NOT NULL AND source <> 'chat:dross' GROUP BY 1")
+@q("snk_purge_archive", "SELECT source, count(*) AS n FROM documents WHERE source IS DISTINCT FROM 'chat:dross' GROUP BY 1")
 def snk_purge_archive(s, d):
     """An archive is dropped from the written store."""
     path = _stored(s, d)
@@ -388,7 +388,7 @@ def snk_purge_archive(s, d):
     return s.read.parquet(path).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@q("snk_egest", "SELECT source, count(*) AS n FROM documents WHERE origin_db IS NOT NULL AND source IS NOT NULL AND NOT (source = 'live_events' AND origin_db = (SELECT min(origin_db) FROM documents WHERE source = 'live_events')) GROUP BY 1")
+@q("snk_egest", "SELECT source, count(*) AS n FROM documents WHERE NOT coalesce(source = 'live_events' AND origin_db = (SELECT min(origin_db) FROM documents WHERE source = 'live_events'), false) GROUP BY 1")
 def snk_egest(s, d):
     """An archive leaves one of its databases."""
     path = _stored(s, d)
@@ -397,15 +397,15 @@ def snk_egest(s, d):
     return s.read.parquet(path).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@q("snk_rename_archive", "SELECT CASE WHEN source = 'chat:dross' THEN 'chat:rest' ELSE source END AS source, sum(doc_id)::BIGINT AS ids FROM documents WHERE origin_db IS NOT NULL AND source IS NOT NULL GROUP BY 1")
+@q("snk_rename_archive", "SELECT CASE WHEN source = 'chat:dross' THEN 'chat:rest' ELSE source END AS source, sum(doc_id)::BIGINT AS ids FROM documents GROUP BY 1")
 def snk_rename_archive(s, d):
     path = _stored(s, d)
     sinks.rename_archive(s, path, "chat:dross", "chat:rest")
     return s.read.parquet(path).groupBy("source").agg(F.sum("doc_id").alias("ids"))
 
 
-q("snk_append_doc", "SELECT origin_db, source, file_path, md5(string_agg(coalesce(file_name, ''), chr(10) ORDER BY doc_id)) AS body_md5 FROM documents WHERE origin_db IS NOT NULL AND source IS NOT NULL AND file_path IS NOT NULL GROUP BY 1, 2, 3")(
-    lambda s, d: sinks.append_text(docs(s, d).limit(0).select("origin_db", "source", "file_path", "content"), docs(s, d).where("origin_db is not null and source is not null and file_path is not null").select("origin_db", "source", "file_path", F.col("doc_id").alias("chunk_no"), F.coalesce("file_name", F.lit("")).alias("chunk"))).select("origin_db", "source", "file_path", F.md5("content").alias("body_md5"))
+q("snk_append_doc", "SELECT origin_db, source, file_path, md5(string_agg(coalesce(file_name, ''), chr(10) ORDER BY doc_id)) AS body_md5 FROM documents GROUP BY 1, 2, 3")(
+    lambda s, d: sinks.append_text(docs(s, d).limit(0).select("origin_db", "source", "file_path", "content"), docs(s, d).select("origin_db", "source", "file_path", F.col("doc_id").alias("chunk_no"), F.coalesce("file_name", F.lit("")).alias("chunk"))).select("origin_db", "source", "file_path", F.md5("content").alias("body_md5"))
 )
 
 

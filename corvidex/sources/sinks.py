@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
 PARTITIONS = ("origin_db", "source")
+#: Folder name of rows without a value.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
 
 
 def insert_documents(docs: DataFrame, path: str) -> None:
@@ -28,13 +30,13 @@ def replace_archives(docs: DataFrame, path: str) -> None:
     docs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
 
 
-def purge_archive(spark: SparkSession, path: str, source: str, databases: list[str]) -> None:
-    """Drops an archive's partitions of the given databases."""
+def purge_archive(spark: SparkSession, path: str, source: str, databases: list[str | None]) -> None:
+    """Drops an archive's partitions of the given databases (None: rows without one)."""
     from urllib.parse import quote
 
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for db in databases:
-        p = jvm.org.apache.hadoop.fs.Path(f"{path}/origin_db={db}/source={quote(source, safe=' ()+,-._')}")
+        p = jvm.org.apache.hadoop.fs.Path(f"{path}/origin_db={NO_VALUE if db is None else db}/source={quote(source, safe=' ()+,-._')}")
         p.getFileSystem(conf).delete(p, True)
 
 

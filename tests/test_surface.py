@@ -100,10 +100,10 @@ def test_staging_renaming_and_snapshots(spark, tmp_path):
     a = spark.createDataFrame([("x", "1"), ("y", "2"), ("z", None)], "out_path string, hash string")
     b = spark.createDataFrame([("y", "2"), ("w", "3"), ("z", "9")], "out_path string, hash string")
     assert {r.out_path: r.action for r in sinks.stage_plan(a, b).collect()} == {"x": "write", "y": "keep", "z": "write", "w": "delete"}
-    docs = spark.createDataFrame([(1, "d.db", "old"), (2, "e.db", "old"), (3, "d.db", "kept")], "doc_id long, origin_db string, source string")
+    docs = spark.createDataFrame([(1, "d.db", "old"), (2, "e.db", "old"), (3, "d.db", "kept"), (4, None, "old"), (5, None, None)], "doc_id long, origin_db string, source string")
     sinks.insert_documents(docs, str(tmp_path / "s"))
     sinks.rename_archive(spark, str(tmp_path / "s"), "old", "new")
-    assert sorted((r.doc_id, r.source) for r in spark.read.parquet(str(tmp_path / "s")).collect()) == [(1, "new"), (2, "new"), (3, "kept")]
+    assert sorted((r.doc_id, r.source) for r in spark.read.parquet(str(tmp_path / "s")).collect()) == [(1, "new"), (2, "new"), (3, "kept"), (4, "new"), (5, None)]
     raw = spark.createDataFrame([("s", b"\x00\xff"), ("s", b"\x00\xff"), ("t", b"\x00\xff"), ("s", None)], "source_identity string, content binary")
     first = journal.snapshots(raw.where("source_identity = 's'"))
     assert first.count() == 1 and {r.source_identity for r in journal.snapshots(raw, first).collect()} == {"t"}
