@@ -50,3 +50,23 @@ def test_comparisons_are_spread_over_tasks(spark):
     got = {x.grp: x for x in r.withColumn("task", F.spark_partition_id()).collect()}
     assert len({x.task for x in got.values()}) >= 6
     assert got["none"].pairs == 0 and got["none"].mean_diff is None and {got[g].pairs for g in ("a", "b", "c", "d", "e", None)} == {3}
+
+
+def test_java_draws_are_not_held():
+    assert peak_mb(E.bootstrap_java, np.arange(3000.0).tolist(), 3333) < 8  # its 10 M draws would be 80
+
+
+# 4096 and 16,384 take no remainder; of 70,001 some draws are rejected
+@pytest.mark.parametrize(("n", "resamples"), [(1, 40), (7, 5003), (4096, 41), (16_383, 41), (16_384, 40), (70_001, 21)])
+def test_java_interval_is_that_of_all_draws_at_once(n, resamples):
+    d, one = np.random.RandomState(n).standard_normal(n), E.JavaRandom(42)
+    draws = np.array([one.below(n) for _ in range(n * resamples)])
+    want = whole(d, draws, resamples, int(0.025 * (resamples - 1)), -int(-0.975 * (resamples - 1) // 1))
+    assert E.bootstrap_java(d.tolist(), resamples) == want
+
+
+@pytest.mark.parametrize("n", [3, 1 << 20, (1 << 30) + 1, (1 << 31) - 1])
+def test_java_draws_go_on_where_they_ended(n):
+    draws, one = E.JavaDraws(-7, n), E.JavaRandom(-7)
+    for k in (0, 1, 16_383, 16_384, 5, 40_000):
+        assert draws.take(k).tolist() == [one.below(n) for _ in range(k)]
